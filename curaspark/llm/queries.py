@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash, tokenbin
+from . import labelled, mixing, quality, simhash, tokenbin, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _judged(scores: DataFrame, folds: int, held_out: int) -> DataFrame:
+    return scores.select("doc_id", F.coalesce(labelled.remainder(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _judged(toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 5, 0)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _judged(quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), 3, 1)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixed(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return mix.select("doc.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
@@ -28,6 +42,6 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op5_mix_sources": op5_mix_sources, "op6_token_binary": op6_token_binary, "op7_simhash": op7_simhash}
+QUERIES = {"op2_toxicity": op2_toxicity, "op4_quality": op4_quality, "op5_mix_sources": op5_mix_sources, "op6_token_binary": op6_token_binary, "op7_simhash": op7_simhash}
 
 ORACLES: dict[str, str] = {}
