@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import labelled, mixing, quality, simhash, tokenbin, toxicity
+from . import labelled, mixing, quality, simhash, tokenbin, tokencount, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.where(topk.usable(F.col("embedding"))).select("vec_id", topk.quantised(F.col("embedding")).alias("embedding"))
+    return topk.search(rows, rows.where(F.col("vec_id") % 50 == 0))
+
+
 def _judged(scores: DataFrame, folds: int, held_out: int) -> DataFrame:
     return scores.select("doc_id", F.coalesce(labelled.remainder(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
@@ -42,6 +48,35 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op4_quality": op4_quality, "op5_mix_sources": op5_mix_sources, "op6_token_binary": op6_token_binary, "op7_simhash": op7_simhash}
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
 
-ORACLES: dict[str, str] = {}
+    return tokencount.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {
+    "op1_topk_search": op1_topk_search,
+    "op2_toxicity": op2_toxicity,
+    "op4_quality": op4_quality,
+    "op5_mix_sources": op5_mix_sources,
+    "op6_token_binary": op6_token_binary,
+    "op7_simhash": op7_simhash,
+    "op9_token_counts": op9_token_counts,
+}
+
+ORACLES: dict[str, str] = {
+    "op1_topk_search": """
+        with e as (
+            select vec_id, [cast(floor(256 * cast(x as double)) as double) for x in embedding] as v
+            from embeddings
+            where vec_id is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+        ), scored as (
+            select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+            from e q join e c on c.vec_id <> q.vec_id
+            where q.vec_id % 50 = 0
+        ), ranked as (
+            select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from scored
+        )
+        select query_id, rank, vec_id, score from ranked where rank <= 5
+    """,
+}
