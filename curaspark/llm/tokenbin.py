@@ -15,8 +15,12 @@ together in any order of equal ones; an empty table makes no block; other column
 
 from __future__ import annotations
 
+import itertools
+import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -150,44 +154,71 @@ class Block:
         return self.slice(int(self.offsets[k]), int(self.offsets[k + 1]))
 
 
-_tokenizers: dict[str, tuple] = {}
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_100_000
+_LETTERS = re.compile(rb"[a-z]+")
+_encoders: dict[str, WordIds] = {}
 
 
-def word_encoder(path: str):
-    """Text -> ids. The tokenizer splits at white space before anything else, so a text's ids are those of its
-    space-free chunks in a row; chunks met before come from a bounded cache."""
-    if path not in _tokenizers:
-        import os
+class WordIds(dict):
+    """Chunk of text between white space -> its ids as packed integers, in a cache bounded by clearing.
 
+    The tokenizer cuts at white space and between letters and marks before it merges, so a text's ids are those of its
+    chunks in a row, and a full stop or comma at the end of a chunk, after a letter, can be told apart from it. A chunk of
+    the letters a-z is one word to the tokenizer and goes to its model directly; any other passes the whole tokenizer.
+    """
+
+    def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    tok, cache = _tokenizers[path]
+        self.tok = Tokenizer.from_file(path)
+        small = self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16
+        self.kind, self.code = ("=u2", "H") if small else ("=u4", "I")
+        self.tokenize = self.tok.model.tokenize
+        # the shortcuts hold for a tokenizer that keeps letters as they are and cuts marks off; any other gets whole chunks
+        self.plain = all(self._whole(a) == self._model(a) and self._whole(a + b) == self._model(a) + self._whole(b) for a in (b"abc", b"the", b"qzx") for b in (b".", b","))
+        self.lower = self.plain and self._whole(b"AbC") == self._whole(b"abc")
+
+    def _whole(self, chunk: bytes) -> bytes:
+        return array(self.code, self.tok.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+
+    def _model(self, chunk: bytes) -> bytes:
+        return array(self.code, [t.id for t in self.tokenize(chunk.decode())]).tobytes()
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        if self.plain and _LETTERS.fullmatch(chunk):
+            ids = self._model(chunk)
+        elif self.plain and chunk[-1:] in b".," and _LETTERS.match(chunk[-2:-1]):
+            ids = self[chunk[:-1]] + self._whole(chunk[-1:])
+        else:
+            ids = self._whole(chunk)
+        self[chunk] = ids
+        return ids
+
+    def encode(self, text: bytes | None) -> np.ndarray:
+        text = text or b""
+        if self.lower and b"<|" not in text:  # names of special tokens are told by their case
+            text = text.lower()
+        return np.frombuffer(b"".join(map(self.__getitem__, text.split())), self.kind)
 
-    def encode(texts: list[str | None]) -> list[np.ndarray]:
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        new = list({w for words in split for w in words if w not in cache})
-        for k in range(0, len(new), 5000):
-            part = new[k : k + 5000]
-            for w, e in zip(part, tok.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(cache.__getitem__, words)), "<u4") for words in split]
 
-    return encode
+def word_ids(path: str) -> WordIds:
+    if path not in _encoders:
+        _encoders[path] = WordIds(path)
+    return _encoders[path]
 
 
 def write_blocks(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, block_tokens: int = 1 << 18) -> DataFrame:
     """Encode all documents in ascending id order; returns the written blocks (shard, block, n_docs, n_tokens, payload)."""
     spark = docs.sparkSession
     runtime.ship(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(tokenizer)
+        encode = word_ids(tokenizer).encode
         end = np.array([end_id], np.uint32)
         names, ids, held, block, shard = [], [], 0, 0, 0
 
@@ -196,16 +227,15 @@ def write_blocks(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             return pa.record_batch([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "block", "n_docs", "n_tokens", "payload"])
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
-                shard = part.column(2)[0].as_py()
-                for name, e in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
-                    names.append(name)
-                    ids.append(np.concatenate([e, end]))
-                    held += len(e) + 1
-                    if held >= block_tokens:
-                        yield out()
-                        names, ids, held, block = [], [], 0, block + 1
+            for name, text, at in zip(*batch.columns, strict=True):
+                shard = at.as_py()
+                e = encode(text.as_py())
+                names.append(name.as_py())
+                ids.append(np.concatenate([e, end]))
+                held += len(e) + 1
+                if held >= block_tokens:
+                    yield out()
+                    names, ids, held, block = [], [], 0, block + 1
         if names:
             yield out()
 
@@ -219,21 +249,21 @@ def read_documents(blocks: DataFrame) -> DataFrame:
     """Per document of written blocks: doc_id, start, n_tokens, ids_crc32, in file order."""
     runtime.ship(blocks.sparkSession)
     # tokens before each block: a running sum over one row a shard, and one over the blocks of each shard
-    sizes = blocks.select("shard", "block", "n_tokens").groupBy("shard").agg(F.sum("n_tokens").alias("shard_tokens"))
+    sizes = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("shard_tokens"))
     before = sizes.select("shard", F.coalesce(F.sum("shard_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_shard"))
     inner = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select("shard", "block", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)).alias("before_block"))
     starts = starts.join(before, "shard").select("shard", "block", (F.col("before_shard") + F.col("before_block")).alias("first"))
-    rows = blocks.select("shard", "block", "payload").join(starts, ["shard", "block"]).select("first", "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for shard, block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 b = Block(payload.as_buffer())
-                crcs = [zlib.crc32(b.doc(k).astype("<u4").tobytes()) for k in range(b.n_docs)]
-                yield pa.record_batch(
-                    [pa.array(b.doc_ids, pa.int64()), pa.array(first + b.offsets[:-1], pa.int64()), pa.array(np.diff(b.offsets), pa.int64()), pa.array(crcs, pa.int64())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
-
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                flat = b.slice(0, b.n_tokens).astype("<u4", copy=False)
+                crcs = [zlib.crc32(flat[i:j]) for i, j in itertools.pairwise(b.offsets.tolist())]
+                cols = [np.full(b.n_docs, shard, np.int32), np.full(b.n_docs, block, np.int32), pa.array(b.doc_ids, pa.int64()), b.offsets[:-1], np.diff(b.offsets), np.array(crcs, np.int64)]
+                yield pa.record_batch([pa.array(c) for c in cols], names=["shard", "block", "doc_id", "inside", "n_tokens", "ids_crc32"])
+
+    # digests are narrow, so it is they that meet the sums, and payloads are never shuffled
+    read = blocks.select("shard", "block", "payload").mapInArrow(run, "shard int, block int, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    return read.join(starts, ["shard", "block"]).select("doc_id", (F.col("first") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
