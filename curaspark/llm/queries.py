@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import labelled, mixing, quality, simhash, tokenbin, tokencount, topk, toxicity
+from . import decontam, htmltext, labelled, mixing, quality, simhash, tokenbin, tokencount, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 5, 0)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return _judged(quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), 3, 1)
@@ -54,14 +58,20 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extracted(table(spark, sf_dir, "pages"), htmltext.train())
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_toxicity": op2_toxicity,
+    "op3_decontamination": op3_decontamination,
     "op4_quality": op4_quality,
     "op5_mix_sources": op5_mix_sources,
     "op6_token_binary": op6_token_binary,
     "op7_simhash": op7_simhash,
     "op9_token_counts": op9_token_counts,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLES: dict[str, str] = {
