@@ -128,8 +128,10 @@ class Machine:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.raw(idx, val)))))
 
 
-def train(rows: list[tuple[int, np.ndarray, np.ndarray]], rank: int = 8, epochs: int = 8, batch: int = 128, rate: float = 0.1, decay: float = 1e-5, seed: int = 1) -> Machine:
-    """Adagrad on the logistic loss of (label, indexes, values) rows; deterministic for a given order of rows."""
+def train(rows: list[tuple[int, np.ndarray, np.ndarray]], rank: int = 8, updates: int = 1000, batch: int = 128, rate: float = 0.1, decay: float = 1e-5, seed: int = 1) -> Machine:
+    """Adagrad on the logistic loss of (label, indexes, values) rows; deterministic for a given order of rows.
+
+    At least ``updates`` steps are taken, or eight passes."""
     rng = np.random.default_rng(seed)
     w, v = np.zeros(SIZE), rng.normal(0, 0.02, (SIZE, rank))
     y = np.array([r[0] for r in rows], float)
@@ -140,7 +142,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], rank: int = 8, epochs:
     if y.min() == y.max():
         return Machine(w0, w, v * 0)
     gw, gv, g0 = np.full(SIZE, 1e-2), np.full((SIZE, rank), 1e-2), 1e-2
-    for _ in range(epochs):
+    for _ in range(max(8, -(-updates * batch // (len(rows) + batch)))):
         order = rng.permutation(len(rows))
         for k in range(0, len(order), batch):
             part = order[k : k + batch]

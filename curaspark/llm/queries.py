@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, labelled, mixing, quality, simhash, tokenbin, tokencount, topk, toxicity
+from . import decontam, htmltext, labelled, mixing, passages, quality, simhash, tokenbin, tokencount, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,6 +74,7 @@ QUERIES = {
     "op5_mix_sources": op5_mix_sources,
     "op6_token_binary": op6_token_binary,
     "op7_simhash": op7_simhash,
+    "op8_repeated_passages": op8_repeated_passages,
     "op9_token_counts": op9_token_counts,
     "op10_html_text": op10_html_text,
 }
