@@ -86,7 +86,7 @@ class WordIds(dict):
         self.vocab = vocab
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         p = plain(word)
         found = self[word] = self.vocab.get(p, -1) if p else -2

@@ -31,7 +31,7 @@ class _Buckets(dict):
     """Word -> bucket, bounded by clearing."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         bucket = self[word] = zlib.crc32(word) & (WORDS - 1)
         return bucket

@@ -12,9 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 _shipped: set[str] = set()
 
 
+BATCH_ROWS, _BATCH = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per application."""
+    """Make this package importable in Python workers, once per application.
+
+    Texts are long, so Arrow batches are held to BATCH_ROWS rows, where the session leaves Spark's default of 10,000: that
+    bounds what a worker and its executor hold at once.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, BATCH_ROWS)
     if sc.applicationId in _shipped:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import runtime
 
-UNKNOWN_PENALTY, MARK, CACHE_WORDS = 10.0, "▁", 900_000
+UNKNOWN_PENALTY, MARK, CACHE_WORDS = 10.0, "▁", 250_000
 
 
 class Unigram:

@@ -82,7 +82,7 @@ class CharModel:
     def logp(self, a: str, b: str, c: str) -> float:
         key = a + b + c
         if key not in self.cache:
-            if len(self.cache) > 200_000:
+            if len(self.cache) > 100_000:
                 self.cache.clear()
             one = (self._n(c) + 0.5) / (self.total + 500)
             nb = self._n(b)
@@ -218,7 +218,7 @@ class Restorer:
         words = (text or "").lower().split()
         found: dict[int, int] = {}
         cache = self.cache
-        if len(cache) > 400_000:
+        if len(cache) > 150_000:
             cache.clear()
         for w in set(words):
             hit = cache.get(w)
