@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from . import buckets, runtime
 
 NO_ID = (1 << 63) - 1
+BROADCAST_KEYS = 1_000_000
 EDGES = b".,;:!?\"'()[]{}<>*$#%&|_-"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -36,7 +37,7 @@ class WordHashes(dict):
     """Word -> 64-bit hash without marks at its edges, bounded by clearing."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 600_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word.strip(EDGES) or word)
         return h
@@ -233,7 +234,9 @@ def repeated(
     banded = lines.select("key", F.explode("bands").alias("band")).distinct()
     dealt = runtime.staged(buckets.block_pairs(banded, "band", "key", cap), "line-buckets")
     met = runtime.staged(dealt.select("key").distinct(), "lines-met")
-    payload = runtime.staged(lines.select("key", "grams").join(met, "key", "left_semi").dropDuplicates(["key"]), "line-shingles")
+    # few lines meet another: their keys are broadcast where a count shows them small, else shingles are shuffled to them
+    few = met.count() <= BROADCAST_KEYS
+    payload = runtime.staged(lines.select("key", "grams").join(F.broadcast(met) if few else met, "key", "left_semi").dropDuplicates(["key"]), "line-shingles")
     sets = dealt.join(payload, "key").select("band", "blk_a", "blk_b", "key", "grams")
     n = runtime.partitions(spark)
     edges = sets.repartition(n, "band", "blk_a", "blk_b").sortWithinPartitions("band", "blk_a", "blk_b").mapInArrow(_line_edges(similarity), "a long, b long")
