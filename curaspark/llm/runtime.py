@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-_shipped: set[str] = set()
-
+from .. import runtime as package
 
 BATCH_ROWS, _BATCH = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -21,21 +18,9 @@ def ship(spark: SparkSession) -> None:
     Texts are long, so Arrow batches are held to BATCH_ROWS rows, where the session leaves Spark's default of 10,000: that
     bounds what a worker and its executor hold at once.
     """
-    sc = spark.sparkContext
     if spark.conf.get(_BATCH) == "10000":
         spark.conf.set(_BATCH, BATCH_ROWS)
-    if sc.applicationId in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    name = os.path.basename(top)
-    out = os.path.join(tempfile.mkdtemp(), f"{name}_llm.zip")
-    with zipfile.ZipFile(out, "w") as z:
-        z.write(os.path.join(top, "__init__.py"), f"{name}/__init__.py")
-        for f in sorted(os.listdir(os.path.join(top, "llm"))):
-            if f.endswith(".py"):
-                z.write(os.path.join(top, "llm", f), f"{name}/llm/{f}")
-    sc.addPyFile(out)
-    _shipped.add(sc.applicationId)
+    package.ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
