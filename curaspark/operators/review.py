@@ -53,6 +53,22 @@ def emission(ids: DataFrame, queue: str, predict: str, seq: int) -> DataFrame:
     return ids.select(F.lit(queue).alias("queue"), F.lit(predict).alias("predict"), F.lit(seq).alias("seq"), "id")
 
 
+def admit_batch(samples: DataFrame, batch: str, verdict: str, force: bool = False, admit: bool = True, first_seq: int = 0) -> tuple[DataFrame, dict]:
+    """Tag events that admit (or take back) a batch, and the ledger record with the pool's digest before and after.
+
+    A BLOCK verdict refuses the batch unless forced; a refusal makes no tag event.
+    """
+    mine = F.array_contains("tags", f"batch:{batch}")
+    refused = admit and verdict == "BLOCK" and not force
+    op = "add" if admit else "remove"
+    ids = samples.where(F.lit(False) if refused else mine).select("hash")
+    events = dismiss(ids, ["admitted"], op, first_seq)
+    pool = lambda s: content_hash(s.where(F.array_contains("tags", "admitted")), "hash").first()[0]
+    after = fold_tags(samples, events)
+    record = {"event": "batch_admit" if admit else "batch_unadmit", "batch_id": batch, "decision": "REFUSED" if refused else "FORCED" if force and verdict == "BLOCK" else "OK", "extra": {"pool_before": pool(samples), "pool_after": pool(after)}}
+    return events, record
+
+
 # snapshots ---------------------------------------------------------------------
 
 

@@ -25,6 +25,34 @@ def scan_images(spark: SparkSession, folder: str) -> DataFrame:
     return raw.where(ok).select(F.regexp_replace("path", "^file:", "").alias("src_path"), F.sha2("content", 256).alias("vix_hash"))
 
 
+def hash_files(spark: SparkSession, folder: str) -> DataFrame:
+    """path (below the folder), sha256 of every file: the shape that ``operators.export.verify`` compares."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    top = os.path.abspath(folder).rstrip("/") + "/"
+    plain = F.regexp_replace("path", "^file:/*", "/")
+    return raw.select(F.replace(plain, F.lit(top), F.lit("")).alias("path"), F.sha2("content", 256).alias("sha256"))
+
+
+def rotate(table: DataFrame, folder: str, name: str = "routing") -> None:
+    """Write a table as ``name`` and keep the one before as ``name``_prev."""
+    spark = table.sparkSession
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    now, before = (jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}") for n in (name, f"{name}_prev"))
+    fs = now.getFileSystem(conf)
+    fresh = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}_new")
+    table.write.mode("overwrite").parquet(f"{folder}/{name}_new")
+    if fs.exists(now):
+        fs.delete(before, True)
+        fs.rename(now, before)
+    fs.rename(fresh, now)
+
+
+def append_lines(rows: DataFrame, path: str) -> None:
+    """Append rows to a JSON-lines folder, such as the relabel log."""
+    rows.write.mode("append").json(path)
+
+
 def ingest(images: DataFrame, manifest: DataFrame, batch_id: str, label_version: str = "v1", tags: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """New manifest entries and skipped images: known hashes, and repeats inside the batch after the first path."""
     if {"golden", "eval"} <= set(tags):

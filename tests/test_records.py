@@ -221,3 +221,20 @@ def test_command_line(spark, tmp_path, capsys):
     for verb in ("status", "audit-labels", "dedup", "coverage", "review-queue", "box-qa", "throughput", "reasons", "fp-rate", "spc", "parity", "export", "explain", "verify-chain"):
         assert cli.main([str(tmp_path), verb, "--k", "5", "--tag", "fab"]) == 0, verb
     assert cli.main([str(tmp_path), "run", "--k", "5"]) == 2
+
+
+def test_admission_rotation_and_hashes(spark, tmp_path):
+    s = spark.createDataFrame([("a", ["batch:w1"]), ("b", ["batch:w2", "admitted"])], "hash string, tags array<string>")
+    ev, rec = review.admit_batch(s, "w1", "PASS")
+    assert [r.hash for r in ev.collect()] == ["a"] and rec["decision"] == "OK" and rec["extra"]["pool_before"] != rec["extra"]["pool_after"]
+    ev, rec = review.admit_batch(s, "w1", "BLOCK")
+    assert ev.count() == 0 and rec["decision"] == "REFUSED" and rec["extra"]["pool_before"] == rec["extra"]["pool_after"]
+    assert review.admit_batch(s, "w2", "BLOCK", admit=False)[1]["event"] == "batch_unadmit"
+    for k in range(3):
+        files.rotate(spark.createDataFrame([(k,)], "k int"), str(tmp_path))
+    assert (spark.read.parquet(str(tmp_path / "routing")).first().k, spark.read.parquet(str(tmp_path / "routing_prev")).first().k) == (2, 1)
+    (tmp_path / "f" / "g").mkdir(parents=True)
+    (tmp_path / "f" / "g" / "x.txt").write_bytes(b"1")
+    assert [tuple(r) for r in files.hash_files(spark, str(tmp_path / "f")).collect()] == [("g/x.txt", hashlib.sha256(b"1").hexdigest())]
+    files.append_lines(spark.createDataFrame([("a", "car", "van")], "id string, old string, new string"), str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 1
