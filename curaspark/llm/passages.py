@@ -15,6 +15,7 @@ are read whole; an empty table gives an empty result; other columns are ignored,
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -55,11 +56,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def word_hashes(text: bytes | None) -> tuple[np.ndarray, list[int]]:
     """Hashes of a text's words, and where its lines end."""
     text = (text or b"").lower()
-    words = text.split()
-    ends, at = [], 0
+    words, ends = [], []
     for line in text.split(b"\n"):
-        at += len(line.split())
-        ends.append(at)
+        words += line.split()
+        ends.append(len(words))
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)), ends
 
 
@@ -75,13 +75,26 @@ def cuts(h: np.ndarray, reach: int = 4) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(keep) + reach, [len(h)]])
 
 
+_powers: list[np.ndarray] = []
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0..n of the base and of its inverse, kept and grown as longer texts come."""
+    if not _powers or len(_powers[0]) <= n:
+        size = max(n + 1, 1 << 15)
+        rows = []
+        for x in (BASE, INVERSE):
+            row = np.full(size, x, np.uint64)
+            row[0] = 1
+            rows.append(np.cumprod(row, dtype=np.uint64))
+        _powers[:] = rows
+    return _powers[0], _powers[1]
+
+
 def span_keys(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of the word sequences from starts to ends: differences of a polynomial prefix sum, shifted back."""
     n = len(h)
-    power = np.ones(n + 1, np.uint64)
-    back = np.ones(n + 1, np.uint64)
-    power[1:], back[1:] = BASE, INVERSE
-    power, back = np.cumprod(power, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
+    power, back = _powers_to(n)
     prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(h) * power[:n], dtype=np.uint64)])
     return _mix((prefix[ends] - prefix[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
@@ -100,15 +113,19 @@ def bands_for(rows: int, similarity: float, recall: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows)))
 
 
+@functools.cache
+def _permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    return (rng.integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1))[:, None], rng.integers(0, 1 << 63, n, dtype=np.uint64)[:, None]
+
+
 def band_keys(grams: np.ndarray, bands: int, rows: int, seed: int = 11) -> np.ndarray:
     """MinHash bands of a shingle set, as signed longs."""
-    rng = np.random.default_rng(seed)
-    a = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) | np.uint64(1)
-    b = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
+    a, b = _permutations(bands * rows, seed)
     least = np.full(bands * rows, np.iinfo(np.uint64).max)
     for k in range(0, len(grams), 4096):
         g = _mix(grams[k : k + 4096].astype(np.uint64))
-        least = np.minimum(least, ((g[None, :] * a[:, None] + b[:, None]) >> np.uint64(1)).min(axis=1))
+        least = np.minimum(least, ((g[None, :] * a + b) >> np.uint64(1)).min(axis=1))
     key = np.arange(bands, dtype=np.uint64)
     for part in least.reshape(bands, rows).T:
         key = _mix(key * BASE + part)
