@@ -233,7 +233,7 @@ def _line_edges(similarity: float):
 
 
 def repeated(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, recall: float = 0.995, min_words: int = 24, line_words: int = 49, shingle: int = 5, rows: int = 4, cap: int = 1024
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, recall: float = 0.995, min_words: int = 32, line_words: int = 49, shingle: int = 5, rows: int = 4, cap: int = 1024
 ) -> DataFrame:
     """One row for each paragraph that repeats across documents inside a passage of at least ``min_words`` words.
 

@@ -86,7 +86,7 @@ def test_planted_passages(spark, cap):
     classes = {}
     for r in got:
         classes.setdefault(r.component_id, set()).add(r.doc_id)
-        assert r.removed == (r.doc_id != r.first_doc_id) and r.passage_n_words >= 24
+        assert r.removed == (r.doc_id != r.first_doc_id) and r.passage_n_words >= 32
     for p, ds in planted.items():
         if len(ds) > 1:
             assert any(set(ds) <= c for c in classes.values()), p
