@@ -115,46 +115,48 @@ def search(
         return df.where(F.col(id_col).isNotNull() & usable(v)).select(F.col(id_col).cast("long").alias("id"), v.cast("array<long>").alias("v")).dropDuplicates(["id", "v"])
 
     def pack(tag: int, most: int):
+        """Rows (id, v, key), rows of a key together, as blocks of at most ``most`` rows of one key."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def out(ids, vs):
+            def out(key, ids, vs):
                 wide = max((len(v) for v in vs), default=0)
                 rows = np.zeros((len(vs), wide), "<i8")
                 for i, v in enumerate(vs):
                     rows[i, : len(v)] = v
                 small = np.int16 if np.abs(rows).max(initial=0) < 1 << 15 else np.int64
-                one = [[tag], [wide], [small().itemsize], [np.array(ids, "<i8").tobytes()], [rows.astype(small).tobytes()], [int(np.bitwise_xor.reduce(np.array(ids, "<i8")) & 0x7FFFFFFF)]]
-                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
-                return pa.record_batch([pa.array(x, t) for x, t in zip(one, kinds, strict=True)], names=["tag", "wide", "item", "ids", "rows", "h"])
+                one = [[tag], [key], [wide], [small().itemsize], [np.array(ids, "<i8").tobytes()], [rows.astype(small).tobytes()]]
+                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                return pa.record_batch([pa.array(x, t) for x, t in zip(one, kinds, strict=True)], names=["tag", "key", "wide", "item", "ids", "rows"])
 
-            ids, vs = [], []
+            last, ids, vs = None, [], []
             for b in batches:
-                ids += b.column(0).to_pylist()
                 flat, offsets = b.column(1).flatten().to_numpy(zero_copy_only=False), b.column(1).offsets.to_numpy()
-                offsets = offsets - offsets[0]
-                vs += [flat[i:j] for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                while len(ids) >= most:
-                    yield out(ids[:most], vs[:most])
-                    ids, vs = ids[most:], vs[most:]
+                offsets = (offsets - offsets[0]).tolist()
+                for r, (name, key) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                    if ids and (key != last or len(ids) >= most):
+                        yield out(last, ids, vs)
+                        ids, vs = [], []
+                    last = key
+                    ids.append(name)
+                    vs.append(flat[offsets[r] : offsets[r + 1]])
             if ids:
-                yield out(ids, vs)
+                yield out(last, ids, vs)
 
         return run
 
-    schema = "tag int, wide int, item int, ids binary, rows binary, h long"
+    schema = "tag int, key int, wide int, item int, ids binary, rows binary"
     rows_c, rows_q = clean(candidates), clean(queries)
     n, nq = rows_c.count(), rows_q.count()
     salts, groups = max(1, -(-n // block)), max(1, -(-nq // query_block))
-    # queries come as ``groups`` whole blocks, candidates as many; each pair of a group and a salt is one task's work
-    q = rows_q.withColumn("g", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(groups)).cast("int"))
-    q = q.repartition(groups, "g").select("id", "v").mapInArrow(pack(0, query_block), schema)
-    q = q.withColumn("g", F.monotonically_increasing_id())
+    # queries form ``groups`` sets of about query_block rows, candidates ``salts`` sets of blocks; every pair of sets is one
+    # task's work, as a search of all queries against all rows demands
+    q = rows_q.withColumn("key", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(groups)).cast("int"))
+    q = q.repartition(groups, "key").sortWithinPartitions("key").mapInArrow(pack(0, query_block), schema).withColumnRenamed("key", "g")
     q = runtime.staged(q, "query-blocks", compression="none")
-    names = q.select("g")
-    c = rows_c.mapInArrow(pack(1, block), schema).withColumn("salt", F.pmod(F.xxhash64("h", F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
+    c = rows_c.withColumn("key", F.lit(0)).mapInArrow(pack(1, block), schema).drop("key")
+    c = c.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
     c = runtime.staged(c, "candidate-blocks", compression="none")
-    # a block of candidates goes to every block of queries, as the search demands: n / block x nq / query_block meetings
-    every = runtime.cut(names.groupBy().agg(F.collect_list("g").alias("gs")))
-    meet_c = c.join(F.broadcast(every)).withColumn("g", F.explode("gs")).drop("gs")
+    meet_c = c.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     meet_q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     cols = ["g", "salt", "tag", "wide", "item", "ids", "rows"]
     dealt = meet_q.select(cols).unionByName(meet_c.select(cols)).repartition(max(runtime.partitions(spark), 1), "g", "salt").sortWithinPartitions("g", "salt", "tag")
@@ -188,16 +190,22 @@ def search(
         for b in batches:
             for r in b.to_pylist():
                 key = (r["g"], r["salt"])
-                if r["tag"] == 0:
-                    if state["key"] is not None:
+                if key != state["key"]:
+                    if state.get("q"):
                         yield ended()
-                    state = {"key": key, "q": unpack(r), "held": []}
-                    state["top"] = [[] for _ in state["q"][0]]
-                else:
+                    state = {"key": key, "q": None, "held": [], "top": []}
+                if r["tag"] == 0:  # the sets of queries come first
+                    ids, rows = unpack(r)
+                    if state["q"]:
+                        wide = max(rows.shape[1], state["q"][1].shape[1])
+                        ids, rows = np.concatenate([state["q"][0], ids]), np.concatenate([fit(state["q"][1], wide), fit(rows, wide)])
+                    state["q"] = (ids, rows)
+                    state["top"] = [[] for _ in ids]
+                elif state["q"]:
                     state["held"].append(unpack(r))
                     if sum(len(i) for i, _ in state["held"]) >= block:
                         drain()
-        if state["key"] is not None:
+        if state.get("q"):
             yield ended()
 
     found = dealt.mapInArrow(run, "g long, j int, query_id long, vec_id long, score long")
