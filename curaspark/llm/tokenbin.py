@@ -33,14 +33,17 @@ from . import runtime
 MAGIC, VERSION, RANK = b"DAC1", 1, 512
 
 
-def chunk_widths(bits: np.ndarray) -> list[int]:
-    """Widths of least total size for ids of the given bit lengths: cost of a level = (width + 1 continuation bit) x ids on it."""
-    top = int(bits.max(initial=1))
+def chunk_widths(bits: np.ndarray, unit: int = 8) -> list[int]:
+    """Widths of least total size for ids of the given bit lengths: cost of a level = (width + 1 continuation bit) x ids on it.
+
+    Widths are multiples of ``unit``; whole bytes cost a little more room than single bits and far less time.
+    """
+    top = -(-int(bits.max(initial=1)) // unit) * unit
     reach = [int((bits > k).sum()) for k in range(top + 1)]
     reach[0] = len(bits)
     best: list[tuple[int, list[int]]] = [(0, [])] * (top + 1)
-    for at in range(top - 1, -1, -1):
-        options = [((w + (at + w < top)) * reach[at] + best[at + w][0], [w, *best[at + w][1]]) for w in range(1, top - at + 1)]
+    for at in range(top - unit, -1, -unit):
+        options = [((w + (at + w < top)) * reach[at] + best[at + w][0], [w, *best[at + w][1]]) for w in range(unit, top - at + 1, unit)]
         best[at] = min(options, key=lambda x: (x[0], len(x[1])))
     return best[0][1]
 
@@ -65,12 +68,12 @@ def _unpack(buf: memoryview, width: int, a: int, b: int) -> np.ndarray:
     return np.packbits(wide, axis=1, bitorder="little").view("<u4").reshape(-1)
 
 
-def encode_block(doc_ids: Iterable[int | None], ids: list[np.ndarray]) -> bytes:
-    """A block of documents (id, token ids) as bytes."""
+def encode_block(doc_ids: Iterable[int | None], ids: list[np.ndarray], unit: int = 8) -> bytes:
+    """A block of documents (id, token ids) as bytes, in chunks of multiples of ``unit`` bits."""
     doc_ids = list(doc_ids)
     flat = np.concatenate(ids).astype(np.uint32) if ids else np.zeros(0, np.uint32)
     bits = np.maximum(1, np.ceil(np.log2(flat.astype(np.float64) + 1)).astype(np.int64)) if len(flat) else np.zeros(0, np.int64)
-    widths = chunk_widths(bits) if len(flat) else [1]
+    widths = chunk_widths(bits, unit) if len(flat) else [unit]
     parts, rest, left = [], flat, bits
     for k, w in enumerate(widths):
         chunk = rest & np.uint32((1 << w) - 1)
@@ -154,8 +157,12 @@ class Block:
         return self.slice(int(self.offsets[k]), int(self.offsets[k + 1]))
 
 
-CACHE_WORDS = 1_100_000
-_LETTERS = re.compile(rb"[a-z]+")
+CACHE_WORDS = 300_000
+_PLAIN = re.compile(rb"([a-z]+)([!-/:-@\[-`{-~]*)")
+_LATIN = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
+#: Byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on, in order.
+_SHOWN = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
+_BYTE_LEVEL = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _encoders: dict[str, WordIds] = {}
 
 
@@ -163,8 +170,8 @@ class WordIds(dict):
     """Chunk of text between white space -> its ids as packed integers, in a cache bounded by clearing.
 
     The tokenizer cuts at white space and between letters and marks before it merges, so a text's ids are those of its
-    chunks in a row, and a full stop or comma at the end of a chunk, after a letter, can be told apart from it. A chunk of
-    the letters a-z is one word to the tokenizer and goes to its model directly; any other passes the whole tokenizer.
+    chunks in a row, and a run of marks at the end of a chunk, after a letter, can be told apart from it. A chunk of
+    Latin letters is one word to the tokenizer and goes to its model directly; any other passes the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -176,8 +183,10 @@ class WordIds(dict):
         small = self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16
         self.kind, self.code = ("=u2", "H") if small else ("=u4", "I")
         self.tokenize = self.tok.model.tokenize
+        self.marks: dict[bytes, bytes] = {}
         # the shortcuts hold for a tokenizer that keeps letters as they are and cuts marks off; any other gets whole chunks
-        self.plain = all(self._whole(a) == self._model(a) and self._whole(a + b) == self._model(a) + self._whole(b) for a in (b"abc", b"the", b"qzx") for b in (b".", b","))
+        self.plain = all(self._whole(a) == self._model(a) and self._whole(a + b) == self._model(a) + self._whole(b) for a in (b"abc", b"the", b"qzx") for b in (b".", b",", b"!!", b"'", b"***", b".\")", b"-"))
+        self.latin = self.plain and all(self._whole(w.encode()) == self._accented(w.encode()) for w in ("été", "ñandú", "größe", "ÀÉÎÕÜ", "þæøå", "ça"))
         self.lower = self.plain and self._whole(b"AbC") == self._whole(b"abc")
 
     def _whole(self, chunk: bytes) -> bytes:
@@ -186,13 +195,32 @@ class WordIds(dict):
     def _model(self, chunk: bytes) -> bytes:
         return array(self.code, [t.id for t in self.tokenize(chunk.decode())]).tobytes()
 
+    def _mark(self, mark: bytes) -> bytes:
+        if len(self.marks) > 10_000:
+            self.marks.clear()
+        ids = self.marks[mark] = self._whole(mark)
+        return ids
+
+    def _accented(self, chunk: bytes) -> bytes:
+        """A word of Latin letters: lower case, no marks to compose, one word to the tokenizer."""
+        return self._model(chunk.decode().lower().encode().decode("latin-1").translate(_BYTE_LEVEL).encode())
+
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) > CACHE_WORDS:
             self.clear()
-        if self.plain and _LETTERS.fullmatch(chunk):
-            ids = self._model(chunk)
-        elif self.plain and chunk[-1:] in b".," and _LETTERS.match(chunk[-2:-1]):
-            ids = self[chunk[:-1]] + self._whole(chunk[-1:])
+        plain = _PLAIN.fullmatch(chunk) if self.plain else None
+        if plain:
+            core, mark = plain.groups()
+            ids = self.get(core) if mark else None
+            if ids is None:
+                ids = array(self.code, [t.id for t in self.tokenize(core.decode())]).tobytes()
+            if mark:
+                ids += self.marks.get(mark) or self._mark(mark)
+        elif self.latin and (latin := _LATIN.fullmatch(chunk)):
+            core, mark = latin.groups()
+            ids = self._accented(core)
+            if mark:
+                ids += self.marks.get(mark) or self._mark(mark)
         else:
             ids = self._whole(chunk)
         self[chunk] = ids
@@ -211,7 +239,7 @@ def word_ids(path: str) -> WordIds:
     return _encoders[path]
 
 
-def write_blocks(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, block_tokens: int = 1 << 18) -> DataFrame:
+def write_blocks(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, block_tokens: int = 1 << 16) -> DataFrame:
     """Encode all documents in ascending id order; returns the written blocks (shard, block, n_docs, n_tokens, payload)."""
     spark = docs.sparkSession
     runtime.ship(spark)
