@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from . import graph, labels, vectors
 
 
@@ -68,21 +70,19 @@ def lsh_links(items: DataFrame, max_distance: float = 0.05, bits: int = 16, tabl
 
     An explicit mode only: at distance 0.05 a pair is met with a probability near 0.55; ``dedup.group_ids`` is exact.
     """
-    dim = items.select(F.max(F.size("embedding"))).first()[0] or 1
-    planes = [np.random.RandomState(seed + t).randn(bits, dim).tolist() for t in range(tables)]
-    v = F.col("embedding")
-
-    def signature(t: int):
-        bit = [F.when(F.aggregate(F.zip_with(v, F.array(*map(F.lit, p)), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) >= 0, F.lit(1 << i)).otherwise(F.lit(0)) for i, p in enumerate(planes[t])]
-        out = bit[0]
-        for x in bit[1:]:
-            out = out + x
-        return F.struct(F.lit(t).alias("t"), out.alias("sig"))
-
-    keyed = items.where(v.isNotNull()).select("id", v.alias("e"), F.explode(F.array(*[signature(t) for t in range(tables)])).alias("k")).select("id", "e", "k.t", "k.sig")
+    known = items.where(F.col("embedding").isNotNull())
+    dim = known.select(F.max(F.size("embedding"))).first()[0] or 1
+    planes = np.stack([np.random.RandomState(seed + t).randn(bits, dim) for t in range(tables)])
+
+    @F.pandas_udf("array<long>")
+    def signatures(v: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype=object)
+        side = np.einsum("tbd,nd->ntb", planes, np.array(v.tolist(), float)) >= 0
+        return pd.Series(list((side << np.arange(bits)).sum(axis=2)))
+
+    keyed = known.select("id", F.col("embedding").alias("e"), F.posexplode(signatures("embedding")).alias("t", "sig"))
     other = keyed.select(F.col("id").alias("b"), F.col("e").alias("f"), "t", "sig")
-    from ..functions import columns as C
-
     pairs = keyed.join(other, ["t", "sig"]).where(F.col("id") < F.col("b"))
     dist = F.lit(1.0) - C.dot(C.l2(F.col("e")), C.l2(F.col("f")))
     return pairs.select(F.col("id").alias("a"), "b", dist.alias("distance")).where(F.col("distance") < max_distance).distinct()

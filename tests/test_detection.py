@@ -111,7 +111,7 @@ def test_control_charts(spark):
     assert monitor.spc(monitor.series(spark.createDataFrame([], "t int, x double"), "t", "x")).collect() == []
 
 
-def test_calibration(spark):
+def test_calibration(spark, monkeypatch):
     r = np.random.default_rng(0)
     conf = r.uniform(0.9, 0.99, 400)
     y = (r.random(400) < 0.7).astype(float)
@@ -124,6 +124,8 @@ def test_calibration(spark):
 
     grid = np.linspace(0.05, 10, 4000)
     assert t == pytest.approx(grid[np.argmin([loss(g) for g in grid])], abs=0.01) and t > 1
+    monkeypatch.setattr(monitor, "LOCAL_ROWS", 0)
+    assert monitor.fit_temperature(df).first().temperature == t
     assert monitor.fit_temperature(df.limit(0)).first().temperature == 1.0
     assert monitor.calibration_error(df).first().ece > 0.1
     assert monitor.calibration_error(df.limit(0)).first().ece == 0.0
