@@ -41,10 +41,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/curaspark-{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete this application's staged tables; frames that read them are of no use afterwards."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: what follows never recomputes it, whichever executors are lost."""
+    """Write a table to the shared folder and read it back: what follows never recomputes it, whichever executors are lost.
+
+    Staged tables stay until ``sweep``, as the frames returned read them.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/curaspark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.options(**options).parquet(path)
     return spark.read.schema(schema).parquet(path)
