@@ -51,7 +51,9 @@ def average_precision(matched: DataFrame, gt: DataFrame) -> DataFrame:
     pts = pts.withColumn("rn", F.count(F.lit(1)).over(order)).withColumn("tp", tp)
     pts = pts.withColumn("recall", F.when(F.col("n_gt") > 0, F.col("tp") / F.col("n_gt")).otherwise(F.lit(0.0))).withColumn("precision", F.col("tp") / F.col("rn"))
     back = Window.partitionBy("thr", "label").orderBy("rn")
-    pts = pts.withColumn("env", F.max("precision").over(back.rowsBetween(0, Window.unboundedFollowing))).withColumn("step", F.col("recall") - F.lag("recall", 1, 0.0).over(back))
+    # the envelope runs from the right: a growing frame over the reversed order, linear where a shrinking one is quadratic
+    right = Window.partitionBy("thr", "label").orderBy(F.desc("rn")).rowsBetween(Window.unboundedPreceding, 0)
+    pts = pts.withColumn("env", F.max("precision").over(right)).withColumn("step", F.col("recall") - F.lag("recall", 1, 0.0).over(back))
     ap = pts.groupBy("thr", "label").agg(F.round(F.sum(F.col("env") * F.col("step")), 4).alias("ap"), F.count(F.lit(1)).alias("n_pred"))
     grid = n_gt.join(F.broadcast(matched.select("thr").distinct()))
     full = grid.join(ap, ["thr", "label"], "full_outer")

@@ -131,5 +131,5 @@ def cost_gate(miss_rate: float, fa_rate: float, miss_cost: float, fa_cost: float
 
 def recall_envelope(points: DataFrame, by: list[str]) -> DataFrame:
     """Running maximum of precision from the right, over points (rn, precision)."""
-    w = Window.partitionBy(*by).orderBy("rn").rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy(*by).orderBy(F.desc("rn")).rowsBetween(Window.unboundedPreceding, 0)
     return points.withColumn("envelope", F.max("precision").over(w))
