@@ -157,7 +157,7 @@ class Block:
         return self.slice(int(self.offsets[k]), int(self.offsets[k + 1]))
 
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 _PLAIN = re.compile(rb"([a-z]+)([!-/:-@\[-`{-~]*)")
 _LATIN = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
 #: Byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on, in order.
