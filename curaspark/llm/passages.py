@@ -4,9 +4,10 @@ Paragraphs come in two sizes. Lines of at least ``line_words`` words get a MinHa
 it, as many as ``bands_for`` needs for the recall asked, are join keys, and lines that collide are verified by exact Jaccard
 similarity. The whole word stream is also cut into short paragraphs at places its own words choose - where the hash of two
 adjacent words is least among its neighbours - so a passage inside different lines falls into the same short paragraphs
-wherever it stands. A short paragraph has so few shingles that a similarity of 0.8 means equality (one changed word takes
+wherever it stands, but for its ends, which are found word by word around the paragraphs that repeat. A short paragraph has so few shingles that a similarity of 0.8 means equality (one changed word takes
 five shingles), hence its signature is a single band, the hash of all its words. Components of verified links make classes;
-paragraphs whose class spans documents are joined into passages, and passages of at least ``min_words`` words are reported.
+each sequence of ``min_words`` words around paragraphs whose class spans documents is then looked up in other documents. What
+those sequences and the verified lines cover are the passages, to their true ends and ``min_words`` words long at least.
 
 Cases: null, empty or very short texts hold no paragraph; rows that share an id, also a null one, count as one document;
 repeated rows report their passages once each; case and marks at the edges of words don't matter; very long texts and lines
@@ -132,15 +133,26 @@ def band_keys(grams: np.ndarray, bands: int, rows: int, seed: int = 11) -> np.nd
     return key.view(np.int64)
 
 
-def units(docs: DataFrame, id_col: str, text_col: str, line_words: int, shingle: int, bands: int, rows: int) -> DataFrame:
-    """Paragraphs of every row: (uid, d, is_line, start, n, key, bands, grams)."""
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(uid, d, text) of every row."""
+    d = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    text = F.col(text_col).cast("string")
+    return docs.select(F.xxhash64(d, text).alias("uid"), d.alias("d"), text.cast("binary").alias("text"))
+
+
+def units(docs: DataFrame, id_col: str, text_col: str, min_words: int, line_words: int, shingle: int, bands: int, rows: int) -> DataFrame:
+    """Paragraphs of every row: (uid, d, is_line, start, n, key, chain, reach, bands, grams).
+
+    A short paragraph's chain is the hash of the ``reach`` words from its start to the first cut that is min_words or more
+    after the next paragraph's start, or to the end: all sequences of min_words words that begin in the paragraph.
+    """
     runtime.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                cols: list[list] = [[] for _ in range(6)]
+                cols: list[list] = [[] for _ in range(8)]
                 band_out: list = []
                 gram_out: list = []
                 for uid, d, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
@@ -158,22 +170,73 @@ def units(docs: DataFrame, id_col: str, text_col: str, line_words: int, shingle:
                         starts = np.concatenate([starts, [i for i, _ in lines]]).astype(np.int64)
                         stops = np.concatenate([stops, [j for _, j in lines]]).astype(np.int64)
                         keys = span_keys(h, starts, stops)
+                        last = at[np.minimum(np.searchsorted(at, stops + min_words), len(at) - 1)]
+                        last[is_line] = stops[is_line]
+                        chains = span_keys(h, starts, last)
                         band_out += [None] * (len(starts) - len(lines))
                         gram_out += [None] * (len(starts) - len(lines))
                         for i, j in lines:
                             g = shingle_hashes(h[i:j], shingle)
                             band_out.append(band_keys(g, bands, rows))
                             gram_out.append(g.astype("<u4").tobytes())
-                    for c, x in zip(cols, (np.full(len(starts), uid), np.full(len(starts), d), is_line, starts.astype(np.int32), (stops - starts).astype(np.int32), keys.view(np.int64)), strict=True):
+                    for c, x in zip(cols, (np.full(len(starts), uid), np.full(len(starts), d), is_line, starts.astype(np.int32), (stops - starts).astype(np.int32), keys.view(np.int64), chains.view(np.int64), (last - starts).astype(np.int32)), strict=True):
                         c.append(x)
                 if cols[0]:
                     flat = [pa.array(np.concatenate(c)) for c in cols]
-                    yield pa.record_batch([*flat, pa.array(band_out, pa.list_(pa.int64())), pa.array(gram_out, pa.binary())], names=["uid", "d", "is_line", "start", "n", "key", "bands", "grams"])
+                    yield pa.record_batch([*flat, pa.array(band_out, pa.list_(pa.int64())), pa.array(gram_out, pa.binary())], names=["uid", "d", "is_line", "start", "n", "key", "chain", "reach", "bands", "grams"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, "uid long, d long, is_line boolean, start int, n int, key long, chain long, reach int, bands array<long>, grams binary")
 
-    d = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    text = F.col(text_col).cast("string")
-    rows_in = docs.select(F.xxhash64(d, text).alias("uid"), d.alias("d"), text.cast("binary").alias("text"))
-    return rows_in.mapInArrow(run, "uid long, d long, is_line boolean, start int, n int, key long, bands array<long>, grams binary")
+
+def open_windows(h: np.ndarray, starts: np.ndarray, stops: np.ndarray, known: np.ndarray, size: int) -> np.ndarray:
+    """Where sequences of ``size`` words around repeated paragraphs begin, without those inside a chain known to repeat.
+
+    A text shared with another document can reach beyond its whole paragraphs into the next one on either side, and past that
+    one's cut by as many words as a cut looks at: four before it, six after.
+    """
+    at = cuts(h)
+    lo = at[np.maximum(np.searchsorted(at, starts) - 1, 0)] - 4
+    hi = at[np.minimum(np.searchsorted(at, stops, "right"), len(at) - 1)] + 6
+    inside = np.zeros(len(h) + 1, np.int64)
+    np.add.at(inside, np.maximum(lo, 0), 1)
+    np.add.at(inside, np.minimum(hi, len(h)), -1)
+    inside = np.cumsum(inside) > 0
+    # a window's words are all inside: as many as its size since it began
+    full = np.concatenate([[0], np.cumsum(inside[:-1])])
+    ok = full[size:] - full[:-size] == size
+    for i, j in zip(starts[known].tolist(), stops[known].tolist(), strict=True):
+        ok[i : j + 1] = False
+    return np.flatnonzero(ok)
+
+
+def windows(texts: DataFrame, size: int) -> DataFrame:
+    """Hashes of the open windows of (uid, d, text, near), near being a row's repeated paragraphs: (uid, d, at, key)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 64):
+                part = b.slice(k, 64)
+                cols: list[list] = [[] for _ in range(4)]
+                for uid, d, text, near in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3), strict=True):
+                    with np.errstate(over="ignore"):
+                        h, _ = word_hashes(text.as_py())
+                        if len(h) < size:
+                            continue
+                        starts, n, known = (near.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                        at = open_windows(h, starts.astype(np.int64), (starts + n).astype(np.int64), known.astype(bool), size)
+                        if len(at):
+                            keys = span_keys(h, at, at + size).view(np.int64)
+                            for c, x in zip(cols, (np.full(len(at), uid), np.full(len(at), d), at.astype(np.int32), keys), strict=True):
+                                c.append(x)
+                if cols[0]:
+                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in cols], names=["uid", "d", "at", "key"])
+
+    return texts.mapInArrow(run, "uid long, d long, at int, key long")
+
+
+def _across(rows: DataFrame, key: str) -> DataFrame:
+    """Keys that rows of different documents have, with the least of those documents."""
+    return rows.groupBy(key).agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select(key, "lo")
 
 
 def cluster(grams: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -242,10 +305,19 @@ def repeated(
     passage_n_words place the passage it belongs to. A document none of whose passages repeats has no row.
     """
     spark = docs.sparkSession
-    found = runtime.staged(units(docs, id_col, text_col, line_words, shingle, bands_for(rows, similarity, recall), rows), "paragraphs")
-    short = found.where("not is_line").select("uid", "d", "start", "n", "key")
-    classes = runtime.staged(short.groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("key", "lo"), "short-classes")
-    shorts = short.join(classes, "key").select("uid", "d", "start", "n", F.col("key").alias("component_id"), "lo")
+    found = runtime.staged(units(docs, id_col, text_col, min_words, line_words, shingle, bands_for(rows, similarity, recall), rows), "paragraphs")
+    short = found.where("not is_line").select("uid", "d", "start", "n", "key", "chain", "reach")
+    classes = runtime.staged(_across(short, "key"), "short-classes")
+    near = runtime.staged(short.join(classes, "key").withColumnRenamed("key", "component_id"), "shorts")
+    shorts = near.select("uid", "d", "start", "n", "component_id", "lo")
+
+    # sequences of min_words words around repeated paragraphs: in chains that repeat as they are, the others one by one
+    chains = runtime.staged(_across(near, "chain").select("chain", F.lit(True).alias("known")), "chains")
+    near = runtime.staged(near.join(chains, "chain", "left").select("uid", "start", "n", "reach", F.coalesce("known", F.lit(False)).alias("known")), "shorts-chained")
+    held = near.groupBy("uid").agg(F.collect_set(F.struct("start", "n", "known")).alias("near")).where(F.exists("near", lambda x: ~x["known"]))
+    opened = runtime.staged(windows(_texts(docs, id_col, text_col).join(held, "uid").select("uid", "d", "text", "near"), min_words), "windows")
+    shared = opened.join(runtime.staged(_across(opened, "key").select("key"), "windows-shared"), "key").select("uid", F.col("at").alias("first"), (F.col("at") + min_words).alias("end"))
+    shared = shared.unionByName(near.where(F.col("known") & (F.col("reach") >= min_words)).select("uid", F.col("start").alias("first"), (F.col("start") + F.col("reach")).alias("end")))
 
     lines = found.where("is_line")
     banded = lines.select("key", F.explode("bands").alias("band")).distinct()
@@ -263,16 +335,18 @@ def repeated(
     spans = runtime.cut(classed.groupBy("component_id").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("component_id", "lo"))
     longs = classed.join(spans, "component_id").select("uid", "d", "start", "n", "component_id", "lo")
 
-    # passages: runs of repeated paragraphs without a gap, within a row's own paragraphs only
+    # passages: what shared sequences and repeated lines cover without a gap, within a row's own words only
     every = shorts.unionByName(longs).withColumn("stop", F.col("start") + F.col("n"))
-    order = Window.partitionBy("uid", "d").orderBy("start", "stop")
-    fresh = F.when(F.col("start") > F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)
-    runs = every.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy("uid", "d", "run")
-    runs = runs.withColumn("passage_first_word", F.min("start").over(whole)).withColumn("passage_n_words", F.max("stop").over(whole) - F.min("start").over(whole))
+    shared = shared.unionByName(longs.where(F.col("n") >= min_words).select("uid", F.col("start").alias("first"), (F.col("start") + F.col("n")).alias("end"))).distinct()
+    order = Window.partitionBy("uid").orderBy("first", "end")
+    fresh = F.when(F.col("first") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)
+    runs = shared.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("uid", "run").agg(F.min("first").alias("first"), F.max("end").alias("end"))
+    runs = runs.groupBy("uid").agg(F.collect_list(F.struct("first", "end")).alias("passages"))
+    within = F.filter("passages", lambda p: (p["first"] <= F.col("start")) & (p["end"] >= F.col("stop")))
+    placed = every.join(runs, "uid").withColumn("p", F.get(within, F.lit(0))).where("p is not null")
     name = lambda c: F.expr(f"nullif({c}, {NO_ID}L)")
-    return runs.where(F.col("passage_n_words") >= min_words).select(
-        name("d").alias("doc_id"), F.col("start").alias("first_word"), F.col("n").alias("n_words"), "component_id", name("lo").alias("first_doc_id"), (F.col("d") != F.col("lo")).alias("removed"), "passage_first_word", "passage_n_words"
+    return placed.select(
+        name("d").alias("doc_id"), F.col("start").alias("first_word"), F.col("n").alias("n_words"), "component_id", name("lo").alias("first_doc_id"), (F.col("d") != F.col("lo")).alias("removed"),
+        F.col("p.first").alias("passage_first_word"), (F.col("p.end") - F.col("p.first")).alias("passage_n_words"),
     )
-
-

@@ -92,3 +92,33 @@ def test_planted_passages(spark, cap):
             assert any(set(ds) <= c for c in classes.values()), p
     assert any({200, 201, 202} <= c for c in classes.values())
     assert passages.repeated(df.limit(0)).collect() == []
+
+
+def test_passages_inside_differing_lines_to_their_true_ends(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = np.array([f"w{k}" for k in range(20_000)])
+    rows, want = [], {}
+    for p in range(400):
+        shared = list(rng.choice(vocabulary, 51 + p % 5))
+        for d in (2 * p, 2 * p + 1):
+            before, after = (list(rng.choice(vocabulary, int(n))) for n in rng.integers(10, 60, 2))
+            rows.append((d, " ".join(before + shared + after), "", 0))
+            want[d] = (len(before), len(shared))
+    got = {}
+    for r in passages.repeated(spark.createDataFrame(rows, SCHEMA)).collect():
+        got.setdefault(r.doc_id, set()).add((r.passage_first_word, r.passage_n_words))
+    assert all(got[d] == {want[d]} for d in got)
+    assert len(got) >= 0.98 * len(want)
+
+
+def test_stacked_short_lines_are_left_alone(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = np.array([f"w{k}" for k in range(20_000)])
+    lines = [" ".join(rng.choice(vocabulary, 18)) for _ in range(60)]
+    rows = [(d, "\n".join(lines[k] for k in rng.choice(60, 5, replace=False)), "", 0) for d in range(40)]
+    pairs = {}
+    for d, text, _, _ in rows:
+        for x in zip(text.split("\n"), text.split("\n")[1:]):
+            pairs.setdefault(x, set()).add(d)
+    stacked = {d for ds in pairs.values() if len(ds) > 1 for d in ds}
+    assert {r.doc_id for r in passages.repeated(spark.createDataFrame(rows, SCHEMA)).collect()} <= stacked
