@@ -2,12 +2,13 @@
 
 Paragraphs come in two sizes. Lines of at least ``line_words`` words get a MinHash signature over five-word shingles; bands of
 it, as many as ``bands_for`` needs for the recall asked, are join keys, and lines that collide are verified by exact Jaccard
-similarity. The whole word stream is also cut into short paragraphs at places its own words choose - where the hash of two
+similarity; ``line_words`` is the least at which unequal lines reach 0.8, as five shingles share four. The whole word stream is also cut into short paragraphs at places its own words choose - where the hash of two
 adjacent words is least among its neighbours - so a passage inside different lines falls into the same short paragraphs
 wherever it stands, but for its ends, which are found word by word around the paragraphs that repeat. A short paragraph has so few shingles that a similarity of 0.8 means equality (one changed word takes
 five shingles), hence its signature is a single band, the hash of all its words. Components of verified links make classes;
 each sequence of ``min_words`` words around paragraphs whose class spans documents is then looked up in other documents. What
-those sequences and the verified lines cover are the passages, to their true ends and ``min_words`` words long at least.
+those sequences and the verified lines cover are the passages, to their true ends and ``min_words`` words long at least. Runs of repeated paragraphs with small gaps
+are also joined, and the joined spans are banded and verified as lines are.
 
 Cases: null, empty or very short texts hold no paragraph; rows that share an id, also a null one, count as one document;
 repeated rows report their passages once each; case and marks at the edges of words don't matter; very long texts and lines
@@ -209,29 +210,60 @@ def open_windows(h: np.ndarray, starts: np.ndarray, stops: np.ndarray, known: np
     return np.flatnonzero(ok)
 
 
-def windows(texts: DataFrame, size: int) -> DataFrame:
-    """Hashes of the open windows of (uid, d, text, near), near being a row's repeated paragraphs: (uid, d, at, key)."""
+def joined_spans(starts: np.ndarray, stops: np.ndarray, gap: int, least: int) -> list[tuple[int, int]]:
+    """Runs of repeated paragraphs joined over gaps of at most ``gap`` words, where there is a gap and ``least`` words are reached."""
+    order = np.argsort(starts)
+    out, lo, hi, open_ = [], -1, -1, False
+    for i, j in [*zip(starts[order].tolist(), stops[order].tolist(), strict=True), (1 << 62, 1 << 62)]:
+        if lo < 0 or i > hi + gap:
+            if open_ and hi - lo >= least:
+                out.append((lo, hi))
+            lo, hi, open_ = i, j, False
+        else:
+            open_ |= i > hi
+            hi = max(hi, j)
+    return out
+
+
+def windows(texts: DataFrame, size: int, shingle: int, bands: int, rows: int, gap: int = 24) -> DataFrame:
+    """Open windows and joined spans, these with bands, of (uid, d, text, near), near being a row's repeated paragraphs.
+
+    (uid, d, start, n, key, bands, grams); bands and grams are null for windows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 64):
                 part = b.slice(k, 64)
-                cols: list[list] = [[] for _ in range(4)]
+                cols: list[list] = [[] for _ in range(5)]
+                band_out: list = []
+                gram_out: list = []
                 for uid, d, text, near in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3), strict=True):
                     with np.errstate(over="ignore"):
                         h, _ = word_hashes(text.as_py())
                         if len(h) < size:
                             continue
                         starts, n, known = (near.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                        at = open_windows(h, starts.astype(np.int64), (starts + n).astype(np.int64), known.astype(bool), size)
-                        if len(at):
-                            keys = span_keys(h, at, at + size).view(np.int64)
-                            for c, x in zip(cols, (np.full(len(at), uid), np.full(len(at), d), at.astype(np.int32), keys), strict=True):
+                        starts, stops = starts.astype(np.int64), (starts + n).astype(np.int64)
+                        at = open_windows(h, starts, stops, known.astype(bool), size)
+                        spans = joined_spans(starts, stops, gap, size)
+                        first = np.concatenate([at, [i for i, _ in spans]]).astype(np.int64)
+                        end = np.concatenate([at + size, [j for _, j in spans]]).astype(np.int64)
+                        band_out += [None] * len(at)
+                        gram_out += [None] * len(at)
+                        for i, j in spans:
+                            g = shingle_hashes(h[i:j], shingle)
+                            band_out.append(band_keys(g, bands, rows))
+                            gram_out.append(g.astype("<u4").tobytes())
+                        if len(first):
+                            keys = span_keys(h, first, end).view(np.int64)
+                            for c, x in zip(cols, (np.full(len(first), uid), np.full(len(first), d), first.astype(np.int32), (end - first).astype(np.int32), keys), strict=True):
                                 c.append(x)
                 if cols[0]:
-                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in cols], names=["uid", "d", "at", "key"])
+                    flat = [pa.array(np.concatenate(c)) for c in cols]
+                    yield pa.record_batch([*flat, pa.array(band_out, pa.list_(pa.int64())), pa.array(gram_out, pa.binary())], names=["uid", "d", "start", "n", "key", "bands", "grams"])
 
-    return texts.mapInArrow(run, "uid long, d long, at int, key long")
+    return texts.mapInArrow(run, "uid long, d long, start int, n int, key long, bands array<long>, grams binary")
 
 
 def _across(rows: DataFrame, key: str) -> DataFrame:
@@ -296,7 +328,7 @@ def _line_edges(similarity: float):
 
 
 def repeated(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, recall: float = 0.995, min_words: int = 32, line_words: int = 49, shingle: int = 5, rows: int = 4, cap: int = 1024
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, recall: float = 0.995, min_words: int = 32, line_words: int = 8, shingle: int = 5, rows: int = 4, cap: int = 1024
 ) -> DataFrame:
     """One row for each paragraph that repeats across documents inside a passage of at least ``min_words`` words.
 
@@ -305,7 +337,8 @@ def repeated(
     passage_n_words place the passage it belongs to. A document none of whose passages repeats has no row.
     """
     spark = docs.sparkSession
-    found = runtime.staged(units(docs, id_col, text_col, min_words, line_words, shingle, bands_for(rows, similarity, recall), rows), "paragraphs")
+    bands = bands_for(rows, similarity, recall)
+    found = runtime.staged(units(docs, id_col, text_col, min_words, line_words, shingle, bands, rows), "paragraphs")
     short = found.where("not is_line").select("uid", "d", "start", "n", "key", "chain", "reach")
     classes = runtime.staged(_across(short, "key"), "short-classes")
     near = runtime.staged(short.join(classes, "key").withColumnRenamed("key", "component_id"), "shorts")
@@ -315,11 +348,12 @@ def repeated(
     chains = runtime.staged(_across(near, "chain").select("chain", F.lit(True).alias("known")), "chains")
     near = runtime.staged(near.join(chains, "chain", "left").select("uid", "start", "n", "reach", F.coalesce("known", F.lit(False)).alias("known")), "shorts-chained")
     held = near.groupBy("uid").agg(F.collect_set(F.struct("start", "n", "known")).alias("near")).where(F.exists("near", lambda x: ~x["known"]))
-    opened = runtime.staged(windows(_texts(docs, id_col, text_col).join(held, "uid").select("uid", "d", "text", "near"), min_words), "windows")
-    shared = opened.join(runtime.staged(_across(opened, "key").select("key"), "windows-shared"), "key").select("uid", F.col("at").alias("first"), (F.col("at") + min_words).alias("end"))
+    opened = runtime.staged(windows(_texts(docs, id_col, text_col).join(held, "uid").select("uid", "d", "text", "near"), min_words, shingle, bands, rows), "windows")
+    spans, opened = opened.where("bands is not null"), opened.where("bands is null")
+    shared = opened.join(runtime.staged(_across(opened, "key").select("key"), "windows-shared"), "key").select("uid", F.col("start").alias("first"), (F.col("start") + min_words).alias("end"))
     shared = shared.unionByName(near.where(F.col("known") & (F.col("reach") >= min_words)).select("uid", F.col("start").alias("first"), (F.col("start") + F.col("reach")).alias("end")))
 
-    lines = found.where("is_line")
+    lines = found.where("is_line").select(*spans.columns).unionByName(spans)
     banded = lines.select("key", F.explode("bands").alias("band")).distinct()
     dealt = runtime.staged(buckets.block_pairs(banded, "band", "key", cap), "line-buckets")
     met = runtime.staged(dealt.select("key").distinct(), "lines-met")

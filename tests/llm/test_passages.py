@@ -122,3 +122,29 @@ def test_stacked_short_lines_are_left_alone(spark):
             pairs.setdefault(x, set()).add(d)
     stacked = {d for ds in pairs.values() if len(ds) > 1 for d in ds}
     assert {r.doc_id for r in passages.repeated(spark.createDataFrame(rows, SCHEMA)).collect()} <= stacked
+
+
+def test_near_copies_of_short_lines_and_over_gaps(spark):
+    rng = np.random.default_rng(6)
+    vocabulary = np.array([f"w{k}" for k in range(20_000)])
+    some = lambda n: list(rng.choice(vocabulary, n))
+    rows, lines, wrapped = [], set(), set()
+    for p in range(60):
+        w = some(int(rng.integers(33, 49)))
+        for d, x in ((2 * p, w), (2 * p + 1, ["other", *w[1:]] if p % 2 else [*w, "more"])):
+            rows.append((d, "\n".join(" ".join(v) for v in (some(20), x, some(20))), "", 0))
+            lines.add(d)
+    for p in range(60, 90):
+        w = some(150)
+        for d in (2 * p, 2 * p + 1):
+            x = list(w)
+            if d % 2:
+                for k in (50, 100):
+                    x[k] = "edited"
+            rows.append((d, "\n".join(" ".join(x[k : k + 11]) for k in range(0, 150, 11)), "", 0))
+            wrapped.add(d)
+    got = {}
+    for r in passages.repeated(spark.createDataFrame(rows, SCHEMA)).collect():
+        got[r.doc_id] = max(got.get(r.doc_id, 0), r.passage_n_words)
+    assert lines <= got.keys()
+    assert np.mean([got.get(d, 0) >= 100 for d in wrapped]) >= 0.9
