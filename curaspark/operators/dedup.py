@@ -86,8 +86,3 @@ def lsh_links(items: DataFrame, max_distance: float = 0.05, bits: int = 16, tabl
     pairs = keyed.join(other, ["t", "sig"]).where(F.col("id") < F.col("b"))
     dist = F.lit(1.0) - C.dot(C.l2(F.col("e")), C.l2(F.col("f")))
     return pairs.select(F.col("id").alias("a"), "b", dist.alias("distance")).where(F.col("distance") < max_distance).distinct()
-
-
-def choose_links(items: DataFrame, max_distance: float, exact_rows: int = 2_000_000) -> DataFrame:
-    """Exact edges while the rows are affordable, LSH beyond."""
-    return vectors.links(items, max_distance) if items.count() <= exact_rows else lsh_links(items, max_distance).select("a", "b")

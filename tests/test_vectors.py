@@ -137,3 +137,7 @@ def test_drift(spark):
     assert not drift.guard(a, a, a, k=3).first().triggered
     assert drift.drift_type(a.where("label = 'a'"), a.where("label = 'b'")).first().verdict == "both"
     assert drift.drift_type(a, a).first().verdict == "none"
+
+
+def test_links_never_switch_to_lsh_by_size():
+    assert not hasattr(dedup, "choose_links")
