@@ -3,8 +3,9 @@
 A block holds the ids of consecutive documents. Every id is split into chunks of b1, b2, ... bits, low bits first. Level k
 stores the k-th chunk of every id that has one, packed bit by bit, beside a bitmap telling which of them continue on level
 k + 1; a rank directory holds the number of continuing ids before every 512 positions. Position p of level k + 1 is thus
-found by one rank on level k, and any token is read without decoding its neighbours. Chunk widths are chosen for each block
-by dynamic programming over its histogram of id lengths.
+found by one rank on level k, and any token is read without decoding its neighbours. Chunk widths are whole numbers of bits,
+chosen for each block by dynamic programming over its histogram of id lengths, in four levels at most; English text under a
+vocabulary of 49,000 comes out as chunks of 10, 2, 2 and 2 bits or near that.
 
 Blocks are written through Spark's committer as the binary column of Parquet files, the container that every store and a lost
 executor can cope with; a block is self-contained, so ``Block(payload)`` reads it wherever it lies.
@@ -30,62 +31,82 @@ from pyspark.sql import functions as F
 
 from . import runtime
 
-MAGIC, VERSION, RANK = b"DAC1", 1, 512
+MAGIC, VERSION, RANK = b"DAC1", 2, 512
 
 
-def chunk_widths(bits: np.ndarray, unit: int = 8) -> list[int]:
-    """Widths of least total size for ids of the given bit lengths: cost of a level = (width + 1 continuation bit) x ids on it.
+def chunk_widths(bits: np.ndarray, levels: int = 4) -> list[int]:
+    """Widths of least total size for ids of the given bit lengths, in at most ``levels`` levels.
 
-    Widths are multiples of ``unit``; whole bytes cost a little more room than single bits and far less time.
+    A level costs (width + 1 continuation bit + its share of the rank directory) for every id on it, the last one its width
+    alone. ``levels`` bounds what reading one token costs: one chunk and one rank a level.
     """
-    top = -(-int(bits.max(initial=1)) // unit) * unit
-    reach = [int((bits > k).sum()) for k in range(top + 1)]
-    reach[0] = len(bits)
-    best: list[tuple[int, list[int]]] = [(0, [])] * (top + 1)
-    for at in range(top - unit, -1, -unit):
-        options = [((w + (at + w < top)) * reach[at] + best[at + w][0], [w, *best[at + w][1]]) for w in range(unit, top - at + 1, unit)]
-        best[at] = min(options, key=lambda x: (x[0], len(x[1])))
+    top = max(1, int(bits.max(initial=1)))
+    on = (len(bits) - np.cumsum(np.bincount(bits, minlength=top + 1))).tolist()  # ids that reach beyond k bits
+    on[0] = len(bits)
+    best: dict[int, tuple[float, list[int]]] = {at: (on[at] * (top - at), [top - at]) for at in range(top)}  # one level left
+    for _ in range(levels - 1):
+        longer = dict(best)
+        for at in range(top):
+            options = [best[at]] + [((w + 1 + 32 / RANK) * on[at] + best[at + w][0], [w, *best[at + w][1]]) for w in range(1, top - at)]
+            longer[at] = min(options, key=lambda x: (x[0], len(x[1])))
+        best = longer
     return best[0][1]
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
-    if width in (8, 16):
-        return values.astype(f"<u{width // 8}").tobytes()
-    raw = values.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return np.packbits(np.unpackbits(raw, axis=1, bitorder="little")[:, :width].reshape(-1), bitorder="little").tobytes()
+    """Values of ``width`` bits in a row, low bits first: 64 values fill ``width`` words of 64 bits, so each of the 64 places
+    in a group is one vector operation over all groups."""
+    groups = -(-len(values) // 64)
+    v = np.zeros((64, groups), np.uint64)
+    padded = np.zeros(groups * 64, np.uint64)
+    padded[: len(values)] = values
+    v[:] = padded.reshape(groups, 64).T
+    out = np.zeros((width, groups), np.uint64)
+    for j in range(64):
+        word, shift = divmod(j * width, 64)
+        out[word] |= v[j] << np.uint64(shift)
+        if shift + width > 64:
+            out[word + 1] |= v[j] >> np.uint64(64 - shift)
+    return out.T.astype("<u8").tobytes()
 
 
 def _unpack(buf: memoryview, width: int, a: int, b: int) -> np.ndarray:
     """Values at positions a..b-1."""
-    if width in (8, 16):
-        return np.frombuffer(buf, f"<u{width // 8}")[a:b].astype(np.uint32)
-    first, last = a * width // 8, -(-b * width // 8)
-    bits = np.unpackbits(np.frombuffer(buf[first:last], np.uint8), bitorder="little")
-    shift = a * width - first * 8
-    rows = bits[shift : shift + (b - a) * width].reshape(-1, width)
-    wide = np.zeros((len(rows), 32), np.uint8)
-    wide[:, :width] = rows
-    return np.packbits(wide, axis=1, bitorder="little").view("<u4").reshape(-1)
-
-
-def encode_block(doc_ids: Iterable[int | None], ids: list[np.ndarray], unit: int = 8) -> bytes:
-    """A block of documents (id, token ids) as bytes, in chunks of multiples of ``unit`` bits."""
+    if b - a <= 64:
+        bits = int.from_bytes(buf[a * width // 8 : -(-b * width // 8)], "little") >> a * width % 8
+        mask = (1 << width) - 1
+        return np.array([bits >> k * width & mask for k in range(b - a)], np.uint32)
+    first, last = a // 64, -(-b // 64)
+    words = np.frombuffer(buf[first * width * 8 : last * width * 8], "<u8").reshape(last - first, width).T.copy()
+    out = np.empty((64, last - first), np.uint32)
+    mask = np.uint64((1 << width) - 1)
+    for j in range(64):
+        word, shift = divmod(j * width, 64)
+        x = words[word] >> np.uint64(shift)
+        if shift + width > 64:
+            x |= words[word + 1] << np.uint64(64 - shift)
+        out[j] = x & mask
+    return out.T.reshape(-1)[a - first * 64 : b - first * 64]
+
+
+def encode_block(doc_ids: Iterable[int | None], ids: list[np.ndarray], levels: int = 4) -> bytes:
+    """A block of documents (id, token ids) as bytes, in at most ``levels`` levels of chunks."""
     doc_ids = list(doc_ids)
     flat = np.concatenate(ids).astype(np.uint32) if ids else np.zeros(0, np.uint32)
-    bits = np.maximum(1, np.ceil(np.log2(flat.astype(np.float64) + 1)).astype(np.int64)) if len(flat) else np.zeros(0, np.int64)
-    widths = chunk_widths(bits, unit) if len(flat) else [unit]
+    bits = np.maximum(1, np.frexp(flat.astype(np.float64))[1])
+    widths = chunk_widths(bits, levels)
     parts, rest, left = [], flat, bits
     for k, w in enumerate(widths):
-        chunk = rest & np.uint32((1 << w) - 1)
-        body = _pack(chunk, w)
+        body = _pack(rest & np.uint32((1 << w) - 1), w)
+        n = len(rest)
         if k + 1 < len(widths):
             more = left > w
             bitmap = np.packbits(more, bitorder="little").tobytes()
-            ranks = np.concatenate([[0], np.cumsum(np.add.reduceat(more, np.arange(0, len(more), RANK)))]).astype("<u4").tobytes() if len(more) else b"\0" * 4
+            ranks = np.concatenate([[0], np.cumsum(np.add.reduceat(more, np.arange(0, n, RANK)))]).astype("<u4").tobytes() if n else b"\0" * 4
             rest, left = rest[more] >> np.uint32(w), left[more] - w
         else:
             bitmap = ranks = b""
-        parts.append(struct.pack("<BIIII", w, len(chunk), len(body), len(bitmap), len(ranks)) + body + bitmap + ranks)
+        parts.append(struct.pack("<BIIII", w, n, len(body), len(bitmap), len(ranks)) + body + bitmap + ranks)
     known = np.array([x is not None for x in doc_ids], bool)
     names = np.array([x if x is not None else 0 for x in doc_ids], "<i8").tobytes()
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("<u8").tobytes()
@@ -153,6 +174,10 @@ class Block:
             a, b = self._rank(k, a), self._rank(k, b)
         return out
 
+    @property
+    def widths(self) -> list[int]:
+        return [level[0] for level in self.levels]
+
     def doc(self, k: int) -> np.ndarray:
         return self.slice(int(self.offsets[k]), int(self.offsets[k + 1]))
 
