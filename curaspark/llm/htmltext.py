@@ -13,6 +13,8 @@ empty text; repeated rows give repeated results; an empty table gives an empty r
 
 from __future__ import annotations
 
+import bisect
+import functools
 import html as entities
 import math
 import re
@@ -35,6 +37,7 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - {"body", "button", "html", "head", "label", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend"}
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tbody", "thead", "tfoot", "tr", "td", "th")}
 FENCE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "tbody": ("table",)}
+P_FENCE = ("button", "td", "th", "table", "object")
 CONTAINERS = frozenset("article main section div body td".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']|[\"'](?![^<]*[\"']))*)(?:>|\Z)", re.DOTALL)
@@ -55,20 +58,60 @@ class Tree:
         self.runs: list[tuple[int, str]] = []
 
 
+class _Open:
+    """The open elements of a page, and for each tag where on the stack its open elements lie.
+
+    Every question the parser asks - the nearest open paragraph, the nearest list - is the end of one such row, so a page
+    costs time in proportion to its length however deep it is nested and however many stray tags it has.
+    """
+
+    __slots__ = ("tags", "nodes", "at", "blocks")
+
+    def __init__(self):
+        self.tags, self.nodes = ["html"], [0]
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = [0]
+
+    def push(self, tag: str, node: int) -> None:
+        self.at.setdefault(tag, []).append(len(self.tags))
+        if tag in BLOCK:
+            self.blocks.append(len(self.tags))
+        self.tags.append(tag)
+        self.nodes.append(node)
+
+    def close(self, k: int) -> None:
+        """Close the element at place k and all inside it."""
+        while len(self.tags) > k:
+            tag = self.tags.pop()
+            self.nodes.pop()
+            self.at[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def last(self, tags: tuple[str, ...]) -> int:
+        """Place of the innermost open element of some tags; 0 if there is none."""
+        return max((row[-1] for x in tags if (row := self.at.get(x))), default=0)
+
+    def first_after(self, tags: tuple[str, ...], fence: int) -> int:
+        """Place of the outermost open element of some tags inside the fence; 0 if there is none."""
+        return min((row[bisect.bisect(row, fence)] for x in tags if (row := self.at.get(x)) and row[-1] > fence), default=0)
+
+
 def parse(page: str | None, labels: bool = False) -> Tree:
-    """The tree of block elements. Inline elements are no nodes: their text belongs to the block around them, links marked by \\x00 and \\x01."""
+    """The tree of block elements. Inline elements are no nodes: their text belongs to the block around them, links marked by \x00 and \x01."""
     t, page = Tree(), page or ""
-    stack: list[tuple[str, int]] = [("html", 0)]
+    stack = _Open()
+    nodes = stack.nodes
     at, size = 0, len(page)
     runs = t.runs
     find = _TAG.search
     while at < size:
         m = find(page, at)
         if m is None:
-            runs.append((stack[-1][1], page[at:]))
+            runs.append((nodes[-1], page[at:]))
             break
         if m.start() > at:
-            runs.append((stack[-1][1], page[at : m.start()]))
+            runs.append((nodes[-1], page[at : m.start()]))
         at = m.end()
         tag = m[2]
         if tag is None:
@@ -76,51 +119,40 @@ def parse(page: str | None, labels: bool = False) -> Tree:
         tag = tag.lower()
         if m[1]:  # end tag
             if tag == "a":
-                runs.append((stack[-1][1], "\x01"))
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if tag not in BLOCK and stack[k][0] in BLOCK:  # an inline end tag doesn't close a block
-                    break
+                runs.append((nodes[-1], "\x01"))
+            k = stack.last((tag,))
+            if k > (0 if tag in BLOCK else stack.blocks[-1]):  # an inline end tag doesn't close a block
+                stack.close(k)
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE).search(page, at)
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.IGNORECASE).search(page, at)
             at = end.end() if end else size
             continue
         if tag == "br":
-            runs.append((stack[-1][1], " "))
+            runs.append((nodes[-1], " "))
             continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("button", "td", "th", "table", "object"):
-                    break
+        if tag in CLOSES_P and (k := stack.last(("p",))) > stack.last(P_FENCE):
+            stack.close(k)
         if tag in SAME:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in SAME[tag]:
-                    del stack[k:]
-                    if tag not in ("tr", "tbody"):
-                        break
-                elif stack[k][0] in FENCE[tag]:
-                    break
+            fence = stack.last(FENCE[tag])
+            k = stack.first_after(SAME[tag], fence) if tag in ("tr", "tbody") else stack.last(SAME[tag])
+            if k > fence:
+                stack.close(k)
         if tag in BLOCK:
             t.tag.append(tag)
             t.attr.append(m[3])
-            t.parent.append(stack[-1][1])
+            t.parent.append(nodes[-1])
             if labels:
                 y = re.search(r'data-y="(\d)"', m[3])
                 t.label.append(int(y[1]) if y else -1)
             runs.append((len(t.tag) - 1, ""))  # a block boundary
             if tag not in VOID:
-                stack.append((tag, len(t.tag) - 1))
+                stack.push(tag, len(t.tag) - 1)
         elif tag == "a":
-            runs.append((stack[-1][1], "\x00"))
-            stack.append((tag, stack[-1][1]))
+            runs.append((nodes[-1], "\x00"))
+            stack.push(tag, nodes[-1])
         elif tag not in VOID:
-            stack.append((tag, stack[-1][1]))
+            stack.push(tag, nodes[-1])
     return t
 
 
@@ -305,6 +337,12 @@ def train(pages: int = 1000, epochs: int = 10, rate: float = 0.2, decay: float =
     return PageModel(w, {**{k: tuple(v) for k, v in e.items()}, "": tuple(mean)})
 
 
+@functools.cache
+def fitted() -> PageModel:
+    """The model of the default training, fitted once a process: it depends on nothing but the generator and its seed."""
+    return train()
+
+
 def extracted(pages: DataFrame, model: PageModel, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns ``keep`` of every row, its main text and that text's length in code points."""
     runtime.ship(pages.sparkSession)

@@ -63,7 +63,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return htmltext.extracted(table(spark, sf_dir, "pages"), htmltext.train())
+    return htmltext.extracted(table(spark, sf_dir, "pages"), htmltext.fitted())
 
 
 QUERIES = {
