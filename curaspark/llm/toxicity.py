@@ -32,7 +32,9 @@ LEET = {
 }
 SEPARATORS = set(".-_*~'`·^=/\\,:;#%&")
 EDGES = ".,;:!?\"'()[]{}<>«»“”…"
+SYMBOLS = set("@$!+€£|")  # those that stand for letters at a token's edge as well; brackets there are brackets
 SUB, DROP, SEP, BREAK, ONE, TWO = 0.7, 3.0, 0.2, 2.0, 0.3, 0.6
+EDGE, GAP = 0.5, 0.5  # cost of a symbol at a token's edge that means nothing, and of a word break between spaced letters
 HASH, MOST = 1 << 18, 3
 
 
@@ -106,13 +108,24 @@ def suspicious(token: str) -> bool:
 
 
 def lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
-    """Alternatives (emitted string, cost) for each run of one character of a token."""
-    out = []
+    """Alternatives (emitted string, cost) for each run of one character of a token.
+
+    Symbols at the edges of a token are cheap to drop, as most close a sentence. In a spaced run every place between two
+    letters may be a word break, also inside a doubled letter, and a blank is one.
+    """
+    out: list[list[tuple[str, float]]] = []
+    marks = "".join(SYMBOLS)
+    inner = (len(token) - len(token.lstrip(marks)), len(token.rstrip(marks)))
+    letterless = all(c in LEET for c in token)  # nothing would be left if its symbols could be dropped
     for m in re.finditer(r"(.)\1*", token, re.DOTALL):
         c, n = m[1], len(m[0])
+        if spaced and c == " ":
+            out.append([("\x03", 0.0)])
+            continue
         if c in LEET:
             letters = LEET[c]
-            alts = [(x, SUB) for x in letters] + [("", DROP + 6.0 * c.isdigit())]
+            edge = not spaced and c in SYMBOLS and (m.start() < inner[0] or m.start() >= inner[1])
+            alts = [(x, SUB) for x in letters] + ([] if letterless else [("", EDGE if edge else DROP + 6.0 * c.isdigit())])
             if n > 1:
                 alts += [(x + x, SUB + TWO) for x in letters]
             if c.isdigit():
@@ -125,6 +138,11 @@ def lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
             alts = [(c + c, 0.0), (c, 2.0)]
         else:
             alts = [(c, ONE), (c + c, TWO)]
+        if spaced:
+            if n > 1:
+                alts += [(f"{x}\x03{x}", TWO + GAP) for x in (LEET.get(c, c) if c not in SEPARATORS else "")]
+            if out and out[-1] != [("\x03", 0.0)]:
+                out.append([("", 0.0), ("\x03", GAP)])
         out.append(alts)
     return out
 
@@ -164,33 +182,49 @@ def decode(slots: list[list[tuple[str, float]]], lm: CharModel) -> str:
     return "".join(reversed(parts)).strip("\x03")
 
 
+_OUTER = "".join(c for c in EDGES if c not in SYMBOLS)
+
+
 def restore_token(token: str, lm: CharModel) -> list[str]:
-    """Restored words of one lower-case token."""
+    """Restored words of one lower-case token. A token of digits alone is a number and stays one."""
     core = _JUNK.sub("", token.strip(EDGES)).strip(EDGES) or token
-    if not suspicious(core):
-        # a closing symbol may stand for a letter
-        bare = token.strip(".,;:?\"()[]{}")
-        if bare == core or not (bare and bare[-1] in "!$" and bare[:-1].isalpha()):
-            return [core]
-        core = bare
-    return [w for w in decode(lattice(core), lm).split("\x03") if w]
+    whole = token.strip(_OUTER)
+    if whole != core and not SYMBOLS.isdisjoint(whole) and (_ODD.search(whole) or len(whole) > 2 and all(c in LEET for c in whole)):
+        core = whole  # symbols at an edge may stand for letters: the lattice holds both readings
+    elif not suspicious(core):
+        return [core]
+    return [w for w in decode(lattice(core), lm).split("\x03") if w] or [core]
+
 
+_SINGLES = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S))+")
 
-def spaced_runs(words: list[str], least: int = 3) -> list[tuple[int, int]]:
-    """Ranges of at least ``least`` single characters in a row, one of them at least no usual one-letter word."""
+
+def spaced_runs(text: str, words: list[str], least: int = 3) -> list[str]:
+    """Runs of at least ``least`` single characters, not all the same, without the white space between them.
+
+    Where some gaps of a run are wider than others, the wider ones are word breaks and stay as a blank.
+    """
     one = np.fromiter(map(len, words), np.int64, len(words)) == 1
-    if one.sum() < least:
+    if one.sum() < least or not (one[: len(one) - least + 1] & one[1 : len(one) - least + 2] & one[least - 1 :]).any():
         return []
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], one.astype(np.int8), [0]])))
-    return [(int(i), int(j)) for i, j in zip(edge[::2], edge[1::2], strict=True) if j - i >= least and len(set(words[i:j])) > 1]
+    out = []
+    for m in _SINGLES.finditer(text):
+        run = m[0]
+        letters = run.split()
+        if len(letters) < least or len(set(letters)) < 2:
+            continue
+        wide = re.split(r"\s{2,}", run)
+        out.append(" ".join("".join(x.split()) for x in wide) if 1 < len(wide) < len(letters) else "".join(letters))
+    return out
 
 
 def restored(text: str | None, lm: CharModel) -> list[str]:
     """Words of a text after deobfuscation; words that were spaced out are joined after the others."""
-    words = (text or "").lower().split()
+    text = (text or "").lower()
+    words = text.split()
     out = [w for t in words for w in restore_token(t, lm)]
-    for i, j in spaced_runs(words):
-        out += [w for w in decode(lattice("".join(words[i:j]), spaced=True), lm).split("\x03") if w]
+    for run in spaced_runs(text, words):
+        out += [w for w in decode(lattice(run, spaced=True), lm).split("\x03") if w]
     return out
 
 
@@ -215,7 +249,8 @@ class Restorer:
 
     def features(self, text: str | None) -> dict[int, int]:
         """Feature -> number of distinct tokens that show it, three at most."""
-        words = (text or "").lower().split()
+        text = (text or "").lower()
+        words = text.split()
         found: dict[int, int] = {}
         cache = self.cache
         if len(cache) > 150_000:
@@ -226,8 +261,8 @@ class Restorer:
                 hit = cache[w] = self._of(restore_token(w, self.lm))
             for k in hit:
                 found[k] = found.get(k, 0) + 1
-        for i, j in spaced_runs(words):
-            for k in self._of([w for w in decode(lattice("".join(words[i:j]), spaced=True), self.lm).split("\x03") if w]):
+        for run in spaced_runs(text, words):
+            for k in self._of([w for w in decode(lattice(run, spaced=True), self.lm).split("\x03") if w]):
                 found[k] = found.get(k, 0) + 1
         return {k: min(n, MOST) for k, n in found.items()}
 

@@ -38,21 +38,41 @@ def test_counts_are_plain_trigram_counts(lm):
     assert math.isfinite(lm.logp("q", "z", "j"))
 
 
-@pytest.mark.parametrize("token", ["l0ser", "st.u.p1d", "m0r0n", "iiddiioott", "l00ser$", "!d10t", "a-b"])
-def test_viterbi_is_the_cheapest_path(token, lm):
-    slots = toxicity.lattice(token)
-    best = min(itertools.product(*slots), key=lambda p: cost(p, lm))
-    assert cost(best, lm) == pytest.approx(cost([(toxicity.decode(slots, lm), sum(c for _, c in best))], lm), abs=1e-6) or toxicity.decode(slots, lm).replace("\x03", "") == "".join(t for t, _ in best).replace("\x03", "")
-
-
-@pytest.mark.parametrize("token,word", [("l0ser", "loser"), ("1d10t", "idiot"), ("st.u.p.id", "stupid"), ("looooser", "loser"), ("$tupid!!", "stupid"), ("m-o-r-o-n", "moron"), ("committee", "committee"), ("letter,", "letter"), ("2024", "2024")])
+@pytest.mark.parametrize("token,spaced", [*((t, False) for t in ("l0ser", "st.u.p1d", "m0r0n", "iiddiioott", "l00ser$", "!d10t", "a-b", "$$@", "l.o!")), *((t, True) for t in ("andidiot", "theand", "the and", "ll0o", "letterr"))])
+def test_viterbi_is_the_cheapest_path(token, spaced, lm):
+    """Against every path of the lattice: no path costs less than the best one that spells what was decoded."""
+    slots = toxicity.lattice(token, spaced)
+    spelt = {}
+    for p in itertools.product(*slots):
+        text = "\x03".join(x for x in "".join(t for t, _ in p).split("\x03") if x)
+        spelt[text] = min(spelt.get(text, math.inf), cost(p, lm))
+    found = "\x03".join(x for x in toxicity.decode(slots, lm).split("\x03") if x)
+    assert spelt[found] == pytest.approx(min(spelt.values()), abs=1e-9)
+
+
+@pytest.mark.parametrize("token,word", [("l0ser", "loser"), ("1d10t", "idiot"), ("st.u.p.id", "stupid"), ("looooser", "loser"), ("$tupid!!", "stupid"), ("m-o-r-o-n", "moron"), ("committee", "committee"), ("letter,", "letter"), ("2024", "2024"), ("$tup1d", "stupid"), ("going!!", "going"), ("the$$", "the"), ("$treet", "street"), ("le††er", "le††er")])
 def test_restores(token, word, lm):
     assert toxicity.restore_token(token, lm) == [word]
 
 
+def test_tokens_of_symbols_alone(lm):
+    small = toxicity.CharModel(toxicity.ngram_counts(CORPUS + Counter({"ass": 80, "hat": 60})))
+    assert toxicity.restore_token("@$$", small) == ["ass"] and toxicity.restore_token("h@+", small) == ["hat"]
+    assert toxicity.restore_token("455", small) == ["455"]  # a number
+    assert toxicity.restore_token("--", small) == ["--"] and toxicity.restore_token("!", small) == ["!"]
+
+
 def test_spaced_words(lm):
     assert "idiot" in toxicity.restored("the i d i o t with", lm)
-    assert toxicity.restored(None, lm) == [] and toxicity.spaced_runs(["a", "b"]) == []
+    assert toxicity.restored(None, lm) == [] and toxicity.spaced_runs("a b", ["a", "b"]) == []
+    for text in ("t h e i d i o t", "t h e  i d i o t", "t h e\n\ni d 1 o t"):
+        assert toxicity.restored(text, lm)[-2:] == ["the", "idiot"], text
+    assert toxicity.restored("s t u p i d  i d i o t  a n d  l o s e r", lm)[-4:] == ["stupid", "idiot", "and", "loser"]
+    assert toxicity.restored("g o i n g  g o i n g", lm)[-2:] == ["going", "going"]
+    text = "a b  c d e"
+    assert toxicity.spaced_runs(text, text.split()) == ["ab cde"]
+    wide = "a  b  c"
+    assert toxicity.spaced_runs(wide, wide.split()) == ["abc"]
 
 
 def test_learns_plain_and_hidden_words(spark):
