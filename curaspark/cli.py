@@ -92,7 +92,7 @@ VERBS: dict[str, Callable[[Workspace, argparse.Namespace], DataFrame]] = {
     "reasons": lambda w, a: ledger.reasons_breakdown(w.ledger.where("event = 'route'")),
     "throughput": _ledger_verb(ledger.throughput),
     "review-rate": _ledger_verb(ledger.review_rate),
-    "capacity": lambda w, a: w.spark.createDataFrame([tuple(ledger.capacity(a.volume, a.rate, a.per_hour, a.hours).values())], "expected_reviews long, capacity long, shortfall long"),
+    "capacity": lambda w, a: ledger.capacity(w.spark.createDataFrame([(a.volume, a.rate, a.per_hour, a.hours)], "volume long, flag_rate double, per_hour double, hours double")),
     "spc": lambda w, a: monitor.spc(monitor.series(ledger.review_rate(w.ledger), "batch_id", "review_rate")),
     "trend": lambda w, a: drift.quality_trend(w.items()),
     "batch-trend": _ledger_verb(ledger.batch_trend),

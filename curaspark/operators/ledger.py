@@ -57,11 +57,10 @@ def throughput(ledger: DataFrame) -> DataFrame:
     return j.agg(F.count_if(ok).alias("resolved"), F.count_if(F.col("t1").isNull()).alias("open"), F.expr("percentile(hours, 0.5) filter (where hours >= 0)").alias("median_hours"), F.expr("percentile(hours, 0.9) filter (where hours >= 0)").alias("p90_hours"))
 
 
-def capacity(volume: int, flag_rate: float, per_hour: float, hours: float) -> dict:
-    """Reviews a volume will need against what a shift can do."""
-    need = int(volume * flag_rate)
-    can = int(per_hour * hours)
-    return {"expected_reviews": need, "capacity": can, "shortfall": max(0, need - can)}
+def capacity(volumes: DataFrame) -> DataFrame:
+    """Adds expected_reviews, capacity and shortfall to rows of (volume, flag_rate, per_hour, hours)."""
+    need, can = (F.floor(F.round(x, 9)).cast("long") for x in (F.col("volume") * F.col("flag_rate"), F.col("per_hour") * F.col("hours")))
+    return volumes.select("*", need.alias("expected_reviews"), can.alias("capacity"), F.greatest(F.lit(0).cast("long"), need - can).alias("shortfall"))
 
 
 def review_rate(ledger: DataFrame) -> DataFrame:
@@ -78,11 +77,14 @@ def latest_reasons(ledger: DataFrame) -> DataFrame:
 def hit_rate(emissions: DataFrame, resolutions: DataFrame, min_resolved: int = 5) -> DataFrame:
     """queue, predict, emitted, resolved, hits, precision, coverage, insufficient, trend of suggestion queues.
 
-    An emission (queue, predict, seq, id) is scored by the first resolution (id, outcome, seq) after it: a forward as-of join.
+    An emission (queue, predict, seq, id) is scored by the first resolution (id, outcome, seq) after it: a forward as-of join,
+    as one window over the union of both. The trend has one entry an emission event of the queue.
     """
-    r = resolutions.select("id", "outcome", F.col("seq").alias("rs"))
-    j = emissions.join(r, (emissions["id"] == r["id"]) & (r["rs"] > emissions["seq"]), "left").drop(r["id"])
-    first = j.groupBy("queue", "predict", "seq", "id").agg(F.min_by("outcome", "rs").alias("outcome"))
+    # both in one order by id, read from the end: what stands last behind an emission is its first resolution
+    events = emissions.select("queue", "predict", "seq", "id").distinct().withColumn("outcome", F.lit(None).cast("string"))
+    events = events.withColumn("turn", F.lit(0)).unionByName(resolutions.select("id", "outcome", "seq").withColumn("turn", F.lit(1)), allowMissingColumns=True)
+    later = Window.partitionBy("id").orderBy(F.desc("seq"), "turn").rowsBetween(Window.unboundedPreceding, 0)
+    first = events.withColumn("outcome", F.last("outcome", ignorenulls=True).over(later)).where("turn = 0")
     hit = F.when(F.col("outcome").isNull(), 0).when(F.col("predict") == "wrong", (F.col("outcome") == "rejected").cast("int")).when(F.col("predict") == "defect", (F.col("outcome") == "confirmed").cast("int")).otherwise(1)
     per = first.withColumn("hit", hit).groupBy("queue", "seq").agg(F.first("predict").alias("predict"), F.count(F.lit(1)).alias("e"), F.count("outcome").alias("r"), F.sum("hit").alias("h"))
     trend = F.transform(F.array_sort(F.collect_list(F.when(F.col("r") > 0, F.struct("seq", F.round(F.col("h") / F.col("r"), 3).alias("p"))))), lambda x: x["p"])
@@ -162,10 +164,11 @@ def entry_hash(record: dict) -> str:
     return hashlib.sha256(canonical(body).encode()).hexdigest()
 
 
-def verify_chain(lines: DataFrame) -> DataFrame:
-    """seq, link_ok, hash_ok of ledger lines (seq, raw, prev_hash, entry_hash): recomputed digests run in parallel, links by lag.
+def verify_chain(lines: DataFrame, run: int = 100_000) -> DataFrame:
+    """seq, link_ok, hash_ok of ledger lines (seq, raw, prev_hash, entry_hash).
 
-    The order of one ledger is one order, so ``lag`` needs its digests in one place: seq and two hashes a line, no payload.
+    Digests are recomputed in parallel. Links are compared inside runs of ``run`` numbers each; only the last hash of each run
+    is carried to the next one, so no task sees the whole ledger.
     """
     runtime.ship(lines.sparkSession)
 
@@ -173,9 +176,11 @@ def verify_chain(lines: DataFrame) -> DataFrame:
     def digest(raw: pd.Series) -> pd.Series:
         return raw.map(lambda line: entry_hash(json.loads(line)))
 
-    checked = lines.select("seq", "prev_hash", "entry_hash", (digest("raw") == F.col("entry_hash")).alias("hash_ok"))
-    before = F.lag("entry_hash", 1, "").over(Window.orderBy("seq"))
-    return checked.select("seq", (F.col("prev_hash") == before).alias("link_ok"), "hash_ok")
+    checked = lines.select("seq", "prev_hash", "entry_hash", (digest("raw") == F.col("entry_hash")).alias("hash_ok"), F.floor(F.col("seq") / run).alias("run"))
+    ends = lines.groupBy(F.floor(F.col("seq") / run).alias("run")).agg(F.max_by("entry_hash", "seq").alias("last"))
+    ends = ends.select("run", F.lag("last", 1, "").over(Window.orderBy("run")).alias("before"))
+    inside = checked.withColumn("prev", F.lag("entry_hash").over(Window.partitionBy("run").orderBy("seq")))
+    return inside.join(ends, "run").select("seq", (F.col("prev_hash") == F.coalesce("prev", "before")).alias("link_ok"), "hash_ok")
 
 
 def truncation(lines: DataFrame, high_water: int | None) -> DataFrame:

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 
-LOCAL_ROWS = 1_000_000
-
 
 def series(rows: DataFrame, order: str, value: str, by: list[str] = ()) -> DataFrame:
     """by..., xs: the values of each series in order. A series is a chart's points, one a batch."""
@@ -75,7 +72,7 @@ def calibration_error(rows: DataFrame, bins: int = 10) -> DataFrame:
 def fit_temperature(rows: DataFrame, lo: float = 0.05, hi: float = 10.0, steps: int = 60, ahead: int = 4) -> DataFrame:
     """One row, temperature: ternary search of the mean negative log likelihood.
 
-    Rows are first summed to one per distinct confidence. At most LOCAL_ROWS of those are searched on the driver; beyond, a pass over that table serves ``ahead`` steps.
+    Rows are first summed to one per distinct confidence; each pass over that table serves the next ``ahead`` steps.
     """
     g = rows.groupBy(C.clip(F.col("conf")).alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("correct").cast("double")).alias("y")).persist()
     spark = rows.sparkSession
@@ -87,20 +84,6 @@ def fit_temperature(rows: DataFrame, lo: float = 0.05, hi: float = 10.0, steps:
             p = C.clip(C.temperature(F.col("c"), t))
             return -F.sum(F.col("y") * F.log(p) + (F.col("n") - F.col("y")) * F.log(1 - p)) / F.sum("n")
 
-        if g.count() <= LOCAL_ROWS:
-            rows = g.toPandas()
-            c, n, y = (rows[k].to_numpy(float) for k in ("c", "n", "y"))
-            z = np.log(c / (1 - c))
-
-            def local(t: float) -> float:
-                p = np.clip(1 / (1 + np.exp(-z / max(t, 1e-6))), 1e-6, 1 - 1e-6)
-                return -float(y @ np.log(p) + (n - y) @ np.log(1 - p))
-
-            for _ in range(steps):
-                a, b = lo + (hi - lo) / 3, hi - (hi - lo) / 3
-                lo, hi = (lo, b) if local(a) < local(b) else (a, hi)
-            return spark.createDataFrame([(round((lo + hi) / 2, 4),)], "temperature double")
-
         # a pass evaluates the probes of every interval that the next ``ahead`` steps could reach
         while steps > 0:
             reach = {"": (lo, hi)}
@@ -123,13 +106,8 @@ def fit_temperature(rows: DataFrame, lo: float = 0.05, hi: float = 10.0, steps:
         g.unpersist()
 
 
-def cost_gate(miss_rate: float, fa_rate: float, miss_cost: float, fa_cost: float, budget: float) -> dict:
-    """Expected cost of misses and false alarms against a budget; equal is GO."""
-    cost = miss_rate * miss_cost + fa_rate * fa_cost
-    return {"expected_cost": round(cost, 4), "miss_component": round(miss_rate * miss_cost, 4), "fa_component": round(fa_rate * fa_cost, 4), "verdict": "GO" if cost <= budget else "NO-GO"}
-
-
-def recall_envelope(points: DataFrame, by: list[str]) -> DataFrame:
-    """Running maximum of precision from the right, over points (rn, precision)."""
-    w = Window.partitionBy(*by).orderBy(F.desc("rn")).rowsBetween(Window.unboundedPreceding, 0)
-    return points.withColumn("envelope", F.max("precision").over(w))
+def cost_gate(rates: DataFrame, miss_cost: float, fa_cost: float, budget: float) -> DataFrame:
+    """Adds expected_cost, miss_component, fa_component and verdict to rows of (miss_rate, fa_rate); a cost equal to the budget is GO."""
+    miss, fa = F.col("miss_rate") * F.lit(float(miss_cost)), F.col("fa_rate") * F.lit(float(fa_cost))
+    verdict = F.when(miss + fa <= F.lit(float(budget)), "GO").otherwise("NO-GO")
+    return rates.select("*", F.round(miss + fa, 4).alias("expected_cost"), F.round(miss, 4).alias("miss_component"), F.round(fa, 4).alias("fa_component"), verdict.alias("verdict"))

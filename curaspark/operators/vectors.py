@@ -12,11 +12,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import runtime
 from ..functions import columns as C
+from . import graph
 
 BROADCAST_BYTES = 64 << 20
 BLOCK = 2048
@@ -32,42 +34,70 @@ def _clean(df: DataFrame, *extra: str) -> DataFrame:
     return df.where(F.col("embedding").isNotNull()).select("id", "label", F.col("embedding").cast("array<double>").alias("embedding"), *extra)
 
 
-def _top(sims: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k largest, larger first, ties to the left."""
-    s = np.round(sims, 9)
-    if len(s) > 4 * k:
-        at = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+def _best(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest of every row, larger first, ties to the left; minus infinity is never taken."""
+    n = s.shape[1]
+    if n > k:
+        least = np.partition(s, n - k, axis=1)[:, n - k]
+        taken = s >= least[:, None]
+        for x in np.flatnonzero(taken.sum(axis=1) > k):  # ties at the k-th place
+            at = np.flatnonzero(taken[x])
+            taken[x, at[np.argsort(-s[x, at], kind="stable")[k:]]] = False
+        cols = np.nonzero(taken)[1].reshape(len(s), k)
     else:
-        at = np.arange(len(s))
-    return at[np.argsort(-s[at], kind="stable")][:k]
-
-
-def _meet(k: int, same_label: bool, exclude_self: bool) -> Callable:
-    """(query ids, labels, matrix) x (reference ids, labels, matrix) -> best k references of each query."""
-
-    def run(qi, ql, q, ri, rl, r):
-        out = []
-        if not len(qi) or not len(ri):
-            return out
-        ri, rl = np.asarray(ri, object), np.asarray(rl, object)
-        sims = q @ r.T
-        for x in range(len(qi)):
-            s = sims[x]
-            keep = np.ones(len(ri), bool)
-            if exclude_self:
-                keep &= ri != qi[x]
-            if same_label:
-                keep &= rl == ql[x]
-            at = np.flatnonzero(keep)
-            for y in at[_top(s[at], k)]:
-                out.append((qi[x], ql[x], ri[y], rl[y], float(s[y])))
-        return out
+        cols = np.broadcast_to(np.arange(n), s.shape)
+    order = np.argsort(-np.take_along_axis(s, cols, axis=1), axis=1, kind="stable")
+    cols = np.take_along_axis(cols, order, axis=1)
+    rows = np.broadcast_to(np.arange(len(s))[:, None], cols.shape)
+    ok = np.take_along_axis(s, cols, axis=1) > -np.inf
+    return rows[ok], cols[ok]
+
+
+def _codes(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Equal values, nulls among them, as equal small integers."""
+    both = pa.chunked_array([a, b.cast(a.type)]).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    return both[: len(a)], both[len(a) :]
+
+
+def _meet(k: int, same_label: bool, exclude_self: bool, per_label: bool = False) -> Callable:
+    """(query ids, labels, matrix) x (reference ids, labels, matrix), references in order of id -> a batch of the best k.
+
+    Labels cut the product into slices: with ``same_label`` queries meet their own label's references only, with ``per_label``
+    k references of every label are kept. Each slice is one matrix product and one selection over it.
+    """
+
+    def run(qi: pa.Array, ql: pa.Array, q: np.ndarray, ri: pa.Array, rl: pa.Array, r: np.ndarray) -> pa.RecordBatch:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if len(qi) and len(ri):
+            qc, rc = _codes(ql, rl)
+            whole = np.arange(len(qi)), np.arange(len(ri))
+            if same_label or per_label:
+                slices = [(np.flatnonzero(qc == c) if same_label else whole[0], np.flatnonzero(rc == c)) for c in np.unique(rc)]
+            else:
+                slices = [whole]
+            own = _codes(qi, ri) if exclude_self else None
+            for x, y in slices:
+                if not len(x):
+                    continue
+                sims = q[x] @ r[y].T
+                s = np.round(sims, 9)
+                if own is not None:
+                    order = np.argsort(own[1][y], kind="stable")
+                    mine = own[1][y][order]
+                    lo, hi = np.searchsorted(mine, own[0][x]), np.searchsorted(mine, own[0][x], "right")
+                    for step in range(int((hi - lo).max(initial=0))):
+                        hit = np.flatnonzero(lo + step < hi)
+                        s[hit, order[lo[hit] + step]] = -np.inf
+                i, j = _best(s, k)
+                found.append((x[i], y[j], sims[i, j]))
+        cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+        return pa.record_batch([qi.take(pa.array(cols[0])), ql.take(pa.array(cols[0])), ri.take(pa.array(cols[1])), rl.take(pa.array(cols[1])), pa.array(cols[2])], names=["id", "label", "nid", "nlabel", "sim"])
 
     return run
 
 
 def _packed(df: DataFrame, block: int) -> DataFrame:
-    """Rows as blocks (ids, labels, matrix bytes, rows) of bounded size."""
+    """Rows as blocks (ids, labels, matrix bytes, width) of bounded size."""
     kind = df.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,11 +105,21 @@ def _packed(df: DataFrame, block: int) -> DataFrame:
             for at in range(0, b.num_rows, block):
                 part = b.slice(at, block)
                 m = _matrix(part.column(2))
-                yield pa.record_batch([pa.array([part.column(0).to_pylist()], pa.list_(b.schema.field(0).type)), pa.array([part.column(1).to_pylist()], pa.list_(pa.string())), pa.array([m.tobytes()], pa.binary()), pa.array([m.shape[1]], pa.int32())], names=["ids", "labels", "m", "dim"])
+                lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(c)) for c in (0, 1)]
+                yield pa.record_batch([*lists, pa.array([m.tobytes()], pa.binary()), pa.array([m.shape[1]], pa.int32())], names=["ids", "labels", "m", "dim"])
 
     return df.mapInArrow(run, f"ids array<{kind}>, labels array<string>, m binary, dim int")
 
 
+def _rows_of(batch: pa.RecordBatch, k: int, column: int) -> pa.Array:
+    """The k-th list of a list column."""
+    return batch.column(column).slice(k, 1).flatten()
+
+
+def _block_of(batch: pa.RecordBatch, k: int, column: int, width: int) -> np.ndarray:
+    return np.frombuffer(batch.column(column)[k].as_buffer()).reshape(-1, max(1, width))
+
+
 def _bounded(refs: DataFrame, limit: int) -> pa.Table | None:
     """The references in order of id, if they take at most ``limit`` bytes."""
     n, width = refs.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
@@ -88,55 +128,45 @@ def _bounded(refs: DataFrame, limit: int) -> pa.Table | None:
     return refs.orderBy("id").toArrow()
 
 
-def knn(queries: DataFrame, refs: DataFrame, k: int = 10, same_label: bool = False, exclude_self: bool = True, broadcast_bytes: int = BROADCAST_BYTES, block: int = BLOCK) -> DataFrame:
+def knn(queries: DataFrame, refs: DataFrame, k: int = 10, same_label: bool = False, exclude_self: bool = True, per_label: bool = False, broadcast_bytes: int = BROADCAST_BYTES, block: int = BLOCK) -> DataFrame:
     """id, label, nid, nlabel, sim, rank: the k nearest references of every query by cosine similarity.
 
-    ``same_label`` keeps to references of the query's own label. Rows without an embedding take no part; fewer references
-    than k give fewer rows.
+    ``same_label`` keeps to references of the query's own label; ``per_label`` finds k of every label, ranked within each.
+    Rows without an embedding take no part; fewer references than k give fewer rows.
     """
     q, r = _clean(queries), _clean(refs)
     spark = q.sparkSession
     runtime.ship(spark)
     kind, other = q.schema["id"].dataType.simpleString(), r.schema["id"].dataType.simpleString()
     schema = f"id {kind}, label string, nid {other}, nlabel string, sim double"
-    meet = _meet(k, same_label, exclude_self)
-
-    def rows(found, types):
-        cols = list(zip(*found, strict=True)) if found else [[]] * 5
-        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["id", "label", "nid", "nlabel", "sim"])
+    meet = _meet(k, same_label, exclude_self, per_label)
 
     small = _bounded(r, broadcast_bytes)
     if small is not None:
-        ri, rl = small.column("id").to_pylist(), small.column("label").to_pylist()
-        shared = spark.sparkContext.broadcast((ri, rl, _matrix(small.column("embedding").combine_chunks())))
+        shared = spark.sparkContext.broadcast((small.column("id").combine_chunks(), small.column("label").combine_chunks(), _matrix(small.column("embedding").combine_chunks())))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ri, rl, m = shared.value
             for b in batches:
-                types = (b.schema.field(0).type, pa.string(), b.schema.field(0).type, pa.string(), pa.float64())
                 for at in range(0, b.num_rows, 512):
                     p = b.slice(at, 512)
-                    yield rows(meet(p.column(0).to_pylist(), p.column(1).to_pylist(), _matrix(p.column(2)), ri, rl, m), types)
+                    yield meet(p.column(0), p.column(1), _matrix(p.column(2)), ri, rl, m)
 
         found = q.mapInArrow(scan, schema)
     else:
         salts = max(1, -(-r.count() // (4 * block)))
         left = _packed(q, block).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        right = _packed(r, block).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
+        right = _packed(r.sortWithinPartitions("id"), block).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
         pairs = left.join(right.toDF("rids", "rlabels", "rm", "rdim", "salt"), "salt").select("ids", "labels", "m", "dim", "rids", "rlabels", "rm")
 
         def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                types = (b.schema.field(0).type.value_type, pa.string(), b.schema.field(4).type.value_type, pa.string(), pa.float64())
-                for p in b.to_pylist():
-                    order = sorted(range(len(p["rids"])), key=lambda i: p["rids"][i])
-                    m = np.frombuffer(p["rm"]).reshape(len(order), p["dim"])[order]
-                    qm = np.frombuffer(p["m"]).reshape(len(p["ids"]), p["dim"])
-                    yield rows(meet(p["ids"], p["labels"], qm, [p["rids"][i] for i in order], [p["rlabels"][i] for i in order], m), types)
+                for x, width in enumerate(b.column(3).to_pylist()):
+                    yield meet(_rows_of(b, x, 0), _rows_of(b, x, 1), _block_of(b, x, 2, width), _rows_of(b, x, 4), _rows_of(b, x, 5), _block_of(b, x, 6, width))
 
         found = pairs.mapInArrow(cross, schema)
-    best = Window.partitionBy("id").orderBy(F.round("sim", 9).desc(), "nid")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    best = Window.partitionBy("id", "nlabel") if per_label else Window.partitionBy("id")
+    return found.withColumn("rank", F.row_number().over(best.orderBy(F.round("sim", 9).desc(), "nid"))).where(F.col("rank") <= k)
 
 
 def mean_knn_distance(near: DataFrame) -> DataFrame:
@@ -149,30 +179,40 @@ def nearest(queries: DataFrame, refs: DataFrame, exclude_self: bool = False) ->
     return knn(queries, refs, 1, exclude_self=exclude_self).select("id", "nid", (F.lit(1.0) - F.col("sim")).alias("distance"))
 
 
+def _block_pairs(items: DataFrame, block: int) -> DataFrame:
+    """Every pair of blocks of the items once: ids, m, dim, rids, rm, same.
+
+    Blocks are packed once, checkpointed and numbered, so that both sides of the join see the same blocks whatever is
+    recomputed. Block i meets the blocks at distance 0 to B / 2 round a ring of B, which is one triangle of all pairs, dealt
+    evenly.
+    """
+    packed = graph.cut(_packed(_clean(items).sortWithinPartitions("id"), block))
+    mark = F.monotonically_increasing_id()
+    ranks = packed.select(mark.alias("mark")).withColumn("n", F.row_number().over(Window.orderBy("mark")) - 1)  # one row a block
+    total = packed.count()
+    blocks = packed.withColumn("mark", mark).join(ranks, "mark").drop("mark", "labels")
+    half = total // 2
+    left = blocks.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(half)))).where(f"not (d = {half} and {total} = {2 * half} and {half} > 0 and n >= {half})")
+    left = left.withColumn("at", F.pmod(F.col("n") + F.col("d"), F.lit(max(1, total))))
+    right = blocks.select(F.col("n").alias("at"), F.col("ids").alias("rids"), F.col("m").alias("rm"))
+    return left.join(right, "at").select("ids", "m", "dim", "rids", "rm", (F.col("d") == 0).alias("same"))
+
+
 def links(items: DataFrame, max_distance: float, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) that connect what pairs at cosine distance < ``max_distance`` connect.
 
     Each pair of blocks reports its local components as stars, at most one edge a row, so dense groups of copies don't turn
     into all their pairs.
     """
-    q = _clean(items)
-    runtime.ship(q.sparkSession)
-    kind = q.schema["id"].dataType.simpleString()
-    salts = max(1, -(-q.count() // (2 * block)))
-    packed = _packed(q.repartition(max(1, salts), "id"), block).withColumn("part", F.xxhash64("ids"))
-    left = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    right = packed.select(*[F.col(c).alias(f"r{c}") for c in ("ids", "m", "part")], F.pmod("part", F.lit(salts)).cast("int").alias("salt"))
-    pairs = left.join(right, "salt").where("part <= rpart").select("ids", "m", "dim", "rids", "rm")
+    runtime.ship(items.sparkSession)
+    kind = items.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kind = b.schema.field(0).type.value_type
-            for p in b.to_pylist():
-                same = p["ids"] == p["rids"]
-                ids = p["ids"] if same else [*p["ids"], *p["rids"]]
-                m = np.frombuffer(p["m"]).reshape(len(p["ids"]), p["dim"])
+            for x, (width, same) in enumerate(zip(b.column(2).to_pylist(), b.column(5).to_pylist(), strict=True)):
+                ids, m = _rows_of(b, x, 0), _block_of(b, x, 1, width)
                 if not same:
-                    m = np.concatenate([m, np.frombuffer(p["rm"]).reshape(len(p["rids"]), p["dim"])])
+                    ids, m = pa.concat_arrays([ids, _rows_of(b, x, 3)]), np.concatenate([m, _block_of(b, x, 4, width)])
                 linked = 1.0 - m @ m.T < max_distance
                 lab = np.arange(len(ids))
                 while True:
@@ -182,38 +222,27 @@ def links(items: DataFrame, max_distance: float, block: int = BLOCK) -> DataFram
                         break
                     lab = new
                 far = np.flatnonzero(lab != np.arange(len(ids)))
-                yield pa.record_batch([pa.array([ids[i] for i in far], kind), pa.array([ids[lab[i]] for i in far], kind)], names=["a", "b"])
+                yield pa.record_batch([ids.take(pa.array(far)), ids.take(pa.array(lab[far]))], names=["a", "b"])
 
-    return pairs.mapInArrow(run, f"a {kind}, b {kind}")
+    return _block_pairs(items, block).mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def similar_pairs(items: DataFrame, min_sim: float, block: int = BLOCK) -> DataFrame:
     """a, b, sim of all pairs a < b with cosine similarity of at least ``min_sim``: for thresholds that few pairs pass."""
-    q = _clean(items)
-    runtime.ship(q.sparkSession)
-    kind = q.schema["id"].dataType.simpleString()
-    salts = max(1, -(-q.count() // (2 * block)))
-    packed = _packed(q.repartition(max(1, salts), "id"), block).withColumn("part", F.xxhash64("ids"))
-    left = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    right = packed.select(*[F.col(c).alias(f"r{c}") for c in ("ids", "m", "part")], F.pmod("part", F.lit(salts)).cast("int").alias("salt"))
-    pairs = left.join(right, "salt").where("part <= rpart").select("ids", "m", "dim", "rids", "rm")
+    runtime.ship(items.sparkSession)
+    kind = items.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kind = b.schema.field(0).type.value_type
-            for p in b.to_pylist():
-                x, y = (np.frombuffer(p[c]).reshape(-1, p["dim"]) for c in ("m", "rm"))
-                s = np.round(x @ y.T, 9)
+            for x, (width, same) in enumerate(zip(b.column(2).to_pylist(), b.column(5).to_pylist(), strict=True)):
+                s = np.round(_block_of(b, x, 1, width) @ _block_of(b, x, 4, width).T, 9)
                 i, j = np.nonzero(s >= min_sim)
-                found = [(p["ids"][u], p["rids"][v], float(s[u, v])) for u, v in zip(i.tolist(), j.tolist(), strict=True)]
-                if p["ids"] == p["rids"]:
-                    found = [f for f in found if f[0] < f[1]]
-                else:
-                    found = [(min(f[:2]), max(f[:2]), f[2]) for f in found]
-                cols = list(zip(*found, strict=True)) if found else [[]] * 3
-                yield pa.record_batch([pa.array(cols[0], kind), pa.array(cols[1], kind), pa.array(cols[2], pa.float64())], names=["a", "b", "sim"])
-
-    return pairs.mapInArrow(run, f"a {kind}, b {kind}, sim double")
+                p, q, sim = _rows_of(b, x, 0).take(pa.array(i)), _rows_of(b, x, 3).take(pa.array(j)), pa.array(s[i, j])
+                less, more = pc.less(p, q), pc.greater(p, q)
+                a, c = pc.if_else(less, p, q), pc.if_else(less, q, p)
+                yield pa.record_batch([a, c, sim], names=["a", "b", "sim"]).filter(less if same else pc.or_(less, more))
+
+    return _block_pairs(items, block).mapInArrow(run, f"a {kind}, b {kind}, sim double")
 
 
 def centroids(items: DataFrame, by: list[str], normalise_first: bool = False) -> DataFrame:

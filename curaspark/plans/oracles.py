@@ -293,7 +293,7 @@ CAL = views("calib")
 CLIP = "greatest(1e-6, least(1 - 1e-6, conf))"
 add("calibration_error", f"select round(sum(n * abs(c - y)) / sum(n), 6) ece from (select b, count(*) n, avg(c) c, avg(correct) y from (select {CLIP} c, correct, (select count(*) from range(1, 10) r(i) where {CLIP} > r.i * cast(0.1 as double)) b from calib) group by b)", CAL)
 add("temperature_scaled", f"select doc_id, round(1 / (1 + exp(-ln({CLIP} / (1 - {CLIP})) / 1.7)), 6) conf from calib", CAL)
-add("cost_gate", "select round(1.0 + r * 2, 4) expected_cost, case when 1.0 + r * 2 <= 1.8 then 'GO' else 'NO-GO' end verdict from (select round(count(*) filter (where decision = 'false_alarm') / count(*), 4) r from ledger where event = 'review')", LED)
+add("cost_gate", "select round(1.0 + r * 2, 4) expected_cost, 1.0::double miss_component, round(r * 2, 4) fa_component, case when 1.0 + r * 2 <= 1.8 then 'GO' else 'NO-GO' end verdict from (select round(count(*) filter (where decision = 'false_alarm') / count(*), 4) r from ledger where event = 'review')", LED)
 
 # banks and gates
 BANK = f"bk as (select id, label, embedding from items where {GOLD} and label in ('c0', 'c1', 'c2')), {near(GOLD, GOLD, 'a.id <> b.id and a.label = b.label', 'bn')}, bs as (select label bank, greatest(quantile_cont(kd, 0.5), 1e-3) scale from (select id, label, avg(1 - sim) kd from bn where rn <= 10 and label in ('c0', 'c1', 'c2') group by all) group by label)"

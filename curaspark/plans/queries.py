@@ -652,9 +652,8 @@ def temperature_scaled(spark, d):
 
 @query
 def cost_gate(spark, d):
-    f = ledger.fp_rate(T.ledger(spark, d))
-    cost = 0.02 * 50.0 + F.col("fp_rate") * 2.0
-    return f.select(F.round(cost, 4).alias("expected_cost"), F.when(cost <= 1.8, "GO").otherwise("NO-GO").alias("verdict"))
+    rates = ledger.fp_rate(T.ledger(spark, d)).select(F.lit(0.02).alias("miss_rate"), F.col("fp_rate").alias("fa_rate"))
+    return monitor.cost_gate(rates, 50.0, 2.0, 1.8).select("expected_cost", "miss_component", "fa_component", "verdict")
 
 
 # banks, consistency, gates ---------------------------------------------------------------

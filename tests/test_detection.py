@@ -111,7 +111,7 @@ def test_control_charts(spark):
     assert monitor.spc(monitor.series(spark.createDataFrame([], "t int, x double"), "t", "x")).collect() == []
 
 
-def test_calibration(spark, monkeypatch):
+def test_calibration(spark):
     r = np.random.default_rng(0)
     conf = r.uniform(0.9, 0.99, 400)
     y = (r.random(400) < 0.7).astype(float)
@@ -124,12 +124,11 @@ def test_calibration(spark, monkeypatch):
 
     grid = np.linspace(0.05, 10, 4000)
     assert t == pytest.approx(grid[np.argmin([loss(g) for g in grid])], abs=0.01) and t > 1
-    monkeypatch.setattr(monitor, "LOCAL_ROWS", 0)
-    assert monitor.fit_temperature(df).first().temperature == t
     assert monitor.fit_temperature(df.limit(0)).first().temperature == 1.0
     assert monitor.calibration_error(df).first().ece > 0.1
     assert monitor.calibration_error(df.limit(0)).first().ece == 0.0
-    assert monitor.cost_gate(0.01, 0.1, 100, 1, 1.1)["verdict"] == "GO"
+    cost = monitor.cost_gate(spark.createDataFrame([(0.01, 0.1), (0.011, 0.1)], "miss_rate double, fa_rate double"), 100, 1, 1.1).collect()
+    assert [(r.expected_cost, r.verdict) for r in cost] == [(1.1, "GO"), (1.2, "NO-GO")]
 
 
 def test_banks(spark):
@@ -164,7 +163,20 @@ def test_projection(spark):
     ad = bank.adaptation(pair(spark, 0.05))
     assert ad.first().frozen_err == 0.0
     assert not bank.projection_gate(ad).first().go
-    x, y = np.random.default_rng(0).normal(size=(30, 5)), np.repeat([0, 1], 15)
-    mean, w = bank.fit_projection(x, y)
-    out = bank.project(spark.createDataFrame([(1, x[0].tolist())], "id long, embedding array<double>"), mean, w).first()
+    x, y = np.random.default_rng(0).normal(size=(60, 5)), np.repeat([0, 1, 2], 20)
+    x[y == 1, 0] += 4
+    x[y == 2, 1] += 4
+    df = spark.createDataFrame([(i, "abc"[c], v.tolist()) for i, (v, c) in enumerate(zip(x, y, strict=True))], "id long, label string, embedding array<double>").repartition(3)
+    mean, w = bank.fit_projection(df)
+    assert mean == pytest.approx(x.mean(axis=0)) and w.shape == (5, 2)
+    # the directions solve the generalised eigenproblem of the two scatters
+    gaps = np.stack([x[y == c].mean(axis=0) for c in range(3)]) - mean
+    between = 20 * gaps.T @ gaps
+    within = (x - mean).T @ (x - mean) - between
+    within += 0.3 * (np.trace(within) / 5 + 1e-9) * np.eye(5)
+    for v in w.T:
+        ratio = (v @ between @ v) / (v @ within @ v)
+        assert between @ v == pytest.approx(ratio * (within @ v), abs=1e-6) and np.linalg.norm(v) == pytest.approx(1)
+    out = bank.project(df.where("id = 0"), mean, w).first()
     assert out.embedding == pytest.approx((x[0] - mean) @ w)
+    assert bank.fit_projection(df.where("label = 'a'"))[1] is None and bank.fit_projection(df.limit(0))[1] is None

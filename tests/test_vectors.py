@@ -36,6 +36,39 @@ def test_knn_is_exact(spark, how):
     assert all(r.label == r.nlabel for r in same)
 
 
+def test_knn_of_every_label(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(70, 4))
+    x[10], x[11] = x[12], x[12]
+    rows = [(i, [None, "a", "b"][i % 3], v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, label string, embedding array<double>")
+    order = plain_knn(x, 69)
+    for how in ({}, {"broadcast_bytes": 0, "block": 16}):
+        got = {}
+        for r in vectors.knn(df, df, 4, per_label=True, **how).orderBy("id", "nlabel", "rank").collect():
+            got.setdefault((r.id, r.nlabel), []).append(r.nid)
+        assert got == {(i, c): [j for j in order[i] if rows[j][1] == c][:4] for i in range(70) for c in (None, "a", "b")}
+
+
+@pytest.mark.parametrize("block,parts", [(16, 5), (16, 6), (2048, 3), (7, 1)])
+def test_block_pairs_lose_no_pair(spark, block, parts):
+    """Odd and even numbers of blocks, rows in no order."""
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(30, 6)), 3, axis=0) + rng.normal(0, 0.01, (90, 6))
+    df = spark.createDataFrame([(int(i), "a", x[i].tolist()) for i in rng.permutation(90)], "id long, label string, embedding array<double>").repartition(parts)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 9)
+    got = {(r.a, r.b): r.sim for r in vectors.similar_pairs(df, 0.99, block=block).collect()}
+    assert got == {(i, j): pytest.approx(s[i, j]) for i in range(90) for j in range(i + 1, 90) if s[i, j] >= 0.99}
+    group = {r.node: r.component for r in graph.components(vectors.links(df, 0.01, block=block)).collect()}
+    lab = list(range(90))
+    for _ in range(90):
+        for i, j in zip(*np.nonzero(1 - u @ u.T < 0.01), strict=True):
+            lab[i] = lab[j] = min(lab[i], lab[j])
+    assert [group.get(i, i) for i in range(90)] == lab
+    assert vectors.similar_pairs(df.limit(0), 0.9).collect() == [] and vectors.links(df.limit(0), 0.9).collect() == []
+
+
 def test_label_audit_finds_the_planted_error(spark):
     got = labels.suspected_errors(clusters(spark), 5).collect()
     assert [(r.id, r.suggested_label, r.disagreement) for r in got] == [("bad", "b", 1.0)]
