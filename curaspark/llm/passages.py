@@ -1,16 +1,21 @@
 """Substring dedup by paragraph MinHash banding (operator 8).
 
-Paragraphs come in two sizes. Lines of at least ``line_words`` words get a MinHash signature over five-word shingles; bands of
-it, as many as ``bands_for`` needs for the recall asked, are join keys, and lines that collide are verified by exact Jaccard
-similarity; ``line_words`` is the least at which unequal lines reach 0.8, as five shingles share four. The whole word stream is also cut into short paragraphs at places its own words choose - where the hash of two
-adjacent words is least among its neighbours - so a passage inside different lines falls into the same short paragraphs
-wherever it stands, but for its ends, which are found word by word around the paragraphs that repeat. A short paragraph has so few shingles that a similarity of 0.8 means equality (one changed word takes
-five shingles), hence its signature is a single band, the hash of all its words. Components of verified links make classes;
-each sequence of ``min_words`` words around paragraphs whose class spans documents is then looked up in other documents. What
-those sequences and the verified lines cover are the passages, to their true ends and ``min_words`` words long at least. Runs of repeated paragraphs with small gaps
-are also joined, and the joined spans are banded and verified as lines are.
-
-Cases: null, empty or very short texts hold no paragraph; rows that share an id, also a null one, count as one document;
+Paragraphs are the lines of a text, of every length. Each has a set of five-word shingles (the line itself where it is
+shorter), a MinHash signature over it, and bands of the signature as join keys, as many as ``bands_for`` needs for the recall
+asked. Paragraphs that collide are verified by exact Jaccard similarity, and components of verified links are classes. Two
+unequal sets reach a similarity of 0.8 only if one of them has four shingles and the other five at least, which takes a line
+of eight words; below that a class is the paragraph's own hash and needs no band.
+
+The word stream is also cut into short paragraphs at places its own words choose - where the hash of two adjacent words is
+least among its neighbours - so a passage inside differing lines falls into the same short paragraphs wherever it stands, but
+for its ends. These are matched by the hash of their words. Each sequence of ``min_words`` words around those that repeat is
+then looked up in other documents, so passages are found to their true ends, word by word, and runs of repeated short
+paragraphs with small gaps are joined and banded and verified as lines are.
+
+A passage is what shared sequences and repeated paragraphs of ``min_words`` words or more cover without a gap. ``min_words`` is
+51: passages of over 50 words are what this operator removes; paragraphs of any length are classed by ``paragraphs``.
+
+Cases: null, empty or blank texts hold no paragraph; rows that share an id, also a null one, count as one document;
 repeated rows report their passages once each; case and marks at the edges of words don't matter; very long texts and lines
 are read whole; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 from . import buckets, runtime
 
 NO_ID = (1 << 63) - 1
-BROADCAST_KEYS = 1_000_000
+BROADCAST_BYTES = 16 << 20
 EDGES = b".,;:!?\"'()[]{}<>*$#%&|_-"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -141,13 +146,20 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(d, text).alias("uid"), d.alias("d"), text.cast("binary").alias("text"))
 
 
-def units(docs: DataFrame, id_col: str, text_col: str, min_words: int, line_words: int, shingle: int, bands: int, rows: int) -> DataFrame:
-    """Paragraphs of every row: (uid, d, is_line, start, n, key, chain, reach, bands, grams).
+def banded_from(similarity: float, shingle: int) -> int:
+    """Words from which two unequal paragraphs can reach the similarity: k of k + 1 shingles shared, k / (k + 1) being enough."""
+    return math.ceil(similarity / (1 - similarity) - 1e-9) + shingle - 1
+
+
+def units(docs: DataFrame, id_col: str, text_col: str, min_words: int, similarity: float, shingle: int, bands: int, rows: int, cut: bool = True) -> DataFrame:
+    """Paragraphs of every row: (uid, d, is_line, start, n, key, chain, reach, bands, grams); lines only unless ``cut``.
 
     A short paragraph's chain is the hash of the ``reach`` words from its start to the first cut that is min_words or more
-    after the next paragraph's start, or to the end: all sequences of min_words words that begin in the paragraph.
+    after the next paragraph's start, or to the end: all sequences of min_words words that begin in the paragraph. Lines too
+    short to resemble an unequal one have no bands.
     """
     runtime.ship(docs.sparkSession)
+    least = banded_from(similarity, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,13 +171,13 @@ def units(docs: DataFrame, id_col: str, text_col: str, min_words: int, line_word
                 for uid, d, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
                     with np.errstate(over="ignore"):
                         h, ends = word_hashes(text.as_py())
-                        if len(h) < 4:
+                        if not len(h):
                             continue
                         at = cuts(h)
                         starts, stops = at[:-1], at[1:]
-                        good = stops - starts >= 4
+                        good = (stops - starts >= 4) & cut
                         starts, stops = starts[good], stops[good]
-                        lines = [(i, j) for i, j in zip([0, *ends], ends, strict=False) if j - i >= line_words]
+                        lines = [(i, j) for i, j in zip([0, *ends], ends, strict=False) if j > i]
                         is_line = np.zeros(len(starts) + len(lines), bool)
                         is_line[len(starts) :] = True
                         starts = np.concatenate([starts, [i for i, _ in lines]]).astype(np.int64)
@@ -177,6 +189,10 @@ def units(docs: DataFrame, id_col: str, text_col: str, min_words: int, line_word
                         band_out += [None] * (len(starts) - len(lines))
                         gram_out += [None] * (len(starts) - len(lines))
                         for i, j in lines:
+                            if j - i < least:
+                                band_out.append([])
+                                gram_out.append(None)
+                                continue
                             g = shingle_hashes(h[i:j], shingle)
                             band_out.append(band_keys(g, bands, rows))
                             gram_out.append(g.astype("<u4").tobytes())
@@ -327,8 +343,30 @@ def _line_edges(similarity: float):
     return run
 
 
+def _classed(lines: DataFrame, similarity: float, cap: int) -> DataFrame:
+    """(uid, d, start, n, component_id) of paragraphs (uid, d, start, n, key, bands, grams)."""
+    spark = lines.sparkSession
+    banded = lines.select("key", F.explode("bands").alias("band")).distinct()
+    dealt = runtime.staged(buckets.block_pairs(banded, "band", "key", cap), "line-buckets")
+    met = runtime.staged(dealt.select("key").distinct(), "lines-met")
+    # few lines meet another: their keys are broadcast where a count shows them small, else shingles are shuffled to them
+    few = met.count() * 16 <= BROADCAST_BYTES
+    payload = runtime.staged(lines.where("grams is not null").select("key", "grams").join(F.broadcast(met) if few else met, "key", "left_semi").dropDuplicates(["key"]), "line-shingles")
+    sets = dealt.join(payload, "key").select("band", "blk_a", "blk_b", "key", "grams")
+    n = runtime.partitions(spark)
+    edges = sets.repartition(n, "band", "blk_a", "blk_b").sortWithinPartitions("band", "blk_a", "blk_b").mapInArrow(_line_edges(similarity), "a long, b long")
+    comp = runtime.cut(buckets.components(edges).where("node != component").select(F.col("node").alias("key"), "component"))
+    return lines.select("uid", "d", "start", "n", "key").join(comp, "key", "left").select("uid", "d", "start", "n", F.coalesce("component", "key").alias("component_id"))
+
+
+def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, recall: float = 0.995, shingle: int = 5, rows: int = 4, cap: int = 1024) -> DataFrame:
+    """doc_id, first_word, n_words, component_id of every line with a word: lines of one class are linked by similarity."""
+    found = runtime.staged(units(docs, id_col, text_col, 1, similarity, shingle, bands_for(rows, similarity, recall), rows, cut=False), "lines")
+    return _classed(found, similarity, cap).select(F.expr(f"nullif(d, {NO_ID}L)").alias("doc_id"), F.col("start").alias("first_word"), F.col("n").alias("n_words"), "component_id")
+
+
 def repeated(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, recall: float = 0.995, min_words: int = 32, line_words: int = 8, shingle: int = 5, rows: int = 4, cap: int = 1024
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, recall: float = 0.995, min_words: int = 51, shingle: int = 5, rows: int = 4, cap: int = 1024
 ) -> DataFrame:
     """One row for each paragraph that repeats across documents inside a passage of at least ``min_words`` words.
 
@@ -336,9 +374,8 @@ def repeated(
     class; removed is true where the paragraph is a copy of one in an earlier document; passage_first_word and
     passage_n_words place the passage it belongs to. A document none of whose passages repeats has no row.
     """
-    spark = docs.sparkSession
     bands = bands_for(rows, similarity, recall)
-    found = runtime.staged(units(docs, id_col, text_col, min_words, line_words, shingle, bands, rows), "paragraphs")
+    found = runtime.staged(units(docs, id_col, text_col, min_words, similarity, shingle, bands, rows), "paragraphs")
     short = found.where("not is_line").select("uid", "d", "start", "n", "key", "chain", "reach")
     classes = runtime.staged(_across(short, "key"), "short-classes")
     near = runtime.staged(short.join(classes, "key").withColumnRenamed("key", "component_id"), "shorts")
@@ -354,18 +391,7 @@ def repeated(
     shared = shared.unionByName(near.where(F.col("known") & (F.col("reach") >= min_words)).select("uid", F.col("start").alias("first"), (F.col("start") + F.col("reach")).alias("end")))
 
     lines = found.where("is_line").select(*spans.columns).unionByName(spans)
-    banded = lines.select("key", F.explode("bands").alias("band")).distinct()
-    dealt = runtime.staged(buckets.block_pairs(banded, "band", "key", cap), "line-buckets")
-    met = runtime.staged(dealt.select("key").distinct(), "lines-met")
-    # few lines meet another: their keys are broadcast where a count shows them small, else shingles are shuffled to them
-    few = met.count() <= BROADCAST_KEYS
-    payload = runtime.staged(lines.select("key", "grams").join(F.broadcast(met) if few else met, "key", "left_semi").dropDuplicates(["key"]), "line-shingles")
-    sets = dealt.join(payload, "key").select("band", "blk_a", "blk_b", "key", "grams")
-    n = runtime.partitions(spark)
-    edges = sets.repartition(n, "band", "blk_a", "blk_b").sortWithinPartitions("band", "blk_a", "blk_b").mapInArrow(_line_edges(similarity), "a long, b long")
-    comp = runtime.cut(buckets.components(edges).where("node != component").select(F.col("node").alias("key"), "component"))
-    classed = lines.select("uid", "d", "start", "n", "key").join(comp, "key", "left").select("uid", "d", "start", "n", F.coalesce("component", "key").alias("component_id"))
-    classed = runtime.staged(classed, "lines-classed")
+    classed = runtime.staged(_classed(lines, similarity, cap), "lines-classed")
     spans = runtime.cut(classed.groupBy("component_id").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("component_id", "lo"))
     longs = classed.join(spans, "component_id").select("uid", "d", "start", "n", "component_id", "lo")
 

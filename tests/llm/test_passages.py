@@ -86,7 +86,7 @@ def test_planted_passages(spark, cap):
     classes = {}
     for r in got:
         classes.setdefault(r.component_id, set()).add(r.doc_id)
-        assert r.removed == (r.doc_id != r.first_doc_id) and r.passage_n_words >= 32
+        assert r.removed == (r.doc_id != r.first_doc_id) and r.passage_n_words >= 51
     for p, ds in planted.items():
         if len(ds) > 1:
             assert any(set(ds) <= c for c in classes.values()), p
@@ -130,7 +130,7 @@ def test_near_copies_of_short_lines_and_over_gaps(spark):
     some = lambda n: list(rng.choice(vocabulary, n))
     rows, lines, wrapped = [], set(), set()
     for p in range(60):
-        w = some(int(rng.integers(33, 49)))
+        w = some(int(rng.integers(53, 80)))
         for d, x in ((2 * p, w), (2 * p + 1, ["other", *w[1:]] if p % 2 else [*w, "more"])):
             rows.append((d, "\n".join(" ".join(v) for v in (some(20), x, some(20))), "", 0))
             lines.add(d)
@@ -148,3 +148,54 @@ def test_near_copies_of_short_lines_and_over_gaps(spark):
         got[r.doc_id] = max(got.get(r.doc_id, 0), r.passage_n_words)
     assert lines <= got.keys()
     assert np.mean([got.get(d, 0) >= 100 for d in wrapped]) >= 0.9
+
+
+def test_paragraphs_of_every_size_against_all_pairs(spark):
+    """Edited copies of lines of 1 to 200 words: classes against components of plain Jaccard over all pairs."""
+    rng = np.random.default_rng(7)
+    vocabulary = np.array([f"w{k}" for k in range(3000)])
+    some = lambda n: list(rng.choice(vocabulary, n))
+    texts = []
+    for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 20, 30, 48, 75, 120, 200):
+        for _ in range(25):
+            w = some(n)
+            texts.append(w)
+            kind = int(rng.integers(5))
+            x = list(w)
+            if kind == 0:
+                x = [*w, "more"]
+            elif kind == 1:
+                x = w[1:] or w
+            elif kind == 2:
+                x[0] = "first"
+            elif kind == 3:
+                for at in rng.integers(0, n, max(1, n // 60)):
+                    x[at] = "edited"
+            texts.append(x)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in texts]
+    linked, lab = [], list(range(len(texts)))
+    for i in range(len(sets)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if shared and shared >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                linked.append((j, i))
+    for _ in range(10):
+        for j, i in linked:
+            lab[i] = lab[j] = min(lab[i], lab[j])
+    rows = [(k, " ".join(w), "", 0) for k, w in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in passages.paragraphs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(got) == len(texts)
+    by_class = {}
+    for k, c in got.items():
+        by_class.setdefault(c, set()).add(lab[k])
+    assert all(len(x) == 1 for x in by_class.values())  # nothing linked that plain Jaccard doesn't link
+    found = {}
+    for j, i in linked:
+        found.setdefault(len(texts[j]), []).append(got[i] == got[j])
+    assert set(found) >= {1, 4, 7, 8, 9, 10, 12, 15, 20, 30, 48, 75, 120, 200}
+    assert all(np.mean(x) >= 0.9 for x in found.values()), {n: np.mean(x) for n, x in found.items()}
+    assert np.mean([x for xs in found.values() for x in xs]) >= 0.99
+
+
+def test_lines_that_can_resemble_an_unequal_one():
+    assert passages.banded_from(0.8, 5) == 8 and passages.banded_from(0.5, 5) == 5
