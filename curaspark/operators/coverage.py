@@ -108,6 +108,36 @@ def overturns(dets: DataFrame, top: int = 50, eps: float = 1e-9) -> DataFrame:
     return rows.orderBy(F.desc("wrongness"), "id").limit(top)
 
 
+def error_regions(errors: DataFrame, dets: DataFrame, fp_iou: float = 0.5, fn_iou: float = 0.1, for_class: str | None = None) -> DataFrame:
+    """id, label, embedding of the regions that errors point at.
+
+    An error box (hash, kind fp or fn, error_id, label, box) is found among the stored detections (hash, pos, embedding, box)
+    of its image: the best overlap that reaches the threshold of its kind, the last one in case of a tie. With all classes,
+    an image none of whose errors is found counts by the mean of its vectors; with one class it doesn't.
+    """
+    e = errors if for_class is None else errors.where(F.col("label") == for_class)
+    side = [F.col(c).alias(f"d_{c}") for c in ("cx", "cy", "w", "h")]
+    stored = dets.where(F.col("embedding").isNotNull())
+    v = C.iou(C.box(), C.box("d_"))
+    least = F.when(F.col("kind") == "fp", F.lit(fp_iou)).otherwise(F.lit(fn_iou))
+    near = e.join(stored.select("hash", "pos", "embedding", *side), "hash").withColumn("v", v).where(F.col("v") >= least)
+    best = near.groupBy("hash", "kind", "error_id").agg(F.max_by("embedding", F.struct("v", "pos")).alias("embedding"))
+    out = best.select(F.concat_ws(":", "hash", "kind", "error_id").alias("id"), F.lit(None).cast("string").alias("label"), "embedding")
+    if for_class is not None:
+        return out
+    lost = e.select("hash").distinct().join(best.select("hash").distinct(), "hash", "left_anti")
+    flat = stored.join(lost, "hash").select("hash", F.posexplode("embedding").alias("k", "x"))
+    mean = flat.groupBy("hash", "k").agg(F.avg("x").alias("x")).groupBy("hash").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("embedding"))
+    return out.unionByName(mean.select(F.concat_ws(":", "hash", F.lit("image")).alias("id"), F.lit(None).cast("string").alias("label"), "embedding"))
+
+
+def error_mine_boxes(candidates: DataFrame, errors: DataFrame, dets: DataFrame, top: int = 20, for_class: str | None = None, **how) -> DataFrame:
+    """id, closeness, region: candidates (id, embedding) by their cosine to the nearest error region."""
+    c = candidates.select(F.col("id").cast("string").alias("id"), F.lit(None).cast("string").alias("label"), "embedding")
+    near = vectors.knn(c, error_regions(errors, dets, for_class=for_class, **how), 1, exclude_self=False)
+    return near.select("id", F.round("sim", 4).alias("closeness"), F.col("nid").alias("region")).orderBy(F.desc("closeness"), "id").limit(top)
+
+
 def error_mine(candidates: DataFrame, errors: DataFrame, top: int = 50) -> DataFrame:
     """Candidates most like any error region: id, error_id, similarity."""
     near = vectors.knn(candidates, errors, 1, exclude_self=True)

@@ -150,6 +150,26 @@ def eval_set_hash(gt: DataFrame) -> DataFrame:
     return shard.agg(F.substring(F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(F.concat("b", "s")))), 256), 1, 16).alias("hash"))
 
 
+def freeze_baseline(aps: DataFrame, eval_hash: DataFrame, protected: dict[str, float] | None = None, map_drop: float = 0.02) -> DataFrame:
+    """label, ap, n_gt, allowed, map, eval_set_hash, map_drop: an evaluation as the bar that later ones are held to.
+
+    ``allowed`` is the drop that a protected class may show, null for the others.
+    """
+    whole = aps.agg(F.round(F.avg("ap"), 4).alias("map")).join(F.broadcast(eval_hash.select(F.col("hash").alias("eval_set_hash"))))
+    allowed = F.lit(None).cast("double")
+    for label, drop in (protected or {}).items():
+        allowed = F.when(F.col("label") == label, F.lit(float(drop))).otherwise(allowed)
+    return aps.select("label", "ap", "n_gt", allowed.alias("allowed")).join(F.broadcast(whole)).withColumn("map_drop", F.lit(map_drop))
+
+
+def check_baseline(current: DataFrame, support: DataFrame, baseline: DataFrame, eval_hash: str | None = None, min_support: int = 20) -> DataFrame:
+    """What ``regression_check`` says of current values against a frozen baseline; another evaluation set is only an advice."""
+    rows = baseline.select("label", "allowed", "map_drop", "eval_set_hash").collect()  # one row a class
+    guard = {r.label: r.allowed for r in rows if r.allowed is not None}
+    changed = bool(rows) and eval_hash is not None and rows[0].eval_set_hash != eval_hash
+    return regression_check(current, baseline, support, guard, rows[0].map_drop if rows else 0.02, min_support, changed)
+
+
 def regression_check(current: DataFrame, baseline: DataFrame, support: DataFrame, protected: dict[str, float] | None = None, map_drop: float = 0.02, min_support: int = 20, set_changed: bool = False) -> DataFrame:
     """kind (blocking, advisory), label, reason, drop of two tables (label, ap): fail-closed on protected classes."""
     spark = current.sparkSession

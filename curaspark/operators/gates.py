@@ -28,6 +28,31 @@ def pre_train(checks: DataFrame) -> DataFrame:
     return out.withColumn("verdict", F.when(F.size("reasons") == 0, "GO").otherwise("NO-GO"))
 
 
+def checks(samples: DataFrame, under: DataFrame, leaks: DataFrame, backends: DataFrame, guard: DataFrame, chain: DataFrame, extra: list[str] = ()) -> DataFrame:
+    """The one row that ``pre_train`` judges, from the things themselves.
+
+    samples (tags); under-represented classes (label); leaking groups (splits, an array); the embedding backends in use
+    (backend); a drift guard (triggered); checked ledger lines (link_ok, hash_ok). Empty tables raise no flag.
+    """
+    golden, evals = (F.array_contains("tags", t) for t in ("golden", "eval"))
+    one = samples.agg(F.count_if(golden).alias("n_golden"), F.count_if(golden & evals).alias("eval_golden_overlap"), F.count_if(F.array_contains("tags", "review")).alias("n_review_open"))
+    parts = [
+        under.agg(F.array_sort(F.collect_list("label")).alias("under_represented")),
+        leaks.agg(F.count_if(F.array_contains("splits", "golden") & F.array_contains("splits", "train")).alias("golden_train_overlap")),
+        backends.agg((F.count_distinct("backend") > 1).alias("backend_mixed")),
+        guard.agg(F.coalesce(F.max("triggered"), F.lit(False)).alias("drift_triggered")),
+        chain.agg(F.coalesce(F.min(F.col("link_ok") & F.col("hash_ok")), F.lit(True)).alias("chain_intact")),
+    ]
+    for x in parts:
+        one = one.join(F.broadcast(x))  # one row each
+    return one.withColumn("extra", F.array(*map(F.lit, extra)).cast("array<string>"))
+
+
+def flagged_planned(planned: DataFrame, flagged: DataFrame) -> DataFrame:
+    """The planned ids that are flagged."""
+    return planned.select("id").distinct().join(flagged.select("id"), "id", "left_semi")
+
+
 def batch_verdict(counts: DataFrame) -> DataFrame:
     """batch, n_block, n_clean, eval_available to verdict: BLOCK over PARTIAL over CLEAN over PASS."""
     v = F.when(F.col("n_block") > 0, "BLOCK").when(~F.col("eval_available"), "PARTIAL").when(F.col("n_clean") > 0, "CLEAN").otherwise("PASS")

@@ -101,6 +101,19 @@ def merged_distribution(a: DataFrame, b: DataFrame, mapping: DataFrame) -> DataF
     return both.groupBy(F.coalesce("new", "label").alias("label")).agg(F.sum("n").alias("n"))
 
 
+def merge_datasets(a: DataFrame, b: DataFrame, overrides: DataFrame) -> DataFrame:
+    """name, new_id, n, side, needs_decision of two datasets (id, label) under common names, before anything is merged.
+
+    ``overrides`` (old, new) rename classes first; a class that only one side has needs a decision. Names are ranked in one
+    task, as there is one row a class.
+    """
+    n = merged_distribution(a, b, overrides)
+    ids = lambda x: x.select("label").distinct().select(F.dense_rank().over(Window.orderBy("label")).alias("cid"), F.col("label").alias("name"))
+    m = align_class_maps(ids(a), ids(b), overrides).groupBy("name", "new_id").agg(F.min("id_a").alias("id_a"), F.min("id_b").alias("id_b"))
+    side = F.when(F.col("id_a").isNull(), "only_b").when(F.col("id_b").isNull(), "only_a").otherwise("common")
+    return m.join(n.withColumnRenamed("label", "name"), "name").select("name", "new_id", "n", side.alias("side"), (side != "common").alias("needs_decision"))
+
+
 def class_pairs(items: DataFrame) -> DataFrame:
     """All unordered pairs of classes."""
     c = items.select("label").distinct()

@@ -119,6 +119,18 @@ def eval_trend(points: DataFrame) -> DataFrame:
     return p.withColumn("delta", F.when(F.col("n_points") >= 2, F.round(F.col("last_ap") - F.col("first_ap"), 4)))
 
 
+def eval_series(points: DataFrame) -> DataFrame:
+    """label, seq, ap, step: every class's value at every evaluation (seq, label, ap), and its change since the last known one."""
+    w = Window.partitionBy("label").orderBy("seq")
+    last = F.last("ap", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return points.select("label", "seq", "ap", F.round(F.col("ap") - last, 4).alias("step"))
+
+
+def health_series(ledger: DataFrame) -> DataFrame:
+    """seq, health of the weakness reports in the ledger, in order."""
+    return ledger.where("event = 'weakness_report'").select("seq", F.get_json_object("extra", "$.health").alias("health")).orderBy("seq")
+
+
 def eval_set_changed(points: DataFrame) -> DataFrame:
     """One row: whether more than one non-empty eval set hash occurs."""
     return points.agg((F.count_distinct(F.when(F.col("eval_set_hash") != "", F.col("eval_set_hash"))) > 1).alias("eval_set_changed"))

@@ -69,10 +69,11 @@ def calibration_error(rows: DataFrame, bins: int = 10) -> DataFrame:
     return g.agg(F.coalesce(F.sum(F.col("n") * F.abs(F.col("c") - F.col("y"))) / F.sum("n"), F.lit(0.0)).alias("ece"))
 
 
-def fit_temperature(rows: DataFrame, lo: float = 0.05, hi: float = 10.0, steps: int = 60, ahead: int = 4) -> DataFrame:
+def fit_temperature(rows: DataFrame, lo: float = 0.05, hi: float = 10.0, steps: int = 60, ahead: int = 6) -> DataFrame:
     """One row, temperature: ternary search of the mean negative log likelihood.
 
-    Rows are first summed to one per distinct confidence; each pass over that table serves the next ``ahead`` steps.
+    Rows are first summed to one per distinct confidence; each pass over that table serves the next ``ahead`` steps: it meets
+    the 2 ** (ahead + 1) points, a fixed number, that those steps could ask for.
     """
     g = rows.groupBy(C.clip(F.col("conf")).alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("correct").cast("double")).alias("y")).persist()
     spark = rows.sparkSession
@@ -80,9 +81,8 @@ def fit_temperature(rows: DataFrame, lo: float = 0.05, hi: float = 10.0, steps:
         if g.isEmpty():
             return spark.createDataFrame([(1.0,)], "temperature double")
 
-        def loss(t):
-            p = C.clip(C.temperature(F.col("c"), t))
-            return -F.sum(F.col("y") * F.log(p) + (F.col("n") - F.col("y")) * F.log(1 - p)) / F.sum("n")
+        p = C.clip(C.temperature(F.col("c"), F.col("t")))
+        loss = -F.sum(F.col("y") * F.log(p) + (F.col("n") - F.col("y")) * F.log(1 - p)) / F.sum("n")
 
         # a pass evaluates the probes of every interval that the next ``ahead`` steps could reach
         while steps > 0:
@@ -92,8 +92,8 @@ def fit_temperature(rows: DataFrame, lo: float = 0.05, hi: float = 10.0, steps:
                     x, y = reach[path]
                     reach[path + "l"], reach[path + "r"] = (x, y - (y - x) / 3), (x + (y - x) / 3, y)
             probes = [(p, side, t) for p, (x, y) in reach.items() for side, t in (("a", x + (y - x) / 3), ("b", y - (y - x) / 3))]
-            got = g.agg(*[loss(t).alias(f"l{i}") for i, (_, _, t) in enumerate(probes)]).first()
-            value = {(p, side): got[i] for i, (p, side, _) in enumerate(probes)}
+            rows = spark.createDataFrame(probes, "path string, side string, t double")
+            value = {(r.path, r.side): r.loss for r in g.crossJoin(F.broadcast(rows)).groupBy("path", "side").agg(loss.alias("loss")).collect()}
             path = ""
             while path in reach:
                 x, y = reach[path]

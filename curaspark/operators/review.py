@@ -24,12 +24,17 @@ def normalise(decisions: DataFrame) -> DataFrame:
     return decisions.withColumn("outcome", out).withColumn("label", F.when(F.col("outcome") == "relabel", F.trim("decision")))
 
 
+def unknown_ids(samples: DataFrame, ids: DataFrame) -> DataFrame:
+    """Ids (hash) that no sample has."""
+    return ids.select("hash").distinct().join(samples.select("hash"), "hash", "left_anti")
+
+
 def resolve(samples: DataFrame, decisions: DataFrame, first_seq: int = 0) -> DataFrame:
     """Tag events of resolutions: confirmed (or relabelled) samples become golden, rejected ones rejected.
 
     Golden is added and review stays, as open counts expect. Any unknown id fails the whole batch before a row is made.
     """
-    unknown = decisions.join(samples.select("hash"), "hash", "left_anti").limit(5).collect()
+    unknown = unknown_ids(samples, decisions).limit(5).collect()
     if unknown:
         raise ValueError(f"unknown ids: {[r.hash for r in unknown]}")
     n = normalise(decisions)

@@ -100,3 +100,8 @@ def sentences(reasons):
     mapping = F.create_map(*[F.lit(x) for kv in SENTENCES.items() for x in kv])
     text = F.array_join(F.transform(reasons, lambda r: F.coalesce(F.try_element_at(mapping, r), r)), "; ")
     return F.when(F.size(reasons) == 0, F.lit("nothing unusual")).otherwise(text)
+
+
+def in_band(dets: DataFrame, lo: float = 0.05, hi: float = 0.25) -> DataFrame:
+    """Detections with a vector whose confidence lies in [lo, hi): proposals the model itself doubts."""
+    return dets.where(F.col("embedding").isNotNull() & (F.col("confidence") >= lo) & (F.col("confidence") < hi))

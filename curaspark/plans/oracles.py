@@ -338,3 +338,99 @@ add("synthetic_detections", "select hash, 'one' as label, round(cast(0.4 as doub
 add("ingest_batch", """select h vix_hash, src_path from (select sha256(text) h, min(printf('/data/%08d.png', doc_id)) src_path from documents group by 1) where h not in (select sha256(text) from documents where doc_id % 10 = 0)""")
 add("image_items", """select a.g as id, h.label, round(h.c, 6) confidence, round(a.t, 6) total from (select g, sum(x) t from (select g, pos, avg(x) x from (select cast(floor(id / 4) as bigint) g, generate_subscripts(embedding, 1) pos, unnest(embedding) x from items where id % 9 <> 0) group by all) group by g) a
     join (select cast(floor(id / 4) as bigint) g, arg_min(label, id) as label, max(confidence) c from items group by 1) h on h.g = a.g""", ITEMS)
+
+# proposals, error regions, baselines, merges
+add("confidence_band", "select id, round(confidence, 6) confidence from items where confidence >= 0.45 and confidence < 0.55", ITEMS)
+STORED = "stored as (select cast(p.image_id as varchar) hash, p.pred_id pos, i.embedding, p.cx, p.cy, p.w, p.h from eval_pred p join items i on i.id = p.pred_id % 100 where p.pred_id % 3 <> 0)"
+ERRORS = """errors as (select 'fn' kind, gt_id error_id, cast(image_id as varchar) hash, label, cx, cy, w, h, cast(0.1 as double) least from miss
+    union all select 'fp', p.pred_id, cast(p.image_id as varchar), p.label, p.cx, p.cy, p.w, p.h, 0.5 from m join eval_pred p on p.pred_id = m.pred_id where m.gt_id is null)"""
+
+
+def mined(which: str, fallback: bool) -> str:
+    best = f"""best as (select e.hash, concat_ws(':', e.hash, e.kind, cast(e.error_id as varchar)) id, arg_max(s.embedding, ({iou("e", "s")}, s.pos)) embedding
+        from errors e join stored s on s.hash = e.hash where {which} and {iou("e", "s")} >= e.least group by e.hash, e.kind, e.error_id)"""
+    lost = """lost as (select hash, concat(hash, ':image') id, list(x order by k) embedding from (select hash, k, avg(x) x from (select s.hash, unnest(s.embedding) x, generate_subscripts(s.embedding, 1) k
+        from stored s where s.hash in (select hash from errors) and s.hash not in (select hash from best)) group by hash, k) group by hash)"""
+    regions = "regions as (select id, embedding from best" + (" union all select id, embedding from lost)" if fallback else ")")
+    rank = """ranked as (select i.id, r.id region, list_cosine_similarity(i.embedding, r.embedding) sim, row_number() over (partition by i.id order by round(list_cosine_similarity(i.embedding, r.embedding), 9) desc, r.id) rn
+        from items i, regions r where i.role = 'candidate')"""
+    return ", ".join([best, lost, regions, rank])
+
+
+MINED = "select cast(id as varchar) id, round(sim, 4) closeness, region from ranked where rn = 1 order by closeness desc, cast(id as varchar) limit 40"
+add("error_mine_boxes", MINED, EVAL, ITEMS, M5, MISS, STORED, ERRORS, mined("true", True))
+add("error_mine_class", MINED, EVAL, ITEMS, M5, MISS, STORED, ERRORS, mined("e.label = 'click'", False))
+HASHED = "eh as (" + ORACLES["eval_set_hash"].split(views("eval_gt"), 1)[1].lstrip(" ,") + ")"
+add("eval_baseline", """select label, ap, n_gt, case label when 'click' then cast(0.05 as double) when 'view' then 0.1 end allowed, (select round(avg(ap), 4) from ap) as map, (select hash from eh) eval_set_hash, cast(0.02 as double) map_drop from ap""", EVAL, M5, AP, HASHED)
+ORACLES["baseline_check"] = ORACLES["regression_check"]
+add("merge_datasets", f"""select name, cast(dense_rank() over (order by name) - 1 as bigint) new_id, n, case when not in_a then 'only_b' when not in_b then 'only_a' else 'common' end side, not (in_a and in_b) needs_decision
+    from (select {TO} as name, count(*) n, bool_or(role = 'golden') in_a, bool_or(role = 'anchor') in_b from items where (role = 'golden' and label <> 'c9') or (role = 'anchor' and label <> 'c2') group by 1)""", ITEMS)
+
+NMS = lambda source, key, thr: f"""nd as (select *, row_number() over (partition by {key} order by conf desc, pred_id) r from ({source})),
+    ns as (select {key}, cast(0 as bigint) r, cast([] as struct(pred_id bigint, cx double, cy double, w double, h double)[]) kept from nd where r = 1
+        union all select s.{key}, d.r, case when len(list_filter(s.kept, lambda k: {iou('k', 'd')} >= {thr})) > 0 then s.kept else list_append(s.kept, struct_pack(pred_id := d.pred_id, cx := d.cx, cy := d.cy, w := d.w, h := d.h)) end
+        from ns s join nd d on d.{key} = s.{key} and d.r = s.r + 1),
+    nms as (select {key}, unnest(arg_max(kept, r)).pred_id pred_id from ns group by {key})"""
+add("loose_nms", "select image_id, pred_id from nms", EVAL, NMS("select image_id, pred_id, conf, cx, cy, cast(0.45 as double) w, cast(0.45 as double) h from eval_pred", "image_id", 0.3))
+PROPOSED = f"""band as (select cast(cast(floor(i.id / 8) as bigint) as varchar) hash, i.id pred_id, i.confidence conf, i.embedding, b.cx, b.cy, cast(0.6 as double) w, cast(0.6 as double) h
+    from items i join boxes b on b.id = i.id where i.role = 'candidate' and i.confidence >= 0.45 and i.confidence < 0.9), {NMS('select * from band', 'hash', 0.4)},
+    pq as (select p.*, row_number() over (partition by id, nlabel order by round(sim, 9) desc, nid) k from (select b.hash, b.pred_id id, b.conf, r.id nid, r.label nlabel, list_cosine_similarity(b.embedding, r.embedding) sim
+        from band b join nms n on n.pred_id = b.pred_id, items r where r.role = 'golden' and r.label in ('c0', 'c1', 'c2')) p),
+    pv as (select hash, id, conf, max(case when r = 1 then bank end) top, round(max(case when r = 1 then s end) - max(case when r = 2 then s end), 4) margin, min(raw) raw from (select *, row_number() over (partition by id order by s desc, bank) r from (
+        select q.hash, q.id, q.conf, q.nlabel bank, round(exp(-avg(1 - sim) / any_value(b.scale)), 4) s, round(avg(1 - sim), 4) raw from pq q join bs b on b.bank = q.nlabel where k <= 10 group by q.hash, q.id, q.conf, q.nlabel)) group by hash, id, conf),
+    pa as (select hash, id pos, round(conf, 3) confidence, case when raw <= 0.9 and margin >= 0.004 then case top when 'c0' then 'defect_like' when 'c1' then 'reflection_like' else 'normal_like' end else 'unknown' end verdict,
+        case when raw <= 0.9 and margin >= 0.004 then top end winning_bank, round(margin, 6) margin, round(raw, 6) min_raw_dist from pv)"""
+add("proposal_audit", "select * from pa", ITEMS, SQL["boxes"], BANK, PROPOSED)
+add("proposal_tags", "select distinct hash, 'proposal' tag from band union all select distinct hash, 'hard_positive' from pa where verdict in ('defect_like', 'unknown')", ITEMS, SQL["boxes"], BANK, PROPOSED)
+
+# class pairs without their bootstrap
+add("pair_separability", """select a, b, cast(ni as integer) ni, cast(nj as integer) nj, k, round(p, 4) sep_err, round(greatest(0, (p + z / (2 * n) - hw) / (1 + z / n)), 4) sep_lo, round(least(1, (p + z / (2 * n) + hw) / (1 + z / n)), 4) sep_hi, round(o_ij, 4) o_ij, round(o_ji, 4) o_ji
+    from (select *, 1.96 * sqrt(p * (1 - p) / n + z / (4 * n * n)) hw from (select a, b, any_value(k) k, any_value(ni) ni, any_value(nj) nj, any_value(ni) + any_value(nj) n, count(*) filter (where (share > 0.5) <> (label = b)) / count(*) p,
+        avg(case when label = a then share end) o_ij, avg(case when label = b then 1 - share end) o_ji, cast(1.96 * 1.96 as double) z from shares group by a, b))""", ITEMS,
+    "cn as (select label, count(*) n from items group by label)",
+    "cp as (select *, cast(least(case when r % 2 = 0 then r + 1 else r end, ni + nj - 1) as integer) k from (select x.label a, y.label b, x.n ni, y.n nj, greatest(3, cast(floor(sqrt(least(x.n, y.n))) as integer)) r from cn x join cn y on x.label < y.label))",
+    """near_c as (select *, row_number() over (partition by id, nlabel order by sim desc, nid) rn from (select a.id, a.label, b.id nid, b.label nlabel, round(list_cosine_similarity(a.embedding, b.embedding), 9) sim from items a join items b on a.id <> b.id))""",
+    """shares as (select a, b, id, label, any_value(k) k, any_value(ni) ni, any_value(nj) nj, avg((nlabel = b)::int) share from (select p.*, n.id, n.label, n.nlabel, row_number() over (partition by p.a, p.b, n.id order by n.sim desc, n.nlabel, n.nid) place
+        from near_c n join cp p on n.label in (p.a, p.b) and n.nlabel in (p.a, p.b) where n.rn <= p.k) where place <= k group by a, b, id, label)""")
+add("projection_transform", "select id, " + ", ".join(f"round(list_sum(list_transform(embedding, lambda v, r: (v - (r - 1) / cast(100 as double)) * ((((r - 1) * 7 + {c * 3}) % 5) - 2) / cast(10 as double))), 6) x{c}" for c in range(3)) + " from items", ITEMS)
+
+# searches that depend on their own last step
+add("fit_temperature", """select round((lo + hi) / 2, 4) temperature from ts where i = 60""", CAL,
+    f"tc as (select c, count(*) n, sum(y) y from (select {CLIP} c, correct y from calib) group by c)",
+    """ts as (select 0 i, cast(0.05 as double) lo, cast(10 as double) hi union all select i + 1, case when la < lb then lo else a end, case when la < lb then b else hi end from (
+        select s.i, s.lo, s.hi, s.a, s.b, -sum(y * ln(pa) + (n - y) * ln(1 - pa)) la, -sum(y * ln(pb) + (n - y) * ln(1 - pb)) lb from (
+            select s.*, n, y, greatest(1e-6, least(1 - 1e-6, 1 / (1 + exp(-ln(c / (1 - c)) / a)))) pa, greatest(1e-6, least(1 - 1e-6, 1 / (1 + exp(-ln(c / (1 - c)) / b)))) pb
+            from (select i, lo, hi, lo + (hi - lo) / 3 a, hi - (hi - lo) / 3 b from ts where i < 60) s, tc) s group by s.i, s.lo, s.hi, s.a, s.b))""")
+add("active_learning", """select cast(picked as integer) rank, id, round(unc, 6) uncertainty, round(nov, 6) novelty, round(score, 6) score from al where step = 25 and picked is not null""", ITEMS, near(CAND, GOLD, "true", "aln"),
+    "alr as (select i.id, i.embedding, 1 - i.confidence unc, 1 - n.sim raw from items i join aln n on n.id = i.id and n.rn = 1)",
+    "als as (select id, embedding, unc, (raw - (select min(raw) from alr)) / ((select max(raw) - min(raw) from alr) + 1e-12) nov from alr)",
+    """al as (select 0 step, id, embedding, unc, nov, 0.5 * unc + 0.5 * nov score, cast(null as integer) picked from als union all
+        select step + 1, id, embedding, unc, nov, case when picked is null and pos > 1 then score - 0.25 * greatest(0, list_cosine_similarity(embedding, chosen)) else score end, case when pos = 1 then step + 1 else picked end from (
+            select *, case when picked is null then row_number() over (order by (picked is not null)::int, score desc, id) end pos, first_value(embedding) over (order by (picked is not null)::int, score desc, id) chosen from al where step < 25))""")
+add("capacity", """select batch_id, volume, flag_rate, cast(floor(round(volume * flag_rate, 9)) as bigint) expected_reviews, 10 capacity, greatest(0, cast(floor(round(volume * flag_rate, 9)) as bigint) - 10) shortfall
+    from (select batch_id, count(*) volume, round(avg((decision = 'review')::int), 4) flag_rate from ledger where event = 'route' group by batch_id)""", LED)
+add("ap_series", """select label, seq, ap, round(ap - last_value(ap ignore nulls) over (partition by label order by seq rows between unbounded preceding and 1 preceding), 4) step from pts""", PTS)
+
+# review write-back
+DECIDED = "decided as (select vix_hash hash, replace(arg_max(decision, seq), 'hardneg', 'scratch') decision from ledger where event = 'review' group by 1)"
+add("resolve_reviews", "select hash, case when decision = 'false_alarm' then 'rejected' else 'golden' end tag, 'add' op from decided", LED, DECIDED)
+add("unknown_ids", "select hash from decided where hash not in (select concat('u', cast(id as varchar)) from items where id % 3 <> 0)", views("items", "ledger"), DECIDED)
+add("dismiss_ids", "select hash, tag, 'remove' op from decided, (values ('review'), ('proposal')) t(tag) where decision = 'false_alarm' union all select hash, 'review', 'add' from decided where decision = 'false_alarm' and hash like '%7'", LED, DECIDED)
+add("queue_emission", "select 'overturned' queue, 'wrong' predict, 7 seq, hash id from decided where decision = 'confirmed'", LED, DECIDED)
+add("admit_batch", """select cast(id as varchar) hash, 'admitted' tag, 'add' op, batch from items where batch in ('w1', 'w2', 'w5') and (batch = 'w5' or batch not in (select batch from bv where verdict = 'BLOCK'))""",
+    ITEMS, "bv as (" + ORACLES["batch_gate"].replace("with recursive", "with", 1) + ")")
+add("flagged_planned", "select id from items where split = 'train' and confidence < 0.5", ITEMS)
+add("class_gather", """select label, count(*) n, round(sum(list_sum(embedding)), 6) total from (select *, cast(floor(id / 4) as bigint) g from items) i
+    where g in (select cast(floor(id / 4) as bigint) from items where batch = 'w2') and g not in (select cast(floor(id / 4) as bigint) from items where role = 'anchor') and id % 9 <> 0 group by label""", ITEMS)
+add("windowed_review_rates", "select time_bucket(interval '6 hours', ts, timestamp '1970-01-01') as start, batch_id, count(*) n, round(avg((decision = 'review')::int), 6) review_rate from ledger where event = 'route' group by all", LED)
+CHAIN = """ch as (select seq, concat('{"decision":"', case when seq % 997 = 7 then 'pass' else decision end, '","event":"', event, '","seq":', cast(seq as varchar), '}') raw, sha256(concat('{"decision":"', decision, '","event":"', event, '","seq":', cast(seq as varchar), '}')) entry_hash from ledger),
+    cl as (select *, case when seq % 501 = 500 then 'cut' else coalesce(lag(entry_hash) over (order by seq), '') end prev_hash from ch),
+    cv as (select seq, prev_hash = coalesce(lag(entry_hash) over (order by seq), '') link_ok, sha256(raw) = entry_hash hash_ok from cl)"""
+add("verify_chain", "select * from cv", LED, CHAIN)
+add("report_class_diff", "select label, 'new' change from (select label from items where batch = 'w2' and id < 60 except select label from items where batch = 'w0' and id < 60) union all select label, 'removed' from (select label from items where batch = 'w0' and id < 60 except select label from items where batch = 'w2' and id < 60)", ITEMS)
+add("pre_train_gate", """select case when len(r) = 0 then 'GO' else 'NO-GO' end verdict, array_to_string(r, ',') reasons, u under_represented from (select list_filter([case when (select count(*) from items where role = 'golden') = 0 then 'no_golden' end,
+    case when (select count(*) from items where role = 'golden' and split = 'test') > 0 then 'eval_golden_overlap' end, case when (select count(distinct fab) from items) > 1 then 'backend_mixed' end, case when (select count(*) from items where confidence < 0.42) > 0 then 'review_open' end,
+    case when (select count(*) from (select group_id from comp join items using (id) group by group_id having bool_or(role = 'golden') and bool_or(role <> 'golden'))) > 0 then 'golden_train_overlap' end, case when u <> '' then 'under_represented' end,
+    case when (select max({COS}) from a join b on a.k = b.k) > 0.15 or (select c from base) - (select c from q) > 0.05 then 'drift' end, case when not (select bool_and(link_ok and hash_ok) from cv) then 'chain_broken' end], lambda x: x is not null) r, u
+    from (select coalesce(string_agg(label, ',' order by label), '') u from (select label from items where role = 'golden' group by label having count(*) < 25)))""".replace("{COS}", COS),
+    views("items", "ledger"), DUP, CHAIN, centroid("role = 'anchor'", "a"), centroid(CAND, "b"), consistency("role = 'anchor'", GOLD, "base"), consistency(CAND, "role = 'anchor'", "q"))

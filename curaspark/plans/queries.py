@@ -596,12 +596,12 @@ def resolved_ids(spark, d):
 
 @query
 def verify_chain(spark, d):
-    """Lines whose links are cut at every 501st and whose digests are those of their text."""
-    raw = T.ledger(spark, d).select("seq", F.to_json(F.struct("decision", "event", "seq")).alias("raw"))
-    lines = raw.withColumn("entry_hash", F.sha2(F.concat_ws("", F.lit('{"decision":"'), F.get_json_object("raw", "$.decision"), F.lit('","event":"'), F.get_json_object("raw", "$.event"), F.lit('","seq":'), F.col("seq").cast("string"), F.lit("}")), 256))
+    """Lines whose links are cut at every 501st; every 997th was tampered with after its digest was taken."""
+    body = lambda decision: F.concat(F.lit('{"decision":"'), decision, F.lit('","event":"'), F.col("event"), F.lit('","seq":'), F.col("seq").cast("string"), F.lit("}"))
+    lines = T.ledger(spark, d).select("seq", body(F.when(F.col("seq") % 997 == 7, F.lit("pass")).otherwise(F.col("decision"))).alias("raw"), F.sha2(body(F.col("decision")), 256).alias("entry_hash"))
     before = lines.select((F.col("seq") + 1).alias("seq"), F.col("entry_hash").alias("p"))
     lines = lines.join(before, "seq", "left").withColumn("prev_hash", F.when(F.col("seq") % 501 == 500, "cut").otherwise(F.coalesce("p", F.lit(""))))
-    return ledger.verify_chain(lines)
+    return ledger.verify_chain(lines, run=1000)
 
 
 @query
@@ -708,13 +708,18 @@ def projection_gate(spark, d):
     return bank.projection_gate(adapt_embedding(spark, d)).select(*r6("macro_frozen", "macro_adapted"), "n_regressed", "n_rescued", "go")
 
 
+def _tagged(i: DataFrame) -> DataFrame:
+    tags = F.array_compact(F.array("role", F.when(F.col("split") == "test", "eval"), F.when(F.col("confidence") < 0.42, "review"), F.concat(F.lit("batch:"), "batch")))
+    return i.select(F.col("id").cast("string").alias("hash"), tags.alias("tags"))
+
+
 @query
 def pre_train_gate(spark, d):
     i = T.items(spark, d)
-    under = coverage.coverage_gaps(role(i, "golden"), 25).where("under_represented").agg(F.array_sort(F.collect_list("label")).alias("under_represented"))
-    n = i.agg(F.count_if(F.col("role") == "golden").alias("n_golden"), F.count_if((F.col("role") == "golden") & (F.col("split") == "test")).alias("eval_golden_overlap"))
-    open_ = T.ledger(spark, d).agg(F.count_if((F.col("event") == "route") & (F.col("decision") == "review")).alias("n_review_open"))
-    one = n.join(F.broadcast(under)).join(F.broadcast(open_)).select("*", F.lit(False).alias("backend_mixed"), F.lit(0).alias("golden_train_overlap"), F.lit(False).alias("drift_triggered"), F.lit(True).alias("chain_intact"), F.array().cast("array<string>").alias("extra"))
+    under = coverage.coverage_gaps(role(i, "golden"), 25).where("under_represented")
+    leaks = dedup.leakage(i.withColumn("split", F.when(F.col("role") == "golden", "golden").otherwise("train")), DUP)
+    guard = drift.guard(role(i, "anchor"), role(i, "golden"), role(i, "candidate"))
+    one = gates.checks(_tagged(i), under, leaks, i.select(F.col("fab").alias("backend")), guard, verify_chain(spark, d))
     return gates.pre_train(one).select("verdict", F.array_join("reasons", ",").alias("reasons"), F.array_join("under_represented", ",").alias("under_represented"))
 
 
@@ -756,7 +761,7 @@ def report_suggestions(spark, d):
 @query
 def report_class_diff(spark, d):
     i = T.items(spark, d)
-    return gates.report_diff(i.where("label <> 'c9'"), i.where("label <> 'c0'"))
+    return gates.report_diff(i.where("batch = 'w0' and id < 60"), i.where("batch = 'w2' and id < 60"))
 
 
 @query
@@ -870,3 +875,176 @@ def image_items(spark, d):
     i = T.items(spark, d)
     dets = i.select(F.floor(F.col("id") / 4).cast("long").alias("hash"), F.col("id").alias("pos"), "label", "confidence", F.when(F.col("id") % 9 != 0, F.col("embedding")).alias("embedding"))
     return vectors.image_items(dets).select("id", "label", *r6("confidence"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+# proposals, error regions, baselines, merges ---------------------------------------------------
+
+
+@query
+def confidence_band(spark, d):
+    return routing.in_band(T.items(spark, d), 0.45, 0.55).select("id", *r6("confidence"))
+
+
+def _error_boxes(spark, d):
+    """Errors of the evaluation as boxes, and stored detections that carry vectors."""
+    g, p, m = _eval(spark, d)
+    box = ["cx", "cy", "w", "h"]
+    fn = evaluation.false_negatives(g, p, m).select("image_id", "gt_id").join(g, ["image_id", "gt_id"]).select(F.lit("fn").alias("kind"), F.col("gt_id").alias("error_id"), "image_id", "label", *box)
+    fp = evaluation.false_positives(g, p, m).select("image_id", "pred_id").join(p, ["image_id", "pred_id"]).select(F.lit("fp").alias("kind"), F.col("pred_id").alias("error_id"), "image_id", "label", *box)
+    errors = fn.unionByName(fp).withColumn("hash", F.col("image_id").cast("string")).drop("image_id")
+    i = T.items(spark, d).select((F.col("id")).alias("vec"), "embedding")
+    dets = p.where("pred_id % 3 <> 0").withColumn("vec", F.col("pred_id") % 100).join(i, "vec").select(F.col("image_id").cast("string").alias("hash"), F.col("pred_id").alias("pos"), "embedding", *box)
+    return graph.cut(errors), dets
+
+
+@query
+def error_mine_boxes(spark, d):
+    errors, dets = _error_boxes(spark, d)
+    return coverage.error_mine_boxes(role(T.items(spark, d), "candidate"), errors, dets, 40)
+
+
+@query
+def error_mine_class(spark, d):
+    errors, dets = _error_boxes(spark, d)
+    return coverage.error_mine_boxes(role(T.items(spark, d), "candidate"), errors, dets, 40, for_class="click")
+
+
+@query
+def eval_baseline(spark, d):
+    g, _, m = _eval(spark, d)
+    return evaluation.freeze_baseline(evaluation.average_precision(m, g), evaluation.eval_set_hash(g), {"click": 0.05, "view": 0.1}).select("label", "ap", "n_gt", "allowed", "map", "eval_set_hash", "map_drop")
+
+
+@query
+def baseline_check(spark, d):
+    g, _, m = _eval(spark, d)
+    ap = graph.cut(evaluation.average_precision(m, g))
+    was = ap.withColumn("ap", F.when(F.col("label") == "click", F.col("ap") + 0.2).otherwise(F.col("ap")))
+    base = graph.cut(evaluation.freeze_baseline(was, evaluation.eval_set_hash(g), {"click": 0.05, "view": 0.05, "error": 0.05}))
+    support = ap.select("label", F.when(F.col("label") == "view", 5).otherwise(F.col("n_gt")).alias("n"))
+    return evaluation.check_baseline(ap.select("label", "ap"), support, base).select("kind", "label", "reason", *r6("drop"))
+
+
+@query
+def merge_datasets(spark, d):
+    i = T.items(spark, d)
+    over = spark.createDataFrame([("c1", "c0"), ("c3", "c0"), ("c5", "five")], "old string, new string")
+    out = labels.merge_datasets(role(i, "golden").where("label <> 'c9'"), role(i, "anchor").where("label <> 'c2'"), over)
+    return out.select("name", F.col("new_id").cast("long").alias("new_id"), F.col("n").cast("long").alias("n"), "side", "needs_decision")
+
+
+def _proposals(spark, d):
+    i = T.items(spark, d).join(T.boxes(spark, d).select("id", "cx", "cy", "w", "h"), "id")
+    dets = role(i, "candidate").select(F.floor(F.col("id") / 8).cast("string").alias("hash"), F.col("id").alias("pos"), "label", "confidence", "embedding", "cx", "cy", F.lit(0.6).alias("w"), F.lit(0.6).alias("h"))
+    return bank.audit_proposals(dets, _banks(i), {"c0": "defect_like", "c1": "reflection_like", "c2": "normal_like"}, lo=0.45, hi=0.9, iou=0.4, tau=0.004, novelty_radius=0.9)
+
+
+@query
+def proposal_audit(spark, d):
+    return _proposals(spark, d)[0].select("hash", "pos", "confidence", "verdict", "winning_bank", *r6("margin", "min_raw_dist"))
+
+
+@query
+def proposal_tags(spark, d):
+    return _proposals(spark, d)[1]
+
+
+@query
+def pair_separability(spark, d):
+    """``pair_stats`` without its seeded bootstrap, over all items."""
+    st = bank.pair_stats(T.items(spark, d))
+    return st.select("a", "b", "ni", "nj", "k", "sep_err", "sep_lo", "sep_hi", "o_ij", "o_ji")
+
+
+@query
+def projection_transform(spark, d):
+    import numpy as np
+
+    i = T.items(spark, d)
+    n = len(i.select("embedding").first()[0])
+    mean = np.arange(n) / 100
+    w = np.array([[((r * 7 + c * 3) % 5 - 2) / 10 for c in range(3)] for r in range(n)])
+    p = bank.project(i, mean, w)
+    return p.select("id", *[F.round(F.col("embedding")[c], 6).alias(f"x{c}") for c in range(3)])
+
+
+@query
+def capacity(spark, d):
+    r = ledger.review_rate(T.ledger(spark, d)).select("batch_id", F.col("n").alias("volume"), F.round("review_rate", 4).alias("flag_rate"), F.lit(1.25).alias("per_hour"), F.lit(8.0).alias("hours"))
+    return ledger.capacity(r).select("batch_id", "volume", "flag_rate", "expected_reviews", "capacity", "shortfall")
+
+
+@query
+def ap_series(spark, d):
+    e = T.table(spark, d, "events")
+    points = e.select(F.col("event_id").alias("seq"), F.col("event_type").alias("label"), F.when(F.col("event_id") % 150 != 0, F.round((F.col("event_id") * 13 % 100) / 100, 4)).alias("ap"))
+    return ledger.eval_series(points)
+
+
+# review write-back ------------------------------------------------------------------------------
+
+
+def _decisions(spark, d):
+    """The last decision on each user, the users standing for samples."""
+    l = T.ledger(spark, d).where("event = 'review'").groupBy("vix_hash").agg(F.max_by("decision", "seq").alias("decision"))
+    return l.select(F.col("vix_hash").alias("hash"), F.when(F.col("decision") == "hardneg", "scratch").otherwise(F.col("decision")).alias("decision"))
+
+
+@query
+def resolve_reviews(spark, d):
+    samples = T.ledger(spark, d).select(F.col("vix_hash").alias("hash")).distinct()
+    return review.resolve(samples, _decisions(spark, d)).select("hash", "tag", "op")
+
+
+@query
+def unknown_ids(spark, d):
+    samples = T.items(spark, d).where("id % 3 <> 0").select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("hash"))
+    return review.unknown_ids(samples, _decisions(spark, d))
+
+
+@query
+def dismiss_ids(spark, d):
+    ids = _decisions(spark, d).where("decision = 'false_alarm'")
+    return review.dismiss(ids, ["review", "proposal"]).select("hash", "tag", "op").unionByName(review.dismiss(ids.where("hash like '%7'"), ["review"], "add").select("hash", "tag", "op"))
+
+
+@query
+def queue_emission(spark, d):
+    ids = _decisions(spark, d).where("decision = 'confirmed'").select(F.col("hash").alias("id"))
+    return review.emission(ids, "overturned", "wrong", 7)
+
+
+@query
+def admit_batch(spark, d):
+    s = _tagged(T.items(spark, d))
+    verdicts = {r.batch: r.verdict for r in batch_gate(spark, d).collect()}  # one row a batch
+    out = None
+    for b in ("w1", "w2", "w5"):
+        events = review.admit_batch(s, b, verdicts[b], force=b == "w5")[0].select("hash", "tag", "op").withColumn("batch", F.lit(b))
+        out = events if out is None else out.unionByName(events)
+    return out
+
+
+@query
+def flagged_planned(spark, d):
+    i = T.items(spark, d)
+    return gates.flagged_planned(i.where("split = 'train'").select("id"), i.where("confidence < 0.5").select("id"))
+
+
+@query
+def class_gather(spark, d):
+    """Detections of samples of four boxes, found by a bare batch name."""
+    i = T.items(spark, d)
+    det = F.struct("id", "label", "confidence", F.when(F.col("id") % 9 != 0, F.col("embedding")).alias("embedding"))
+    s = i.groupBy(F.floor(F.col("id") / 4).cast("string").alias("hash")).agg(F.array_sort(F.collect_list(det)).alias("dets"), F.array_union(F.collect_set(F.concat(F.lit("batch:"), "batch")), F.collect_set("role")).alias("tags"))
+    found = files.detection_items(s, [files.resolve_tag(s, "w2"), files.resolve_tag(s, "nothing")], ["anchor"]).where("embedding is not null")
+    return found.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)), 6).alias("total"))
+
+
+@query
+def windowed_review_rates(spark, d):
+    """The streaming aggregate over the ledger at rest."""
+    from ..streaming import ingest
+
+    r = ingest.review_rates(T.ledger(spark, d), "6 hours")
+    return r.select(F.col("window.start").alias("start"), "batch_id", "n", *r6("review_rate"))
