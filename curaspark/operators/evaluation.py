@@ -138,6 +138,13 @@ def diagnose(gt: DataFrame, pred: DataFrame, loc_iou: float = 0.5, min_overlap:
     return best.select("image_id", "gt_id", verdict.alias("verdict"))
 
 
+def weakest(aps: DataFrame, misses: DataFrame, mistaken: DataFrame) -> DataFrame:
+    """label, ap, dominant_fn, n_fn, confused_with of classes, lowest value first: how each is missed, and for what."""
+    kinds = misses.groupBy("label", "type").agg(F.count(F.lit(1)).alias("k")).groupBy("label").agg(F.max_by("type", F.struct("k", "type")).alias("dominant_fn"), F.sum("k").alias("n_fn"))
+    partner = mistaken.groupBy(F.col("truth").alias("label")).agg(F.max_by("pred", F.struct("n", "pred")).alias("confused_with"))
+    return aps.select("label", "ap").join(kinds, "label", "left").join(partner, "label", "left").orderBy("ap", "label")
+
+
 def eval_set_hash(gt: DataFrame) -> DataFrame:
     """One row, hash: 16 hex digits over the images and their sorted truths; predictions play no part.
 

@@ -35,6 +35,9 @@ def label_files(samples: DataFrame, lines: DataFrame, val_fraction: float = 0.0)
     named = samples.select("hash", "src_path", stem.alias("stem"))
     nth = F.row_number().over(Window.partitionBy("stem").orderBy("src_path", "hash")) - 1
     named = named.withColumn("nth", nth).withColumn("name", F.when(F.col("nth") == 0, F.col("stem")).otherwise(F.concat_ws("_", "stem", "nth")))
+    # a numbered name may be another image's own: such a one carries its hash as well
+    own = named.select(F.col("stem").alias("name")).distinct().withColumn("taken", F.lit(True))
+    named = named.join(own, "name", "left").withColumn("name", F.when((F.col("nth") > 0) & F.coalesce("taken", F.lit(False)), F.concat_ws("_", "name", "hash")).otherwise(F.col("name")))
     out = named.join(body, "hash", "left").select("hash", "src_path", "name", F.coalesce("body", F.lit("")).alias("body"))
     if not val_fraction:
         return out.withColumn("split", F.lit("train"))
@@ -79,6 +82,16 @@ def health_json(row: dict) -> str:
     return json.dumps({k: (None if isinstance(v, float) and (v != v or abs(v) == float("inf")) else v) for k, v in row.items()}, ensure_ascii=False, indent=2, sort_keys=True, default=str)
 
 
+def write_health(folder: str, row: dict, stamp: str) -> None:
+    """health_report.json and .md, and the JSON again under history/ with its time."""
+    os.makedirs(os.path.join(folder, "history"), exist_ok=True)
+    text = health_json(row)
+    pages = {"health_report.json": text, os.path.join("history", f"health_{stamp}.json"): text, "health_report.md": markdown_table("health", list(row), [tuple(row.values())])}
+    for name, body in pages.items():
+        with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
+            f.write(body)
+
+
 def markdown_table(title: str, columns: list[str], rows: list[tuple]) -> str:
     lines = [f"## {title}", "", "| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
     return "\n".join([*lines, *["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows], ""])
@@ -92,13 +105,14 @@ def html_table(title: str, columns: list[str], rows: list[tuple]) -> str:
 
 
 def weakness_report(folder: str, sections: dict[str, DataFrame], limit: int = 50) -> list[str]:
-    """report.md, report.html and one CSV a section; each section is shown as far as ``limit`` rows."""
+    """report.md and report.html, which show each section as far as ``limit`` rows, and a folder of CSV files with all its rows."""
     os.makedirs(folder, exist_ok=True)
     md, page = [], []
     for title, df in sections.items():
         rows = [tuple(r) for r in df.limit(limit).collect()]
         md.append(markdown_table(title, df.columns, rows))
         page.append(html_table(title, df.columns, rows))
+        worklist_csv(df, os.path.join(folder, title))
     out = [os.path.join(folder, "report.md"), os.path.join(folder, "report.html")]
     with open(out[0], "w", encoding="utf-8") as f:
         f.write("\n".join(md))

@@ -776,10 +776,7 @@ def weakness_health(spark, d):
 @query
 def weakest_classes(spark, d):
     g, p, m = _eval(spark, d)
-    ap = evaluation.average_precision(m, g).select("label", "ap")
-    kinds = evaluation.false_negatives(g, p, m).groupBy("label", "type").agg(F.count(F.lit(1)).alias("k")).groupBy("label").agg(F.max_by("type", F.struct("k", "type")).alias("dominant_fn"), F.sum("k").alias("n_fn"))
-    partner = evaluation.confusion(g, p, m).groupBy(F.col("truth").alias("label")).agg(F.max_by("pred", F.struct("n", "pred")).alias("confused_with"))
-    return ap.join(kinds, "label", "left").join(partner, "label", "left").orderBy("ap", "label")
+    return evaluation.weakest(evaluation.average_precision(m, g), evaluation.false_negatives(g, p, m), evaluation.confusion(g, p, m))
 
 
 # review and snapshots -----------------------------------------------------------------------

@@ -18,11 +18,11 @@ MANIFEST = T.StructType([T.StructField(c, T.StringType()) for c in ("vix_hash",
 LEDGER = "ts_utc string, event string, vix_hash string, batch_id string, reviewer_id string, decision string, scores map<string, double>, thr_version string, extra string, prev_hash string, entry_hash string"
 
 
-def scan_images(spark: SparkSession, folder: str) -> DataFrame:
-    """src_path, vix_hash (sha256 of the bytes) of the images below a folder; content is hashed in the scan and dropped."""
+def scan_images(spark: SparkSession, folder: str, content: bool = False) -> DataFrame:
+    """src_path, vix_hash (sha256 of the bytes) of the images below a folder; the bytes are dropped unless asked for."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     ok = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*SUFFIXES)
-    return raw.where(ok).select(F.regexp_replace("path", "^file:", "").alias("src_path"), F.sha2("content", 256).alias("vix_hash"))
+    return raw.where(ok).select(F.regexp_replace("path", "^file:", "").alias("src_path"), F.sha2("content", 256).alias("vix_hash"), *(["content"] if content else []))
 
 
 def hash_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,11 +76,27 @@ def append_manifest(entries: DataFrame, path: str, existing: DataFrame | None =
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Ledger records with seq (order in the file) and raw; a byte order mark is dropped and torn lines are skipped."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("seq", "raw"))
-    lines = lines.withColumn("raw", F.regexp_replace("raw", "^﻿", "")).where("trim(raw) <> ''")
+    """Ledger records with seq (the line's number in the file) and raw; a byte order mark is dropped and torn lines are skipped.
+
+    Lines are read in parallel blocks of the file; a line's number is its place in its block and the lines of the blocks before.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    counts = lines.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("block").orderBy("at")) - 1
+    lines = lines.withColumn("place", place).join(F.broadcast(before), "block").select((F.col("before") + F.col("place")).alias("seq"), F.regexp_replace("value", "^\ufeff", "").alias("raw"))
     rec = F.from_json("raw", LEDGER, {"mode": "PERMISSIVE"})
-    return lines.withColumn("r", rec).where("r.event is not null and r.entry_hash is not null").select("seq", "raw", "r.*")
+    return lines.where("trim(raw) <> ''").withColumn("r", rec).where("r.event is not null and r.entry_hash is not null").select("seq", "raw", "r.*")
+
+
+def read_decisions(spark: SparkSession, path: str) -> DataFrame:
+    """Review decisions (hash, decision) of a review tool, as JSON lines."""
+    return spark.read.schema("hash string, decision string").json(path).where("hash is not null")
+
+
+def read_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """A hash manifest (path, sha256) as JSON lines."""
+    return spark.read.schema("path string, sha256 string").json(path)
 
 
 def read_eval(spark: SparkSession, path: str) -> DataFrame:
@@ -157,7 +173,10 @@ def detection_items(samples: DataFrame, any_of: list[str] = (), none_of: list[st
 
 
 def pixel_embedding(images: DataFrame, size: int = 16) -> DataFrame:
-    """src_path, embedding: grey levels of a size x size thumbnail; needs an image library on the executors."""
+    """src_path, vix_hash, embedding of images with their content: grey levels of a size x size thumbnail.
+
+    Needs an image library on the executors.
+    """
     import pandas as pd
 
     @F.pandas_udf("array<double>")
@@ -172,7 +191,7 @@ def pixel_embedding(images: DataFrame, size: int = 16) -> DataFrame:
 
         return content.map(one)
 
-    return images.select("path", embed("content").alias("embedding"))
+    return images.select("src_path", "vix_hash", embed("content").alias("embedding"))
 
 
 def model_detections(images: DataFrame, predict, schema: str = "path string, pos int, label string, confidence double, cx double, cy double, w double, h double") -> DataFrame:

@@ -238,3 +238,97 @@ def test_admission_rotation_and_hashes(spark, tmp_path):
     assert [tuple(r) for r in files.hash_files(spark, str(tmp_path / "f")).collect()] == [("g/x.txt", hashlib.sha256(b"1").hexdigest())]
     files.append_lines(spark.createDataFrame([("a", "car", "van")], "id string, old string, new string"), str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 1
+
+
+def test_write_back_verbs(spark, tmp_path, capsys):
+    from curaspark import cli
+
+    det = "array<struct<label: string, confidence: double, cx: double, cy: double, w: double, h: double, embedding: array<double>>>"
+    vec = lambda c, i: [1.0, 0.05 * i, 0.1] if c == "a" else [0.05 * i, 1.0, 0.1]
+    rows = [(f"g{c}{i}", f"/d/{c}{i}.png", ["golden"], [(c, 0.9, 0.5, 0.5, 0.2, 0.2, vec(c, i))]) for c in "ab" for i in range(8)]
+    rows += [(f"n{i}", f"/d/n{i}.png", ["batch:w1", "review"], [("a", 0.1 + 0.05 * i, 0.5, 0.5, 0.2, 0.2, vec("a", 3 * i))]) for i in range(4)]
+    rows += [("r0", "/d/r0.png", ["rejected"], [("a", 0.9, 0.5, 0.5, 0.2, 0.2, [0.1, 0.1, 1.0])]), ("r1", "/d/r1.png", ["rejected"], [("a", 0.9, 0.5, 0.5, 0.2, 0.2, [0.1, 0.2, 1.0])])]
+    spark.createDataFrame(rows, f"hash string, src_path string, tags array<string>, dets {det}").write.parquet(str(tmp_path / "samples"))
+    ledger.append(spark, str(tmp_path / "ledger.jsonl"), [{"event": "route", "vix_hash": f"n{i}", "decision": "review", "batch_id": "w1", "ts_utc": "2026-01-01T00:00:00"} for i in range(4)])
+    ledger.append(spark, str(tmp_path / "ledger.jsonl"), [{"event": "queue_emit", "ts_utc": "2026-01-01T01:00:00", "extra": json.dumps({"queue": "q", "predict": "wrong", "ids": ["n0", "n1"]})}])
+    image = lambda h, truth, pred: {"vix_hash": h, "gt": [{"label": "a", "bbox": truth}], "pred": [{"label": "a", "bbox": pred, "conf": 0.9}]}
+    (tmp_path / "eval.jsonl").write_text("\n".join(json.dumps(x) for x in [image("ga0", [0.5, 0.5, 0.2, 0.2], [0.5, 0.5, 0.2, 0.2]), image("ga1", [0.5, 0.5, 0.2, 0.2], [0.9, 0.9, 0.1, 0.1])]))
+    (tmp_path / "pulled").write_text('{"hash": "n1", "decision": "false_alarm"}\n{"hash": "n2", "decision": "b"}\n')
+    (tmp_path / "masks").write_text('{"id": "n3:0", "cx": 0.5, "cy": 0.5, "w": 0.05, "h": 0.05}\n')
+
+    def run(*args):
+        capsys.readouterr()
+        code = cli.main([str(tmp_path), *args])
+        return code, [x.split("\t") for x in capsys.readouterr().out.strip().split("\n")]
+
+    def tags(h):
+        return set(cli.Workspace(spark, str(tmp_path)).samples.where(f"hash = '{h}'").first().tags)
+
+    ev = str(tmp_path / "eval.jsonl")
+    run("snapshot", "--id", "s1")
+    run("resolve", "--id", "n0", "--decision", "confirm", "--reviewer", "me")
+    assert "golden" in tags("n0")
+    run("sync-reviews", "--path", str(tmp_path / "pulled"))
+    assert "rejected" in tags("n1") and "golden" in tags("n2")
+    with pytest.raises(ValueError):
+        run("resolve", "--id", "n0,nobody")
+    run("dismiss", "--id", "n3")
+    assert "review" not in tags("n3")
+    run("restore-dismissed", "--id", "n3")
+    assert "review" in tags("n3")
+    assert run("queue-hit-rate")[1][1][:5] == ["q", "wrong", "2", "1", "0"]
+    assert sorted(r[0] for r in run("restore", "--id", "s1")[1][1:]) == ["n0", "n2"]
+    assert "golden" not in tags("n0")
+    assert run("merge", "--tag", "golden", "--other", "rejected", "--map", '{"b": "c"}')[1][1:] == [["a", "0", "11", "common", "False"], ["c", "1", "8", "only_a", "True"]]
+    assert run("merge-preview", "--tag", "golden", "--other", "rejected")[1][1:] == [["a", "11"], ["b", "8"]]
+    assert run("relabel", "--tag", "golden", "--map", '{"b": "c"}')[1][1:] == [["b", "c", "8"]]
+    assert spark.read.json(str(tmp_path / "relabels")).count() == 8
+    run("eval-ingest", "--path", ev)
+    run("set-eval-baseline", "--path", ev, "--map", '{"a": 0.01}')
+    code, gate = run("gate", "--path", ev, "--k", "3")
+    assert code == 2 and "review_open" in gate[1][1]
+    run("eval-ingest", "--path", ev)
+    assert run("ap-trend")[1][1][:2] == ["a", "2"]
+    assert run("weakness-report", "--path", ev)[1][1][-1] in ("RED", "AMBER", "GREEN")
+    assert (tmp_path / "weakness" / "report.md").exists() and (tmp_path / "weakness" / "weakest_classes").is_dir()
+    assert run("health-trend")[1][1][1] in ("RED", "AMBER", "GREEN")
+    run("report", "--k", "3")
+    assert len(list((tmp_path / "report" / "history").iterdir())) == 1
+    assert run("batch-gate", "--batch", "w1")[1][1][-1] == "PARTIAL"
+    run("batch-admit", "--batch", "w1")
+    assert "admitted" in tags("n3")
+    run("batch-unadmit", "--batch", "w1")
+    assert "admitted" not in tags("n3")
+    mined = run("error-mine", "--path", ev)[1][1:]
+    assert {r[0] for r in mined} <= {f"n{i}" for i in range(4)} and mined
+    audit = run("bank-audit", "--k", "3")[1]
+    assert len(audit) > 1 and "proposal" in tags("n0")
+    run("calibrate", "--k", "3")
+    run("route", "--k", "3")
+    run("route", "--k", "3")
+    assert run("routing-diff")[1][1:] == []
+    assert run("cost-gate", "--rate", "0.1", "--miss-cost", "10", "--budget", "5")[0] == 0
+    assert run("box-tightness", "--path", str(tmp_path / "masks"))[1][1][0] == "n3:0"
+    assert run("reviewer-audit")[0] == 0
+    assert all(r.link_ok and r.hash_ok for r in ledger.verify_chain(files.read_ledger(spark, str(tmp_path / "ledger.jsonl"))).collect())
+
+
+def test_numbered_names_meet_no_other_stem(spark):
+    from curaspark.operators import export
+
+    s = spark.createDataFrame([("h1", "/x/a.png"), ("h2", "/y/a.png"), ("h3", "/z/a_1.png")], "hash string, src_path string")
+    lines = spark.createDataFrame([("h1", 0, "0 1")], "hash string, pos int, line string")
+    names = [r.name for r in export.label_files(s, lines).collect()]
+    assert len(set(names)) == 3 and {"a", "a_1"} <= set(names)
+
+
+def test_ledger_lines_are_numbered_over_blocks(spark, tmp_path):
+    path = str(tmp_path / "l.jsonl")
+    ledger.append(spark, path, [{"event": "route", "vix_hash": f"h{i}", "decision": "pass", "extra": "x" * 300} for i in range(200)])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        rows = files.read_ledger(spark, path).orderBy("seq").collect()
+        assert [(r.seq, r.vix_hash) for r in rows] == [(i, f"h{i}") for i in range(200)]
+        assert all(r.link_ok and r.hash_ok for r in ledger.verify_chain(files.read_ledger(spark, path), run=7).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
