@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from . import runtime
 
+BROADCAST_BYTES = 16 << 20
+
 
 def block_pairs(rows: DataFrame, key: str, member: str, cap: int) -> DataFrame:
     """Deal bucket members to tasks that each hold two chunks of at most about ``cap`` members of one bucket.
@@ -17,7 +19,8 @@ def block_pairs(rows: DataFrame, key: str, member: str, cap: int) -> DataFrame:
     Returns key, blk_a <= blk_b, member, chunk.
     """
     counts = runtime.cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"))
-    joined = rows.join(counts, key)
+    # few buckets hold a pair: they are broadcast where their count shows them small, so that rows alone in theirs never move
+    joined = rows.join(F.broadcast(counts) if counts.count() * 32 <= BROADCAST_BYTES else counts, key)
     chunks = F.ceil(F.col("__n") / F.lit(cap)).cast("int")
     chunk = F.pmod(F.xxhash64(member, F.lit(7)), chunks).cast("int")
     dealt = joined.select(key, *[c for c in rows.columns if c != key], chunks.alias("__c"), chunk.alias("chunk"))

@@ -121,24 +121,48 @@ def bands_for(rows: int, similarity: float, recall: float) -> int:
 
 
 @functools.cache
-def _permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def _permutations(n: int, seed: int) -> list[tuple[np.uint32, np.uint32]]:
     rng = np.random.default_rng(seed)
-    return (rng.integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1))[:, None], rng.integers(0, 1 << 63, n, dtype=np.uint64)[:, None]
-
-
-def band_keys(grams: np.ndarray, bands: int, rows: int, seed: int = 11) -> np.ndarray:
-    """MinHash bands of a shingle set, as signed longs."""
-    a, b = _permutations(bands * rows, seed)
-    least = np.full(bands * rows, np.iinfo(np.uint64).max)
-    for k in range(0, len(grams), 4096):
-        g = _mix(grams[k : k + 4096].astype(np.uint64))
-        least = np.minimum(least, ((g[None, :] * a + b) >> np.uint64(1)).min(axis=1))
-    key = np.arange(bands, dtype=np.uint64)
-    for part in least.reshape(bands, rows).T:
-        key = _mix(key * BASE + part)
+    a, b = rng.integers(1, 1 << 32, n, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint32)
+    return list(zip(a, b, strict=True))
+
+
+def bands_of(grams: np.ndarray, starts: np.ndarray, bands: int, rows: int, seed: int = 11) -> np.ndarray:
+    """MinHash bands of many shingle sets at once, as a matrix of signed longs: sets lie in a row and begin at ``starts``.
+
+    Shingles may repeat inside a set, as a minimum doesn't see it.
+    """
+    key = np.repeat(np.arange(bands, dtype=np.uint64)[None, :], len(starts), axis=0)
+    for k, (a, b) in enumerate(_permutations(bands * rows, seed)):
+        least = np.minimum.reduceat(grams * a + b, starts)
+        key[:, k % bands] = _mix(key[:, k % bands] * BASE + least)
     return key.view(np.int64)
 
 
+def band_keys(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """MinHash bands of one shingle set."""
+    with np.errstate(over="ignore"):
+        return bands_of(grams.astype(np.uint32), np.zeros(1, np.int64), bands, rows)[0]
+
+
+def rolling_grams(h: np.ndarray, size: int) -> np.ndarray:
+    """32-bit hashes of the ``size`` words from every place on; the same as ``shingle_hashes`` before it sorts."""
+    s = np.zeros(max(0, len(h) - size + 1), np.uint64)
+    for k in range(size):
+        s = _mix(s * BASE + h[k : k + len(s)])
+    return (s >> np.uint64(32)).astype(np.uint32)
+
+
+def line_bands(h: np.ndarray, starts: np.ndarray, stops: np.ndarray, shingle: int, bands: int, rows: int) -> np.ndarray:
+    """Bands of the lines of a word stream, each of at least ``shingle`` words."""
+    if not len(starts):
+        return np.zeros((0, bands), np.int64)
+    n = stops - starts - shingle + 1
+    first = np.cumsum(n) - n
+    at = np.repeat(starts - first, n) + np.arange(int(n.sum()))
+    return bands_of(rolling_grams(h, shingle)[at], first, bands, rows)
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(uid, d, text) of every row."""
     d = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
@@ -152,7 +176,7 @@ def banded_from(similarity: float, shingle: int) -> int:
 
 
 def units(docs: DataFrame, id_col: str, text_col: str, min_words: int, similarity: float, shingle: int, bands: int, rows: int, cut: bool = True) -> DataFrame:
-    """Paragraphs of every row: (uid, d, is_line, start, n, key, chain, reach, bands, grams); lines only unless ``cut``.
+    """Paragraphs of every row: (uid, d, is_line, start, n, key, chain, reach, bands); lines only unless ``cut``.
 
     A short paragraph's chain is the hash of the ``reach`` words from its start to the first cut that is min_words or more
     after the next paragraph's start, or to the end: all sequences of min_words words that begin in the paragraph. Lines too
@@ -166,43 +190,100 @@ def units(docs: DataFrame, id_col: str, text_col: str, min_words: int, similarit
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
                 cols: list[list] = [[] for _ in range(8)]
-                band_out: list = []
-                gram_out: list = []
-                for uid, d, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
-                    with np.errstate(over="ignore"):
+                streams, at_word, line_from, line_to, places, base = [], 0, [], [], [], 0
+                with np.errstate(over="ignore"):
+                    for uid, d, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
                         h, ends = word_hashes(text.as_py())
                         if not len(h):
                             continue
+                        ends = np.array(ends, np.int64)
+                        first = np.concatenate([[0], ends[:-1]])
+                        first, ends = first[ends > first], ends[ends > first]
                         at = cuts(h)
                         starts, stops = at[:-1], at[1:]
                         good = (stops - starts >= 4) & cut
-                        starts, stops = starts[good], stops[good]
-                        lines = [(i, j) for i, j in zip([0, *ends], ends, strict=False) if j > i]
-                        is_line = np.zeros(len(starts) + len(lines), bool)
-                        is_line[len(starts) :] = True
-                        starts = np.concatenate([starts, [i for i, _ in lines]]).astype(np.int64)
-                        stops = np.concatenate([stops, [j for _, j in lines]]).astype(np.int64)
-                        keys = span_keys(h, starts, stops)
+                        starts, stops = np.concatenate([starts[good], first]), np.concatenate([stops[good], ends])
+                        is_line = np.arange(len(starts)) >= len(starts) - len(first)
                         last = at[np.minimum(np.searchsorted(at, stops + min_words), len(at) - 1)]
                         last[is_line] = stops[is_line]
-                        chains = span_keys(h, starts, last)
-                        band_out += [None] * (len(starts) - len(lines))
-                        gram_out += [None] * (len(starts) - len(lines))
-                        for i, j in lines:
-                            if j - i < least:
-                                band_out.append([])
-                                gram_out.append(None)
-                                continue
-                            g = shingle_hashes(h[i:j], shingle)
-                            band_out.append(band_keys(g, bands, rows))
-                            gram_out.append(g.astype("<u4").tobytes())
-                    for c, x in zip(cols, (np.full(len(starts), uid), np.full(len(starts), d), is_line, starts.astype(np.int32), (stops - starts).astype(np.int32), keys.view(np.int64), chains.view(np.int64), (last - starts).astype(np.int32)), strict=True):
-                        c.append(x)
-                if cols[0]:
-                    flat = [pa.array(np.concatenate(c)) for c in cols]
-                    yield pa.record_batch([*flat, pa.array(band_out, pa.list_(pa.int64())), pa.array(gram_out, pa.binary())], names=["uid", "d", "is_line", "start", "n", "key", "chain", "reach", "bands", "grams"])
+                        keys, chains = span_keys(h, np.concatenate([starts, starts]), np.concatenate([stops, last])).view(np.int64).reshape(2, -1)
+                        long = np.flatnonzero(ends - first >= least)
+                        streams.append(h)
+                        line_from.append(first[long] + at_word)
+                        line_to.append(ends[long] + at_word)
+                        places.append(long + base + len(starts) - len(first))
+                        at_word, base = at_word + len(h), base + len(starts)
+                        for c, x in zip(cols, (np.full(len(starts), uid), np.full(len(starts), d), is_line, starts.astype(np.int32), (stops - starts).astype(np.int32), keys, chains, (last - starts).astype(np.int32)), strict=True):
+                            c.append(x)
+                    if not cols[0]:
+                        continue
+                    # bands of all lines of the part at once
+                    found = line_bands(np.concatenate(streams), np.concatenate(line_from), np.concatenate(line_to), shingle, bands, rows)
+                size = np.zeros(base, np.int32)
+                size[np.concatenate(places)] = bands
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(found.reshape(-1)))
+                yield pa.record_batch([*(pa.array(np.concatenate(c)) for c in cols), lists], names=["uid", "d", "is_line", "start", "n", "key", "chain", "reach", "bands"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, "uid long, d long, is_line boolean, start int, n int, key long, chain long, reach int, bands array<long>")
+
+
+def line_shingles(docs: DataFrame, id_col: str, text_col: str, lines: DataFrame, met: DataFrame, shingle: int) -> DataFrame:
+    """(key, grams): the shingles of the lines (uid, start, n, key) whose key is among ``met``, made again from their texts.
+
+    Few keys, by a count of their bytes, go to every task, which finds their lines in its texts; more meet one row of
+    theirs each by a join on the row.
+    """
+    spark = docs.sparkSession
+    runtime.ship(spark)
+    texts = _texts(docs, id_col, text_col)
+    names = ["key", "grams"]
+
+    def batch(out: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(list(out), pa.int64()), pa.array([g.astype("<u4").tobytes() for g in out.values()], pa.binary())], names=names)
+
+    if met.count() * 16 <= BROADCAST_BYTES:
+        shared = spark.sparkContext.broadcast(np.sort(met.toPandas()["key"].to_numpy(np.int64)))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wanted, done = shared.value, set()
+            for b in batches:
+                out: dict[int, np.ndarray] = {}
+                for text in b.column(2):
+                    if not len(wanted):
+                        continue
+                    with np.errstate(over="ignore"):
+                        h, ends = word_hashes(text.as_py())
+                        ends = np.array(ends, np.int64)
+                        first = np.concatenate([[0], ends[:-1]])
+                        long = ends - first >= shingle
+                        first, ends = first[long], ends[long]
+                        if not len(first):
+                            continue
+                        keys = span_keys(h, first, ends).view(np.int64)
+                        hit = wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys
+                        for key, i, j in zip(keys[hit].tolist(), first[hit].tolist(), ends[hit].tolist(), strict=True):
+                            if key not in done:
+                                done.add(key)
+                                out[key] = shingle_hashes(h[i:j], shingle)
+                if out:
+                    yield batch(out)
+
+        return texts.mapInArrow(scan, "key long, grams binary").dropDuplicates(["key"])
+
+    one = lines.join(met, "key", "left_semi").dropDuplicates(["key"])
+    held = one.groupBy("uid").agg(F.collect_list(F.struct("start", "n", "key")).alias("lines"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: dict[int, np.ndarray] = {}
+            for text, mine in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                with np.errstate(over="ignore"):
+                    h, _ = word_hashes(text.as_py())
+                    out.update((x["key"], shingle_hashes(h[x["start"] : x["start"] + x["n"]], shingle)) for x in mine)
+            if out:
+                yield batch(out)
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "uid long, d long, is_line boolean, start int, n int, key long, chain long, reach int, bands array<long>, grams binary")
+    return texts.dropDuplicates(["uid"]).join(held, "uid").select("text", "lines").mapInArrow(read, "key long, grams binary").dropDuplicates(["key"])
 
 
 def open_windows(h: np.ndarray, starts: np.ndarray, stops: np.ndarray, known: np.ndarray, size: int) -> np.ndarray:
@@ -343,30 +424,33 @@ def _line_edges(similarity: float):
     return run
 
 
-def _classed(lines: DataFrame, similarity: float, cap: int) -> DataFrame:
-    """(uid, d, start, n, component_id) of paragraphs (uid, d, start, n, key, bands, grams)."""
-    spark = lines.sparkSession
-    banded = lines.select("key", F.explode("bands").alias("band")).distinct()
+def _classed(docs: DataFrame, id_col: str, text_col: str, lines: DataFrame, spans: DataFrame | None, similarity: float, shingle: int, cap: int) -> DataFrame:
+    """(uid, d, start, n, component_id) of lines (uid, d, start, n, key, bands) and spans (the same, with grams)."""
+    spark = docs.sparkSession
+    cols = ["uid", "d", "start", "n", "key"]
+    every = lines.select(*cols, "bands") if spans is None else lines.select(*cols, "bands").unionByName(spans.select(*cols, "bands"))
+    banded = every.where(F.size("bands") > 0).select("key", "bands").dropDuplicates(["key"]).select("key", F.explode("bands").alias("band"))
     dealt = runtime.staged(buckets.block_pairs(banded, "band", "key", cap), "line-buckets")
     met = runtime.staged(dealt.select("key").distinct(), "lines-met")
-    # few lines meet another: their keys are broadcast where a count shows them small, else shingles are shuffled to them
-    few = met.count() * 16 <= BROADCAST_BYTES
-    payload = runtime.staged(lines.where("grams is not null").select("key", "grams").join(F.broadcast(met) if few else met, "key", "left_semi").dropDuplicates(["key"]), "line-shingles")
+    grams = line_shingles(docs, id_col, text_col, lines, met, shingle)
+    if spans is not None:
+        grams = grams.unionByName(spans.select("key", "grams").join(met, "key", "left_semi")).dropDuplicates(["key"])
+    payload = runtime.staged(grams, "line-shingles")
     sets = dealt.join(payload, "key").select("band", "blk_a", "blk_b", "key", "grams")
     n = runtime.partitions(spark)
     edges = sets.repartition(n, "band", "blk_a", "blk_b").sortWithinPartitions("band", "blk_a", "blk_b").mapInArrow(_line_edges(similarity), "a long, b long")
     comp = runtime.cut(buckets.components(edges).where("node != component").select(F.col("node").alias("key"), "component"))
-    return lines.select("uid", "d", "start", "n", "key").join(comp, "key", "left").select("uid", "d", "start", "n", F.coalesce("component", "key").alias("component_id"))
+    return every.select(*cols).join(comp, "key", "left").select("uid", "d", "start", "n", F.coalesce("component", "key").alias("component_id"))
 
 
-def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, recall: float = 0.995, shingle: int = 5, rows: int = 4, cap: int = 1024) -> DataFrame:
+def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, recall: float = 0.99, shingle: int = 5, rows: int = 3, cap: int = 1024) -> DataFrame:
     """doc_id, first_word, n_words, component_id of every line with a word: lines of one class are linked by similarity."""
     found = runtime.staged(units(docs, id_col, text_col, 1, similarity, shingle, bands_for(rows, similarity, recall), rows, cut=False), "lines")
-    return _classed(found, similarity, cap).select(F.expr(f"nullif(d, {NO_ID}L)").alias("doc_id"), F.col("start").alias("first_word"), F.col("n").alias("n_words"), "component_id")
+    return _classed(docs, id_col, text_col, found, None, similarity, shingle, cap).select(F.expr(f"nullif(d, {NO_ID}L)").alias("doc_id"), F.col("start").alias("first_word"), F.col("n").alias("n_words"), "component_id")
 
 
 def repeated(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, recall: float = 0.995, min_words: int = 51, shingle: int = 5, rows: int = 4, cap: int = 1024
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, recall: float = 0.99, min_words: int = 51, shingle: int = 5, rows: int = 3, cap: int = 1024
 ) -> DataFrame:
     """One row for each paragraph that repeats across documents inside a passage of at least ``min_words`` words.
 
@@ -390,8 +474,7 @@ def repeated(
     shared = opened.join(runtime.staged(_across(opened, "key").select("key"), "windows-shared"), "key").select("uid", F.col("start").alias("first"), (F.col("start") + min_words).alias("end"))
     shared = shared.unionByName(near.where(F.col("known") & (F.col("reach") >= min_words)).select("uid", F.col("start").alias("first"), (F.col("start") + F.col("reach")).alias("end")))
 
-    lines = found.where("is_line").select(*spans.columns).unionByName(spans)
-    classed = runtime.staged(_classed(lines, similarity, cap), "lines-classed")
+    classed = runtime.staged(_classed(docs, id_col, text_col, found.where("is_line"), spans, similarity, shingle, cap), "lines-classed")
     spans = runtime.cut(classed.groupBy("component_id").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("component_id", "lo"))
     longs = classed.join(spans, "component_id").select("uid", "d", "start", "n", "component_id", "lo")
 
