@@ -70,16 +70,25 @@ def word_hashes(text: bytes | None) -> tuple[np.ndarray, list[int]]:
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)), ends
 
 
-def cuts(h: np.ndarray, reach: int = 4) -> np.ndarray:
-    """Where short paragraphs begin: the pair of words there hashes below all pairs within ``reach`` on either side."""
+def cuts(h: np.ndarray, reach: int = 4, most: int = 24) -> np.ndarray:
+    """Where short paragraphs begin: the pair of words there hashes below all pairs within ``reach`` on either side.
+
+    A stretch of over ``most`` words without such a place, as one word said over and over is, is cut every ``most`` / 2 words.
+    """
     if len(h) < 2 * reach + 2:
-        return np.array([0, len(h)])
-    g = _mix(h[:-1] * BASE + h[1:])
-    keep = np.ones(len(g) - 2 * reach, bool)
-    mid = g[reach : len(g) - reach]
-    for k in range(1, reach + 1):
-        keep &= (mid < g[reach - k : len(g) - reach - k]) & (mid < g[reach + k : len(g) - reach + k])
-    return np.concatenate([[0], np.flatnonzero(keep) + reach, [len(h)]])
+        own = np.zeros(0, np.int64)
+    else:
+        g = _mix(h[:-1] * BASE + h[1:])
+        keep = np.ones(len(g) - 2 * reach, bool)
+        mid = g[reach : len(g) - reach]
+        for k in range(1, reach + 1):
+            keep &= (mid < g[reach - k : len(g) - reach - k]) & (mid < g[reach + k : len(g) - reach + k])
+        own = np.flatnonzero(keep) + reach
+    at = np.concatenate([[0], own, [len(h)]])
+    long = np.flatnonzero(np.diff(at) > most)
+    if not most or not len(long):
+        return at
+    return np.unique(np.concatenate([at, *(np.arange(at[i], at[i + 1], most // 2) for i in long.tolist())]))
 
 
 _powers: list[np.ndarray] = []
@@ -286,13 +295,14 @@ def line_shingles(docs: DataFrame, id_col: str, text_col: str, lines: DataFrame,
     return texts.dropDuplicates(["uid"]).join(held, "uid").select("text", "lines").mapInArrow(read, "key long, grams binary").dropDuplicates(["key"])
 
 
-def open_windows(h: np.ndarray, starts: np.ndarray, stops: np.ndarray, known: np.ndarray, size: int) -> np.ndarray:
-    """Where sequences of ``size`` words around repeated paragraphs begin, without those inside a chain known to repeat.
+def open_windows(h: np.ndarray, starts: np.ndarray, stops: np.ndarray, told: np.ndarray, size: int) -> np.ndarray:
+    """Where sequences of ``size`` words around repeated paragraphs begin, without those inside a chain that another row tells.
 
     A text shared with another document can reach beyond its whole paragraphs into the next one on either side, and past that
-    one's cut by as many words as a cut looks at: four before it, six after.
+    one's cut by as many words as a cut looks at: four before it, six after. Cuts are those that words choose, as the others
+    may lie elsewhere in the other document.
     """
-    at = cuts(h)
+    at = cuts(h, most=0)
     lo = at[np.maximum(np.searchsorted(at, starts) - 1, 0)] - 4
     hi = at[np.minimum(np.searchsorted(at, stops, "right"), len(at) - 1)] + 6
     inside = np.zeros(len(h) + 1, np.int64)
@@ -302,7 +312,7 @@ def open_windows(h: np.ndarray, starts: np.ndarray, stops: np.ndarray, known: np
     # a window's words are all inside: as many as its size since it began
     full = np.concatenate([[0], np.cumsum(inside[:-1])])
     ok = full[size:] - full[:-size] == size
-    for i, j in zip(starts[known].tolist(), stops[known].tolist(), strict=True):
+    for i, j in zip(starts[told].tolist(), stops[told].tolist(), strict=True):
         ok[i : j + 1] = False
     return np.flatnonzero(ok)
 
@@ -340,9 +350,9 @@ def windows(texts: DataFrame, size: int, shingle: int, bands: int, rows: int, ga
                         h, _ = word_hashes(text.as_py())
                         if len(h) < size:
                             continue
-                        starts, n, known = (near.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                        starts, n, told = (near.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
                         starts, stops = starts.astype(np.int64), (starts + n).astype(np.int64)
-                        at = open_windows(h, starts, stops, known.astype(bool), size)
+                        at = open_windows(h, starts, stops, told.astype(bool), size)
                         spans = joined_spans(starts, stops, gap, size)
                         first = np.concatenate([at, [i for i, _ in spans]]).astype(np.int64)
                         end = np.concatenate([at + size, [j for _, j in spans]]).astype(np.int64)
@@ -465,10 +475,12 @@ def repeated(
     near = runtime.staged(short.join(classes, "key").withColumnRenamed("key", "component_id"), "shorts")
     shorts = near.select("uid", "d", "start", "n", "component_id", "lo")
 
-    # sequences of min_words words around repeated paragraphs: in chains that repeat as they are, the others one by one
-    chains = runtime.staged(_across(near, "chain").select("chain", F.lit(True).alias("known")), "chains")
-    near = runtime.staged(near.join(chains, "chain", "left").select("uid", "start", "n", "reach", F.coalesce("known", F.lit(False)).alias("known")), "shorts-chained")
-    held = near.groupBy("uid").agg(F.collect_set(F.struct("start", "n", "known")).alias("near")).where(F.exists("near", lambda x: ~x["known"]))
+    # sequences of min_words words around repeated paragraphs: a chain that repeats as it is tells of all of its own, and its
+    # least document alone opens them, for texts that share less than the chain; all others are opened one by one
+    chains = runtime.staged(_across(near, "chain").withColumnRenamed("lo", "teller"), "chains")
+    near = near.join(chains, "chain", "left").select("uid", "start", "n", "reach", F.col("teller").isNotNull().alias("known"), F.coalesce(F.col("teller") != F.col("d"), F.lit(False)).alias("told"))
+    near = runtime.staged(near, "shorts-chained")
+    held = near.groupBy("uid").agg(F.collect_set(F.struct("start", "n", "told")).alias("near")).where(F.exists("near", lambda x: ~x["told"]))
     opened = runtime.staged(windows(_texts(docs, id_col, text_col).join(held, "uid").select("uid", "d", "text", "near"), min_words, shingle, bands, rows), "windows")
     spans, opened = opened.where("bands is not null"), opened.where("bands is null")
     shared = opened.join(runtime.staged(_across(opened, "key").select("key"), "windows-shared"), "key").select("uid", F.col("start").alias("first"), (F.col("start") + min_words).alias("end"))

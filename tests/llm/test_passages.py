@@ -223,3 +223,25 @@ def test_shingles_by_join_and_by_broadcast_agree(spark, monkeypatch):
         monkeypatch.setattr(passages, "BROADCAST_BYTES", limit)
         got.append(sorted((r.key, bytes(r.grams)) for r in passages.line_shingles(df, "doc_id", "text", lines, met, 5).collect()))
     assert got[0] == got[1] and len(got[0]) == met.count()
+
+
+def test_every_document_that_shares_a_run_of_words(spark):
+    """Against brute force over all runs of 51 words: passages shared with a pair of copies, runs of one word, runs that begin anywhere."""
+    rng = np.random.default_rng(10)
+    vocabulary = np.array([f"w{k}" for k in range(20_000)])
+    some = lambda n: list(rng.choice(vocabulary, n))
+    texts = []
+    for p in range(60):
+        w = some(300)
+        texts += [w, list(w), [*some(40), *w[100 : 100 + 51 + p % 9], *some(30)]]  # two copies, and one that shares a part
+    for p in range(20):
+        texts.append([*some(20), *["the"] * int(rng.integers(52, 200)), *some(20)])
+        texts.append([*some(20), *["a", "b", "c"] * int(rng.integers(30, 60)), *some(20)])
+    texts += [some(120) for _ in range(60)]
+    runs = {}
+    for d, w in enumerate(texts):
+        for i in range(len(w) - 50):
+            runs.setdefault(tuple(w[i : i + 51]), set()).add(d)
+    want = {d for ds in runs.values() if len(ds) > 1 for d in ds}
+    got = {r.doc_id for r in passages.repeated(spark.createDataFrame([(d, " ".join(w), "", 0) for d, w in enumerate(texts)], SCHEMA)).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want)
