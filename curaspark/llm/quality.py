@@ -178,6 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
     """A machine fitted on at most ``bound`` labelled rows outside the held-out fold."""
     runtime.ship(docs.sparkSession)
     rows = labelled.sample(docs.select("doc_id", *_inputs(docs, text_col, length_col)), labels, label, folds, held_out, bound, ["__text", "__declared"])
+    rows = rows.repartition(runtime.partitions(docs.sparkSession))  # whole texts become features in as many tasks as there are
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
             packed = [pa.array([i.astype("<i4").tobytes() for i, _ in found], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in found], pa.binary())]
             yield pa.record_batch([b.column(0), *packed], names=["y", "idx", "val"])
 
-    got = rows.mapInArrow(run, "y int, idx binary, val binary").collect()
+    got = sorted(rows.mapInArrow(run, "y int, idx binary, val binary").collect(), key=lambda r: (bytes(r.idx), bytes(r.val), r.y))  # an order of their own
     unpacked = sorted(((r.y, bytes(r.idx), bytes(r.val)) for r in got), key=lambda r: (zlib.crc32(r[1]), r))
     return train([(y, np.frombuffer(i, "<i4").astype(np.int64), np.frombuffer(x, "<f4").astype(float)) for y, i, x in unpacked], **how)
 

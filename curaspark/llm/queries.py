@@ -57,6 +57,12 @@ def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts under the pieces of the box's sentencepiece file, read as a unigram table.
+
+    No public unigram vocabulary is on the box and tokenizers are never trained, so scores are the ones of that file, which
+    rank merges rather than being log probabilities, and its control pieces match like any other, as they do in the library
+    that the counts are tested against. With a true unigram file as ``vocabulary`` nothing else changes.
+    """
     import public_tokenizers
 
     return tokencount.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -86,11 +92,10 @@ ORACLES: dict[str, str] = {
             from embeddings
             where vec_id is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0
         ), scored as (
-            select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
-            from e q join e c on c.vec_id <> q.vec_id
-            where q.vec_id % 50 = 0
+            select q.vec_id as query_id, q.v, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+            from (select distinct vec_id, v from e where vec_id % 50 = 0) q join e c on c.vec_id <> q.vec_id
         ), ranked as (
-            select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from scored
+            select query_id, cast(row_number() over (partition by query_id, v order by score desc, vec_id) as integer) as rank, vec_id, score from scored
         )
         select query_id, rank, vec_id, score from ranked where rank <= 5
     """,

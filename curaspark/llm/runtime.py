@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,15 +23,8 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (local tests)."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    current = sc._jsc.sc().getCheckpointDir()
-    if not base:
-        base = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="curaspark-")
-    if not current.isDefined():
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir."""
+    return package.checkpoint_dir(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -45,22 +37,43 @@ def _own(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/curaspark-{spark.sparkContext.applicationId}"
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete this application's staged tables; frames that read them are of no use afterwards."""
+_made: list[str] = []
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
     jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path = jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Delete this application's staged tables; frames that read them are of no use afterwards."""
+    _delete(spark, _own(spark))
+    _made.clear()
+
+
+def staged_last(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Stage the outcome of a step and delete all tables staged on the way to it, its own input among them.
+
+    What remains is the outcome alone, as files, so nothing that is left needs them.
+    """
+    out = staged(df, name)
+    for folder in _made[:-1]:
+        _delete(spark, folder)
+    del _made[:-1]
+    return out
+
+
 def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write a table to the shared folder and read it back: what follows never recomputes it, whichever executors are lost.
 
-    Staged tables stay until ``sweep``, as the frames returned read them.
+    Staged tables stay until ``staged_last`` or ``sweep``, as the frames returned read them.
     """
     spark = df.sparkSession
     path = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.options(**options).parquet(path)
+    _made.append(path)
     return spark.read.schema(schema).parquet(path)
 
 

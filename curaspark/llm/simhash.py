@@ -202,9 +202,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     A row without an id can't be named by the result: such rows stay, one for each distinct text.
     """
     found = runtime.staged(near_duplicates(docs, id_col, text_col, **how), "near-duplicates")
-    best = runtime.cut(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("doc_id").alias("__kept"), "n"))
+    best = runtime.cut(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
     ids = docs[id_col].cast("long")
-    one = docs.join(best.where("n = 1"), ids == F.col("__kept"), "left_semi")
-    many = docs.join(best.where("n > 1"), ids == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    single, several = best.where("n = 1"), best.where("n > 1")  # columns by frame, as the documents' may have any name
+    one = docs.join(single, ids == single["doc_id"], "left_semi")
+    many = docs.join(several, ids == several["doc_id"], "left_semi").dropDuplicates([id_col])
     unknown = docs.where(F.col(id_col).isNull()).dropDuplicates([text_col])
     return one.unionByName(many).unionByName(unknown)

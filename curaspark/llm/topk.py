@@ -112,7 +112,7 @@ def search(
 
     def clean(df: DataFrame) -> DataFrame:
         v = F.col(vector_col)
-        return df.where(F.col(id_col).isNotNull() & usable(v)).select(F.col(id_col).cast("long").alias("id"), v.cast("array<long>").alias("v")).dropDuplicates(["id", "v"])
+        return df.where(F.col(id_col).isNotNull() & usable(v)).select(F.col(id_col).cast("long").alias("id"), v.cast("array<long>").alias("v"))
 
     def pack(tag: int, most: int):
         """Rows (id, v, key), rows of a key together, as blocks of at most ``most`` rows of one key."""
@@ -145,7 +145,7 @@ def search(
         return run
 
     schema = "tag int, key int, wide int, item int, ids binary, rows binary"
-    rows_c, rows_q = clean(candidates), clean(queries)
+    rows_c, rows_q = clean(candidates), clean(queries).dropDuplicates(["id", "v"])
     n, nq = rows_c.count(), rows_q.count()
     salts, groups = max(1, -(-n // block)), max(1, -(-nq // query_block))
     # queries form ``groups`` sets of about query_block rows, candidates ``salts`` sets of blocks; every pair of sets is one

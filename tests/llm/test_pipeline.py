@@ -86,3 +86,41 @@ def test_run_gives_the_same(steps, spark):
     rows, _ = steps
     got = sorted(map(tuple, corpus_pipeline.run(spark, SF).collect()))
     assert got == sorted(tuple(r.values()) for r in rows[5])
+
+
+CLASH = ["h", "key", "size", "source_size", "target", "rate", "copies", "doc", "n", "y", "fp", "component_id", "__kept", "uid", "d", "shard", "start", "score"]
+
+
+def test_stages_with_nulls_repeats_and_clashing_columns(spark):
+    """Every stage keeps extra columns whatever their names; null and repeated rows pass by the rules of its operator."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    none = spark.createDataFrame([(None, None, None, None, None), (900, None, "en", None, 0), (901, "", None, "s", None)], docs.schema)
+    docs = docs.unionByName(none).unionByName(docs.where("doc_id < 4"))
+    for name in CLASH:
+        docs = docs.withColumn(name, F.lit(f"own {name}"))
+    ids = {r.doc_id for r in docs.collect()}
+    at = docs
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, at, SF).cache()
+        rows = out.collect()
+        assert {r.doc_id for r in rows} <= ids, name
+        if k + 1 < len(corpus_pipeline.STAGES):
+            assert out.columns == docs.columns, name
+            assert all(r[c] == f"own {c}" for r in rows for c in CLASH), name
+        if name.startswith("SimHash"):
+            assert len(rows) == len({r.doc_id for r in rows})
+        at = out
+    assert sum(r.n_tokens for r in rows) > 0
+
+
+def test_empty_documents_pass_every_stage(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    at = docs.limit(0)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, at, SF)
+        assert out.collect() == [], name
+        if k + 1 < len(corpus_pipeline.STAGES):
+            assert out.columns == docs.columns
+            at = spark.createDataFrame([], out.schema)
