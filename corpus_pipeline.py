@@ -56,5 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder of tables."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = runtime.staged(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        docs = runtime.staged_last(spark, stage(spark, docs, sf_dir), f"pipeline-{k}")
     return docs

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import runtime
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the cluster's checkpoint folder (one of our own only where none is set)."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="curaspark-"))
+    """Cut the lineage in the cluster's checkpoint folder."""
+    runtime.checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -11,6 +11,22 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode alone, where it is unset, one of our own."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    current = sc._jsc.sc().getCheckpointDir()
+    if not base and current.isDefined():
+        base = current.get()
+    if not base:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="curaspark-")
+    if not current.isDefined():
+        sc.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors, once per application."""
     sc = spark.sparkContext
