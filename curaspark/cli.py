@@ -101,7 +101,7 @@ def _routed(w: Workspace, a) -> DataFrame:
 
 def _resolve(w: Workspace, a) -> DataFrame:
     decided = w.ids(a.id).withColumn("decision", F.lit(a.decision or ""))
-    return w.tag(review.resolve(w.samples, decided), event="review", vix_hash=a.id, decision=a.decision or "confirmed", reviewer_id=a.reviewer)
+    return w.tag(review.resolve(w.samples, decided), event="review", image_hash=a.id, decision=a.decision or "confirmed", reviewer_id=a.reviewer)
 
 
 def _sync(w: Workspace, a) -> DataFrame:
@@ -110,7 +110,7 @@ def _sync(w: Workspace, a) -> DataFrame:
 
 
 def _dismiss(op: str):
-    return lambda w, a: w.tag(review.dismiss(w.ids(a.id), op=op), event="dismiss" if op == "remove" else "restore_dismissed", vix_hash=a.id)
+    return lambda w, a: w.tag(review.dismiss(w.ids(a.id), op=op), event="dismiss" if op == "remove" else "restore_dismissed", image_hash=a.id)
 
 
 def _relabel(w: Workspace, a) -> DataFrame:
@@ -134,7 +134,7 @@ def _preview(w: Workspace, a) -> DataFrame:
 
 
 def _snapshot(w: Workspace, a) -> DataFrame:
-    s = graph.cut(review.composition(w.samples.select(F.col("hash").alias("vix_hash"), "tags"), ledger.latest_reasons(w.ledger)))
+    s = graph.cut(review.composition(w.samples.select(F.col("hash").alias("image_hash"), "tags"), ledger.latest_reasons(w.ledger)))
     s.write.mode("overwrite").parquet(w.path(f"snapshots/{a.id}"))
     digest = review.content_hash(s.where("included")).first().hash
     w.log("snapshot", decision=a.id, extra={"content_hash": digest})
@@ -142,9 +142,9 @@ def _snapshot(w: Workspace, a) -> DataFrame:
 
 
 def _restore(w: Workspace, a) -> DataFrame:
-    now = export.exportable(w.samples).select(F.col("hash").alias("vix_hash"))
+    now = export.exportable(w.samples).select(F.col("hash").alias("image_hash"))
     todo = graph.cut(review.restore(now, w.spark.read.parquet(w.path(f"snapshots/{a.id}"))))
-    event = todo.select(F.col("vix_hash").alias("hash"), F.lit("golden").alias("tag"), F.when(F.col("action") == "add", "add").otherwise("remove").alias("op"), F.lit(0).cast("long").alias("seq"))
+    event = todo.select(F.col("image_hash").alias("hash"), F.lit("golden").alias("tag"), F.when(F.col("action") == "add", "add").otherwise("remove").alias("op"), F.lit(0).cast("long").alias("seq"))
     w.tag(event, event="snapshot_restore", decision=a.id)
     return todo
 
@@ -256,7 +256,7 @@ def _bank_audit(w: Workspace, a) -> DataFrame:
 
 def _hit_rate(w: Workspace, a) -> DataFrame:
     emitted = w.ledger.where("event = 'queue_emit'").select(F.get_json_object("extra", "$.queue").alias("queue"), F.get_json_object("extra", "$.predict").alias("predict"), "seq", F.explode(F.from_json(F.get_json_object("extra", "$.ids"), "array<string>")).alias("id"))
-    done = review.normalise(w.ledger.where("event = 'review'").select(F.col("vix_hash").alias("id"), "decision", "seq"))
+    done = review.normalise(w.ledger.where("event = 'review'").select(F.col("image_hash").alias("id"), "decision", "seq"))
     return ledger.hit_rate(emitted, done.select("id", "outcome", "seq"))
 
 
@@ -285,7 +285,7 @@ def _routing_diff(w: Workspace, a) -> DataFrame:
 
 
 def _reviewers(w: Workspace, a) -> DataFrame:
-    d = w.ledger.where("event = 'review'").select("reviewer_id", F.col("vix_hash").alias("id"), "decision")
+    d = w.ledger.where("event = 'review'").select("reviewer_id", F.col("image_hash").alias("id"), "decision")
     dets = w.samples.select("hash", F.posexplode("dets").alias("pos", "d")).select("hash", "pos", "d.label", "d.confidence", "d.embedding")
     return ledger.reviewer_consistency(d, vectors.image_items(dets))
 
@@ -298,7 +298,7 @@ def _tightness(w: Workspace, a) -> DataFrame:
 def _embed(w: Workspace, a) -> DataFrame:
     out = files.pixel_embedding(files.scan_images(w.spark, a.folder, content=True))
     out.write.mode("overwrite").parquet(w.path("embeddings"))
-    return w.spark.read.parquet(w.path("embeddings")).select("src_path", "vix_hash", F.size("embedding").alias("width"))
+    return w.spark.read.parquet(w.path("embeddings")).select("src_path", "image_hash", F.size("embedding").alias("width"))
 
 
 def _ledger_verb(f: Callable[[DataFrame], DataFrame]) -> Callable:

@@ -1,4 +1,4 @@
-"""Analytics over the audit ledger: (seq, ts, event, vix_hash, batch_id, reviewer_id, decision, ...)."""
+"""Analytics over the audit ledger: (seq, ts, event, image_hash, batch_id, reviewer_id, decision, ...)."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import runtime
+from ..sources import files
 from . import vectors
 
 #: Command-line names of events.
@@ -24,7 +25,7 @@ def query(ledger: DataFrame, event: str | None = None, reviewer: str | None = No
     if reviewer:
         out = out.where(F.col("reviewer_id") == reviewer)
     if image:
-        out = out.where(F.col("vix_hash") == image)
+        out = out.where(F.col("image_hash") == image)
     stamp = "ts_utc" if "ts_utc" in ledger.columns else "ts"
     if since:
         out = out.where(F.col(stamp) >= F.lit(since))
@@ -50,9 +51,9 @@ def reasons_breakdown(routes: DataFrame) -> DataFrame:
 
 def throughput(ledger: DataFrame) -> DataFrame:
     """One row: resolved, open, median_hours, p90_hours between an image's first route to review and its last review."""
-    routed = ledger.where("event = 'route' and decision = 'review'").groupBy("vix_hash").agg(F.min_by("ts", "seq").alias("t0"))
-    done = ledger.where("event = 'review'").groupBy("vix_hash").agg(F.max_by("ts", "seq").alias("t1"))
-    j = routed.join(done, "vix_hash", "left").withColumn("hours", (F.unix_micros(F.col("t1").cast("timestamp")) - F.unix_micros(F.col("t0").cast("timestamp"))) / F.lit(3.6e9))
+    routed = ledger.where("event = 'route' and decision = 'review'").groupBy("image_hash").agg(F.min_by("ts", "seq").alias("t0"))
+    done = ledger.where("event = 'review'").groupBy("image_hash").agg(F.max_by("ts", "seq").alias("t1"))
+    j = routed.join(done, "image_hash", "left").withColumn("hours", (F.unix_micros(F.col("t1").cast("timestamp")) - F.unix_micros(F.col("t0").cast("timestamp"))) / F.lit(3.6e9))
     ok = F.col("hours") >= 0
     return j.agg(F.count_if(ok).alias("resolved"), F.count_if(F.col("t1").isNull()).alias("open"), F.expr("percentile(hours, 0.5) filter (where hours >= 0)").alias("median_hours"), F.expr("percentile(hours, 0.9) filter (where hours >= 0)").alias("p90_hours"))
 
@@ -69,9 +70,9 @@ def review_rate(ledger: DataFrame) -> DataFrame:
 
 
 def latest_reasons(ledger: DataFrame) -> DataFrame:
-    """vix_hash, reasons of the last route record; the decision stands in for empty reasons."""
-    last = ledger.where("event = 'route'").groupBy("vix_hash").agg(F.max_by(F.struct("reasons", "decision"), "seq").alias("x"))
-    return last.select("vix_hash", F.when(F.size("x.reasons") > 0, F.col("x.reasons")).otherwise(F.array("x.decision")).alias("reasons"))
+    """image_hash, reasons of the last route record; the decision stands in for empty reasons."""
+    last = ledger.where("event = 'route'").groupBy("image_hash").agg(F.max_by(F.struct("reasons", "decision"), "seq").alias("x"))
+    return last.select("image_hash", F.when(F.size("x.reasons") > 0, F.col("x.reasons")).otherwise(F.array("x.decision")).alias("reasons"))
 
 
 def hit_rate(emissions: DataFrame, resolutions: DataFrame, min_resolved: int = 5) -> DataFrame:
@@ -159,7 +160,7 @@ def batch_trend(gates: DataFrame, compat: bool = True) -> DataFrame:
 
 def resolved_ids(ledger: DataFrame, dismissed: DataFrame | None = None) -> DataFrame:
     """Images that a review or a dismissal (id) has settled."""
-    out = ledger.where("event = 'review' and vix_hash is not null").select(F.col("vix_hash").alias("id"))
+    out = ledger.where("event = 'review' and image_hash is not null").select(F.col("image_hash").alias("id"))
     return (out if dismissed is None else out.unionByName(dismissed.select("id"))).distinct()
 
 
@@ -222,7 +223,7 @@ def append(spark, path: str, records: list[dict]) -> int:
             if text and not text.endswith("\n"):
                 f.write("\n")  # heal a torn tail
             for r in records:
-                r = dict(r, prev_hash=last)
+                r = {files.DISK_KEY if k == "image_hash" else k: v for k, v in r.items()} | {"prev_hash": last}
                 last = r["entry_hash"] = entry_hash(r)
                 f.write(canonical(r) + "\n")
             f.flush()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import files
+
 #: Spellings a review tool may send.
 REJECTS, CONFIRMS = ("false_alarm", "reject", "rejected"), ("", "confirm", "confirmed")
 
@@ -47,7 +49,7 @@ def dismiss(ids: DataFrame, tags: list[str] = ("review",), op: str = "remove", f
     return ids.select("hash", F.explode(F.array(*map(F.lit, tags))).alias("tag"), F.lit(op).alias("op"), (F.lit(first_seq) + F.monotonically_increasing_id()).alias("seq"))
 
 
-def worklists(samples: DataFrame, prefix: str = "vixq:") -> DataFrame:
+def worklists(samples: DataFrame, prefix: str = files.QUEUE_TAG) -> DataFrame:
     """name, n of the work lists that tags name."""
     t = samples.select(F.explode("tags").alias("tag")).where(F.startswith("tag", F.lit(prefix)))
     return t.groupBy(F.substring("tag", len(prefix) + 1, 1 << 20).alias("name")).agg(F.count(F.lit(1)).alias("n"))
@@ -79,12 +81,12 @@ def admit_batch(samples: DataFrame, batch: str, verdict: str, force: bool = Fals
 
 def composition(manifest: DataFrame, ledger_reasons: DataFrame | None = None) -> DataFrame:
     """included (by manifest tags, not live ones) and excluded samples with their latest reasons."""
-    out = manifest.select("vix_hash", F.arrays_overlap("tags", F.array(F.lit("golden"), F.lit("anchor"))).alias("included"), F.arrays_overlap("tags", F.array(F.lit("rejected"))).alias("rejected"))
-    out = out.select("vix_hash", (F.col("included") & ~F.col("rejected")).alias("included"))
-    return out if ledger_reasons is None else out.join(ledger_reasons, "vix_hash", "left")
+    out = manifest.select("image_hash", F.arrays_overlap("tags", F.array(F.lit("golden"), F.lit("anchor"))).alias("included"), F.arrays_overlap("tags", F.array(F.lit("rejected"))).alias("rejected"))
+    out = out.select("image_hash", (F.col("included") & ~F.col("rejected")).alias("included"))
+    return out if ledger_reasons is None else out.join(ledger_reasons, "image_hash", "left")
 
 
-def content_hash(rows: DataFrame, key: str = "vix_hash", digest: str | None = None) -> DataFrame:
+def content_hash(rows: DataFrame, key: str = "image_hash", digest: str | None = None) -> DataFrame:
     """One row, hash: digest of the sorted keys (and their digests), combined shard by shard."""
     x = F.col(key) if digest is None else F.concat_ws("=", key, digest)
     r = rows.select(x.alias("x"), F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 2).alias("b"))
@@ -93,12 +95,12 @@ def content_hash(rows: DataFrame, key: str = "vix_hash", digest: str | None = No
 
 
 def box_digests(boxes: DataFrame) -> DataFrame:
-    """vix_hash, digest of each image's boxes at four decimals."""
+    """image_hash, digest of each image's boxes at four decimals."""
     line = F.concat_ws(",", "label", *[F.floor(F.col(c) * 10000 + 0.5).cast("string") for c in ("cx", "cy", "w", "h")])
-    return boxes.groupBy("vix_hash").agg(F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(line))), 256).alias("digest"))
+    return boxes.groupBy("image_hash").agg(F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(line))), 256).alias("digest"))
 
 
 def restore(current: DataFrame, snapshot: DataFrame) -> DataFrame:
     """What to do to get back to a snapshot: hash, action (add, drop)."""
-    a, b = current.select("vix_hash"), snapshot.where("included").select("vix_hash")
+    a, b = current.select("image_hash"), snapshot.where("included").select("image_hash")
     return b.subtract(a).withColumn("action", F.lit("add")).unionByName(a.subtract(b).withColumn("action", F.lit("drop")))

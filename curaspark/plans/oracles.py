@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..sources.files import QUEUE_TAG
 from ..sources.tables import SQL
 
 ORACLES: dict[str, str] = {}
@@ -81,8 +82,8 @@ add("route_images", "select hash, case when len(reasons) > 0 then 'review' else
 add("flag_rate", """select n, n_review, round(n_review / n, 6) flag_rate, case when n_review / n > 0.8 then 'too_many' when n_review / n < 0.05 then 'too_few' end warning
     from (select count(*) n, count(*) filter (where len(reasons) > 0) n_review from rimg)""", ITEMS, THR, SCORED, ROUTED, RIMG)
 add("routing_diff", """select hash, was, now, case when was is null then 'added' when now is null then 'removed' else 'changed' end change from (
-    select coalesce(a.hash, b.hash) hash, a.d was, b.d now from (select vix_hash hash, max_by(decision, seq) d from r where seq <= h group by 1) a
-    full join (select vix_hash hash, max_by(decision, seq) d from r where seq > h group by 1) b on a.hash = b.hash) where was is null or now is null or was <> now""",
+    select coalesce(a.hash, b.hash) hash, a.d was, b.d now from (select image_hash hash, max_by(decision, seq) d from r where seq <= h group by 1) a
+    full join (select image_hash hash, max_by(decision, seq) d from r where seq > h group by 1) b on a.hash = b.hash) where was is null or now is null or was <> now""",
     views("ledger"), "r0 as (select * from ledger where event = 'route')", "r as (select *, (select floor(max(seq) / 2) from r0) h from r0)")
 add("explain_detections", """select id, label, round(confidence, 6) confidence, round(conf_thr, 6) conf_thr, round(confidence - conf_thr, 6) conf_margin, round(knn_dist, 6) knn_dist, round(dist_thr, 6) dist_thr,
     round(dist_thr - knn_dist, 6) dist_margin, coalesce(n_support, 0) n_support from routed""", ITEMS, THR, SCORED, ROUTED)
@@ -243,35 +244,34 @@ add("yolo_files", """select hash, case when nth = 0 then stem else concat(stem,
 
 # ledger
 LED = views("ledger")
-add("ledger_filter", "select seq, vix_hash, decision from ledger where event = 'review' and reviewer_id = 'r1'", LED)
-add("image_history", "select seq, event, decision from ledger where vix_hash = 'u7'", LED)
+add("ledger_filter", "select seq, image_hash, decision from ledger where event = 'review' and reviewer_id = 'r1'", LED)
+add("image_history", "select seq, event, decision from ledger where image_hash = 'u7'", LED)
 add("fp_rate", "select count(*) reviews, count(*) filter (where decision = 'false_alarm') false_alarms, round(count(*) filter (where decision = 'false_alarm') / count(*), 4) fp_rate from ledger where event = 'review'", LED)
 add("reasons_breakdown", """select reason, count(*) n from (select unnest(list_filter([case when seq % 2 = 0 then 'low_conf' end, case when seq % 3 = 0 then 'far_from_known' end, case when seq % 5 = 0 then 'low_support' end], lambda x: x is not null)) reason
     from ledger where event = 'route') group by reason""", LED)
 add("throughput", """select count(*) filter (where h >= 0) resolved, count(*) filter (where t1 is null) as "open", round(quantile_cont(h, 0.5) filter (where h >= 0), 6) median_hours, round(quantile_cont(h, 0.9) filter (where h >= 0), 6) p90_hours from (
-    select t1, (epoch_us(t1) - epoch_us(t0)) / 3.6e9 h from (select vix_hash, min_by(ts, seq) t0 from ledger where event = 'route' and decision = 'review' group by 1) a left join (select vix_hash, max_by(ts, seq) t1 from ledger where event = 'review' group by 1) b on a.vix_hash = b.vix_hash)""", LED)
+    select t1, (epoch_us(t1) - epoch_us(t0)) / 3.6e9 h from (select image_hash, min_by(ts, seq) t0 from ledger where event = 'route' and decision = 'review' group by 1) a left join (select image_hash, max_by(ts, seq) t1 from ledger where event = 'review' group by 1) b on a.image_hash = b.image_hash)""", LED)
 add("review_rate", "select batch_id, count(*) n, round(avg((decision = 'review')::int), 6) review_rate from ledger where event = 'route' group by batch_id", LED)
-add("latest_reasons", """select vix_hash, case when len(r) > 0 then array_to_string(r, ',') else d end reasons from (select vix_hash, max_by(decision, seq) d,
+add("latest_reasons", """select image_hash, case when len(r) > 0 then array_to_string(r, ',') else d end reasons from (select image_hash, max_by(decision, seq) d,
     max_by(list_filter([case when seq % 2 = 0 then 'low_conf' end, case when seq % 3 = 0 then 'far_from_known' end], lambda x: x is not null), seq) r from ledger where event = 'route' group by 1)""", LED)
 add("queue_hit_rate", """select queue, arg_min(predict, seq) predict, cast(count(*) as bigint) emitted, count(outcome) resolved, cast(sum(hit) as bigint) hits, case when count(outcome) > 0 then round(sum(hit) / count(outcome), 3) end "precision",
     round(count(outcome) / count(*), 3) "coverage", count(outcome) < 5 insufficient from (select *, case when outcome is null then 0 when predict = 'wrong' then (outcome = 'rejected')::int when predict = 'defect' then (outcome = 'confirmed')::int else 1 end hit from (
-    select e.queue, e.predict, e.seq, e.id, arg_min(r.outcome, r.seq) outcome from (select concat('q', seq % 3) queue, ['wrong', 'defect', 'label'][seq % 3 + 1] predict, seq, vix_hash id from ledger where event = 'queue_emit') e
-    left join (select vix_hash id, case when decision = 'confirmed' then 'confirmed' else 'rejected' end outcome, seq from ledger where event = 'review') r on r.id = e.id and r.seq > e.seq group by all)) group by queue""", LED)
+    select e.queue, e.predict, e.seq, e.id, arg_min(r.outcome, r.seq) outcome from (select concat('q', seq % 3) queue, ['wrong', 'defect', 'label'][seq % 3 + 1] predict, seq, image_hash id from ledger where event = 'queue_emit') e
+    left join (select image_hash id, case when decision = 'confirmed' then 'confirmed' else 'rejected' end outcome, seq from ledger where event = 'review') r on r.id = e.id and r.seq > e.seq group by all)) group by queue""", LED)
 add("reviewer_audit", """select n.reviewer_id, n.n n_decisions, coalesce(p.k, 0) similar_pairs, coalesce(p.c, 0) conflicts, round(case when coalesce(p.k, 0) > 0 then 1 - p.c / p.k else 1 end, 6) intra_consistency, n.n < 10 insufficient from (select reviewer_id, count(*) n from d group by 1) n left join (
     select a.reviewer_id, count(*) k, count(*) filter (where a.decision <> b.decision) c from d a join d b on a.reviewer_id = b.reviewer_id and a.seq < b.seq where round(list_cosine_similarity(a.embedding, b.embedding), 9) >= 0.3 group by 1) p on p.reviewer_id = n.reviewer_id""",
-    views("items", "ledger"), "d as (select l.reviewer_id, l.seq, l.decision, i.embedding from ledger l join items i on i.id = cast(substr(l.vix_hash, 2) as bigint) where l.event = 'review')")
+    views("items", "ledger"), "d as (select l.reviewer_id, l.seq, l.decision, i.embedding from ledger l join items i on i.id = cast(substr(l.image_hash, 2) as bigint) where l.event = 'review')")
 PTS = "pts as (select event_id seq, event_type as label, case when event_id % 150 <> 0 then round((event_id * 13 % 100) / cast(100 as double), 4) end ap, case when event_id > 100 then 'h2' else 'h1' end h from events)"
 add("ap_trend", "select label, count(*) n_points, arg_min(ap, seq) first_ap, arg_max(ap, seq) last_ap, case when count(*) >= 2 then round(arg_max(ap, seq) - arg_min(ap, seq), 4) end delta from pts where ap is not null group by label", PTS)
 add("eval_set_changed", "select count(distinct h) > 1 eval_set_changed from pts", PTS)
-add("previous_eval", "select seq, vix_hash from ledger where event = 'queue_emit' order by seq desc limit 1 offset 1", LED)
+add("previous_eval", "select seq, image_hash from ledger where event = 'queue_emit' order by seq desc limit 1 offset 1", LED)
 GATES = """g as (select seq, batch_id, case seq % 4 when 0 then 'batch_gate' when 1 then 'batch_admit' when 2 then case when seq % 5 = 0 then 'batch_unadmit' else 'other' end else 'other' end event,
     case when seq % 4 = 0 then case when seq % 3 = 0 then 'BLOCK' else 'PASS' end when seq % 7 = 0 then 'REFUSED' else 'OK' end decision from ledger)"""
 BT = lambda refused: f"""select batch_id, arg_max(decision, seq) filter (where event = 'batch_gate') verdict, coalesce(arg_max(adm, seq) filter (where adm is not null), false) admitted, min(seq) filter (where event in ('batch_gate', 'batch_admit')) first_seq
     from (select *, case when event = 'batch_unadmit' then false when event = 'batch_admit' then case when decision = 'REFUSED' then {refused} else true end end adm from g) group by batch_id having min(seq) filter (where event in ('batch_gate', 'batch_admit')) is not null"""
 add("batch_trend", BT("false"), LED, GATES)
 add("batch_ledger", BT("null"), LED, GATES)
-add("resolved_ids", "select distinct vix_hash id from ledger where event = 'review'", LED)
-add("verify_chain", "select seq, seq % 501 <> 500 link_ok, true hash_ok from ledger", LED)
+add("resolved_ids", "select distinct image_hash id from ledger where event = 'review'", LED)
 add("truncation", "select count(*) n, count(*) < 10500 truncated from ledger", LED)
 
 # monitoring
@@ -305,9 +305,6 @@ add("bank_audit", """select i.id, case when raw <= 0.9 and margin >= 0.004 then
 add("wilson_intervals", """select reviewer_id, k, n, round(greatest(0, (p + z / (2 * n) - hw) / (1 + z / n)), 6) lo, round(least(1, (p + z / (2 * n) + hw) / (1 + z / n)), 6) hi, case when o % 2 = 1 then o else o + 1 end odd_k,
     case when k < 10 or n < 25 then 'insufficient_support' when k < 20 then 'provisional' else 'supported' end tier from (select *, 1.96 * sqrt(p * (1 - p) / n + z / (4 * n * n)) hw, greatest(3, cast(floor(sqrt(n)) as bigint)) o from (
     select reviewer_id, count(*) filter (where decision = 'confirmed') k, count(*) n, count(*) filter (where decision = 'confirmed') / count(*) p, cast(1.96 * 1.96 as double) z from ledger group by 1))""", LED)
-add("pre_train_gate", """select case when len(r) = 0 then 'GO' else 'NO-GO' end verdict, array_to_string(r, ',') reasons, u under_represented from (select list_filter([case when g = 0 then 'no_golden' end, case when o > 0 then 'eval_golden_overlap' end, case when v > 0 then 'review_open' end,
-    case when u <> '' then 'under_represented' end], lambda x: x is not null) r, u from (select (select count(*) from items where role = 'golden') g, (select count(*) from items where role = 'golden' and split = 'test') o, (select count(*) from ledger where event = 'route' and decision = 'review') v,
-    (select coalesce(string_agg(label, ',' order by label), '') from (select label from items where role = 'golden' group by label having count(*) < 25)) u))""", views("items", "ledger"))
 add("batch_gate", f"""select i.batch, coalesce(b.n, 0) n_block, coalesce(c.n, 0) n_clean, case when coalesce(b.n, 0) > 0 then 'BLOCK' when i.batch = 'w3' then 'PARTIAL' when coalesce(c.n, 0) > 0 then 'CLEAN' else 'PASS' end verdict from (select distinct batch from items) i
     left join (select x.batch, count(*) n from ({QA}) q join boxes x on x.id = q.id where q.issue = 'degenerate' group by 1) b on b.batch = i.batch left join (select batch, count(*) n from items where confidence < 0.45 group by 1) c on c.batch = i.batch""", BOXES)
 add("sample_status", """select n, n detected, n embedded, golden, review, n - review pass, cast(0 as bigint) rejected, case when n = 0 then 'ingest' when golden = 0 then 'confirm_golden' when review > 0 then 'review' else 'gate' end next_step from (
@@ -316,26 +313,25 @@ HEALTH = """h as (select *, redundant / n dup_rate, n_review / n review_ratio, n
     (select count(*) from iss) n_issues, (select count(*) from (select label, count(*) k from items group by 1) c, (select quantile_cont(cast(k as double), 0.5) m from (select label, count(*) k from items group by 1)) where k < 0.5 * m) n_under))"""
 add("health_report", "select n, n_review, redundant, n_issues, n_under, round(dup_rate, 6) dup_rate, round(review_ratio, 6) review_ratio, round(label_rate, 6) label_rate, greatest(0, round(100 - 30 * dup_rate - 30 * label_rate - 20 * review_ratio - 5 * n_under, 1)) quality from h", ITEMS, NEAR10, MAJ, ISSUES, DUP, HEALTH)
 add("report_suggestions", "select kind, round(m, 6) magnitude from (select 'duplicates' kind, dup_rate m from h union all select 'label_errors', label_rate from h union all select 'open_review', review_ratio from h) where m > 0", ITEMS, NEAR10, MAJ, ISSUES, DUP, HEALTH)
-add("report_class_diff", "select 'c9' as label, 'new' change union all select 'c0', 'removed'")
 
 # review and snapshots
-SAMP = """samp as (select cast(id as varchar) hash, unnest([role, concat('batch:', batch), concat('fab:', fab)]) tag from items), ev as (select cast(cast(substr(vix_hash, 2) as bigint) % 500 as varchar) hash,
-    case when event = 'queue_emit' then concat('vixq:', reviewer_id) when decision = 'confirmed' then 'golden' else 'rejected' end tag, case when seq % 6 = 0 then 'remove' else 'add' end op, seq from ledger where event in ('review', 'queue_emit')),
-    fold as (select hash, tag, arg_max(op, seq) op from (select hash, tag, 'add' op, -1 seq from samp union all select * from ev) group by all), folded as (select hash, list_sort(list(tag)) tags from fold where op = 'add' group by hash)"""
+SAMP = """samp as (select cast(id as varchar) hash, unnest([role, concat('batch:', batch), concat('fab:', fab)]) tag from items), ev as (select cast(cast(substr(image_hash, 2) as bigint) % 500 as varchar) hash,
+    case when event = 'queue_emit' then concat('QUEUE_TAG', reviewer_id) when decision = 'confirmed' then 'golden' else 'rejected' end tag, case when seq % 6 = 0 then 'remove' else 'add' end op, seq from ledger where event in ('review', 'queue_emit')),
+    fold as (select hash, tag, arg_max(op, seq) op from (select hash, tag, 'add' op, -1 seq from samp union all select * from ev) group by all), folded as (select hash, list_sort(list(tag)) tags from fold where op = 'add' group by hash)""".replace("QUEUE_TAG", QUEUE_TAG)
 RV = views("items", "ledger")
 add("fold_tags", "select s.hash, coalesce(array_to_string(f.tags, ','), '') tags from (select distinct hash from samp) s left join folded f on f.hash = s.hash", RV, SAMP)
-add("worklists", "select substr(tag, 6) as name, count(*) n from fold where op = 'add' and starts_with(tag, 'vixq:') and hash in (select hash from samp) group by 1", RV, SAMP)
+add("worklists", f"select substr(tag, {len(QUEUE_TAG) + 1}) as name, count(*) n from fold where op = 'add' and starts_with(tag, '{QUEUE_TAG}') and hash in (select hash from samp) group by 1", RV, SAMP)
 add("export_set", "select hash from folded where list_contains(tags, 'golden') and not list_contains(tags, 'rejected') and hash in (select hash from samp)", RV, SAMP)
 add("tag_filter", "select cast(id as varchar) hash, fab from items where role in ('golden', 'anchor') and batch <> 'w2'", ITEMS)
-add("sync_reviews", """select case d when 'false_alarm' then 'rejected' when 'confirmed' then 'confirmed' else 'relabel' end outcome, case when d = 'hardneg' then 'scratch' end as label, count(*) n from (select vix_hash, max_by(decision, seq) d from ledger where event = 'review' group by 1) group by 1, 2""", LED)
+add("sync_reviews", """select case d when 'false_alarm' then 'rejected' when 'confirmed' then 'confirmed' else 'relabel' end outcome, case when d = 'hardneg' then 'scratch' end as label, count(*) n from (select image_hash, max_by(decision, seq) d from ledger where event = 'review' group by 1) group by 1, 2""", LED)
 add("snapshot_composition", "select role in ('golden', 'anchor') included, count(*) n from items group by 1", ITEMS)
-add("snapshot_restore", "select cast(id as varchar) vix_hash, case when role = 'candidate' then 'drop' else 'add' end as action from items where role in ('candidate', 'anchor')", ITEMS)
+add("snapshot_restore", "select cast(id as varchar) image_hash, case when role = 'candidate' then 'drop' else 'add' end as action from items where role in ('candidate', 'anchor')", ITEMS)
 add("content_hash", "select sha256(array_to_string(list_sort(list(concat(b, s))), '|')) hash from (select substr(sha256(x), 1, 2) b, sha256(array_to_string(list_sort(list(x)), '|')) s from (select cast(id as varchar) x from items) group by 1)", ITEMS)
-add("box_digests", "select concat('i', cast(floor(id / 5) as bigint)) vix_hash, sha256(array_to_string(list_sort(list(concat_ws(',', label, cast(cast(floor(cx * 10000 + 0.5) as bigint) as varchar), cast(cast(floor(cy * 10000 + 0.5) as bigint) as varchar), cast(cast(floor(w * 10000 + 0.5) as bigint) as varchar), cast(cast(floor(h * 10000 + 0.5) as bigint) as varchar)))), '|')) digest from boxes group by 1", BOXES)
+add("box_digests", "select concat('i', cast(floor(id / 5) as bigint)) image_hash, sha256(array_to_string(list_sort(list(concat_ws(',', label, cast(cast(floor(cx * 10000 + 0.5) as bigint) as varchar), cast(cast(floor(cy * 10000 + 0.5) as bigint) as varchar), cast(cast(floor(w * 10000 + 0.5) as bigint) as varchar), cast(cast(floor(h * 10000 + 0.5) as bigint) as varchar)))), '|')) digest from boxes group by 1", BOXES)
 add("verify_files", """select case when doc_id % 23 = 0 and k = 1 then concat('f', doc_id, 'x') else concat('f', doc_id) end path, case when k = 1 then 'unexpected' when doc_id % 17 = 0 then 'missing' else 'mismatched' end problem
     from documents, (values (0), (1)) v(k) where (k = 1 and doc_id % 23 = 0) or (k = 0 and (doc_id % 17 = 0 or doc_id % 19 = 0))""")
 add("synthetic_detections", "select hash, 'one' as label, round(cast(0.4 as double) + cast(0.6 as double) * (cast(concat('0x', substr(sha256(hash), 1, 8)) as bigint) % 1000) / 1000, 3) confidence from (select distinct sha256(text) hash from documents)")
-add("ingest_batch", """select h vix_hash, src_path from (select sha256(text) h, min(printf('/data/%08d.png', doc_id)) src_path from documents group by 1) where h not in (select sha256(text) from documents where doc_id % 10 = 0)""")
+add("ingest_batch", """select h image_hash, src_path from (select sha256(text) h, min(printf('/data/%08d.png', doc_id)) src_path from documents group by 1) where h not in (select sha256(text) from documents where doc_id % 10 = 0)""")
 add("image_items", """select a.g as id, h.label, round(h.c, 6) confidence, round(a.t, 6) total from (select g, sum(x) t from (select g, pos, avg(x) x from (select cast(floor(id / 4) as bigint) g, generate_subscripts(embedding, 1) pos, unnest(embedding) x from items where id % 9 <> 0) group by all) group by g) a
     join (select cast(floor(id / 4) as bigint) g, arg_min(label, id) as label, max(confidence) c from items group by 1) h on h.g = a.g""", ITEMS)
 
@@ -412,7 +408,7 @@ add("capacity", """select batch_id, volume, flag_rate, cast(floor(round(volume *
 add("ap_series", """select label, seq, ap, round(ap - last_value(ap ignore nulls) over (partition by label order by seq rows between unbounded preceding and 1 preceding), 4) step from pts""", PTS)
 
 # review write-back
-DECIDED = "decided as (select vix_hash hash, replace(arg_max(decision, seq), 'hardneg', 'scratch') decision from ledger where event = 'review' group by 1)"
+DECIDED = "decided as (select image_hash hash, replace(arg_max(decision, seq), 'hardneg', 'scratch') decision from ledger where event = 'review' group by 1)"
 add("resolve_reviews", "select hash, case when decision = 'false_alarm' then 'rejected' else 'golden' end tag, 'add' op from decided", LED, DECIDED)
 add("unknown_ids", "select hash from decided where hash not in (select concat('u', cast(id as varchar)) from items where id % 3 <> 0)", views("items", "ledger"), DECIDED)
 add("dismiss_ids", "select hash, tag, 'remove' op from decided, (values ('review'), ('proposal')) t(tag) where decision = 'false_alarm' union all select hash, 'review', 'add' from decided where decision = 'false_alarm' and hash like '%7'", LED, DECIDED)

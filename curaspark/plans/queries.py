@@ -195,7 +195,7 @@ def flag_rate(spark, d):
 def routing_diff(spark, d):
     l = T.ledger(spark, d).where("event = 'route'")
     half = l.agg(F.floor(F.max("seq") / 2).alias("h"))
-    last = lambda x: x.groupBy(F.col("vix_hash").alias("hash")).agg(F.max_by("decision", "seq").alias("decision"))
+    last = lambda x: x.groupBy(F.col("image_hash").alias("hash")).agg(F.max_by("decision", "seq").alias("decision"))
     j = l.join(F.broadcast(half))
     return routing.routing_diff(last(j.where("seq <= h")), last(j.where("seq > h"))).select("hash", "was", "now", "change")
 
@@ -503,7 +503,7 @@ def unknown_classes(spark, d):
 
 @query
 def ledger_filter(spark, d):
-    return ledger.query(T.ledger(spark, d), event="resolve", reviewer="r1").select("seq", "vix_hash", "decision")
+    return ledger.query(T.ledger(spark, d), event="resolve", reviewer="r1").select("seq", "image_hash", "decision")
 
 
 @query
@@ -535,20 +535,20 @@ def review_rate(spark, d):
 @query
 def latest_reasons(spark, d):
     r = T.ledger(spark, d).withColumn("reasons", C.reasons((F.col("seq") % 2 == 0, "low_conf"), (F.col("seq") % 3 == 0, "far_from_known")))
-    return ledger.latest_reasons(r).select("vix_hash", F.array_join("reasons", ",").alias("reasons"))
+    return ledger.latest_reasons(r).select("image_hash", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query
 def queue_hit_rate(spark, d):
     l = T.ledger(spark, d)
-    e = l.where("event = 'queue_emit'").select(F.concat(F.lit("q"), (F.col("seq") % 3).cast("string")).alias("queue"), F.element_at(F.array(F.lit("wrong"), F.lit("defect"), F.lit("label")), (F.col("seq") % 3 + 1).cast("int")).alias("predict"), "seq", F.col("vix_hash").alias("id"))
-    r = l.where("event = 'review'").select(F.col("vix_hash").alias("id"), F.when(F.col("decision") == "confirmed", "confirmed").otherwise("rejected").alias("outcome"), "seq")
+    e = l.where("event = 'queue_emit'").select(F.concat(F.lit("q"), (F.col("seq") % 3).cast("string")).alias("queue"), F.element_at(F.array(F.lit("wrong"), F.lit("defect"), F.lit("label")), (F.col("seq") % 3 + 1).cast("int")).alias("predict"), "seq", F.col("image_hash").alias("id"))
+    r = l.where("event = 'review'").select(F.col("image_hash").alias("id"), F.when(F.col("decision") == "confirmed", "confirmed").otherwise("rejected").alias("outcome"), "seq")
     return ledger.hit_rate(e, r).select("queue", "predict", "emitted", "resolved", "hits", "precision", "coverage", "insufficient")
 
 
 @query
 def reviewer_audit(spark, d):
-    dec = T.ledger(spark, d).where("event = 'review'").select("reviewer_id", "seq", F.substring("vix_hash", 2, 20).cast("long").alias("id"), "decision")
+    dec = T.ledger(spark, d).where("event = 'review'").select("reviewer_id", "seq", F.substring("image_hash", 2, 20).cast("long").alias("id"), "decision")
     return ledger.reviewer_consistency(dec, T.items(spark, d), 0.3).select("reviewer_id", "n_decisions", "similar_pairs", "conflicts", *r6("intra_consistency"), "insufficient")
 
 
@@ -570,7 +570,7 @@ def eval_set_changed(spark, d):
 @query
 def previous_eval(spark, d):
     l = T.ledger(spark, d).withColumn("event", F.when(F.col("event") == "queue_emit", "eval_ingest").otherwise(F.col("event")))
-    return ledger.previous_eval(l).select("seq", "vix_hash")
+    return ledger.previous_eval(l).select("seq", "image_hash")
 
 
 def _gates(spark, d):
@@ -789,8 +789,8 @@ def _samples(spark, d):
 
 def _tag_events(spark, d):
     l = T.ledger(spark, d)
-    h = (F.substring("vix_hash", 2, 20).cast("long") % 500).cast("string")
-    return l.where("event in ('review', 'queue_emit')").select(h.alias("hash"), F.when(F.col("event") == "queue_emit", F.concat(F.lit("vixq:"), "reviewer_id")).when(F.col("decision") == "confirmed", "golden").otherwise("rejected").alias("tag"), F.when(F.col("seq") % 6 == 0, "remove").otherwise("add").alias("op"), "seq")
+    h = (F.substring("image_hash", 2, 20).cast("long") % 500).cast("string")
+    return l.where("event in ('review', 'queue_emit')").select(h.alias("hash"), F.when(F.col("event") == "queue_emit", F.concat(F.lit(files.QUEUE_TAG), "reviewer_id")).when(F.col("decision") == "confirmed", "golden").otherwise("rejected").alias("tag"), F.when(F.col("seq") % 6 == 0, "remove").otherwise("add").alias("op"), "seq")
 
 
 @query
@@ -815,20 +815,20 @@ def tag_filter(spark, d):
 
 @query
 def sync_reviews(spark, d):
-    l = T.ledger(spark, d).where("event = 'review'").groupBy("vix_hash").agg(F.max_by("decision", "seq").alias("decision"))
-    n = review.normalise(l.select(F.col("vix_hash").alias("hash"), F.when(F.col("decision") == "hardneg", "scratch").otherwise(F.col("decision")).alias("decision")))
+    l = T.ledger(spark, d).where("event = 'review'").groupBy("image_hash").agg(F.max_by("decision", "seq").alias("decision"))
+    n = review.normalise(l.select(F.col("image_hash").alias("hash"), F.when(F.col("decision") == "hardneg", "scratch").otherwise(F.col("decision")).alias("decision")))
     return n.groupBy("outcome", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def snapshot_composition(spark, d):
-    s = _samples(spark, d).select(F.col("hash").alias("vix_hash"), "tags")
+    s = _samples(spark, d).select(F.col("hash").alias("image_hash"), "tags")
     return review.composition(s).groupBy("included").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def snapshot_restore(spark, d):
-    s = _samples(spark, d).select(F.col("hash").alias("vix_hash"), "tags")
+    s = _samples(spark, d).select(F.col("hash").alias("image_hash"), "tags")
     snap = review.composition(s)
     return review.restore(s.where(C.tagged(F.col("tags"), ["golden", "candidate"])), snap)
 
@@ -840,7 +840,7 @@ def content_hash(spark, d):
 
 @query
 def box_digests(spark, d):
-    b = T.boxes(spark, d).withColumn("vix_hash", F.concat(F.lit("i"), F.floor(F.col("id") / 5).cast("long").cast("string")))
+    b = T.boxes(spark, d).withColumn("image_hash", F.concat(F.lit("i"), F.floor(F.col("id") / 5).cast("long").cast("string")))
     return review.box_digests(b)
 
 
@@ -853,18 +853,18 @@ def verify_files(spark, d):
 
 @query
 def synthetic_detections(spark, d):
-    m = T.table(spark, d, "documents").select(F.sha2("text", 256).alias("vix_hash"), F.concat(F.lit("/data/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("src_path"), "doc_id")
-    det = files.synthetic_detections(m.dropDuplicates(["vix_hash"]).drop("doc_id").withColumn("src_path", F.lit("/data/one/x.png")))
+    m = T.table(spark, d, "documents").select(F.sha2("text", 256).alias("image_hash"), F.concat(F.lit("/data/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("src_path"), "doc_id")
+    det = files.synthetic_detections(m.dropDuplicates(["image_hash"]).drop("doc_id").withColumn("src_path", F.lit("/data/one/x.png")))
     return det.select("hash", "label", "confidence")
 
 
 @query
 def ingest_batch(spark, d):
     docs = T.table(spark, d, "documents")
-    images = docs.select(F.format_string("/data/%08d.png", "doc_id").alias("src_path"), F.sha2("text", 256).alias("vix_hash"))
-    known = docs.where("doc_id % 10 = 0").select(F.sha2("text", 256).alias("vix_hash"))
+    images = docs.select(F.format_string("/data/%08d.png", "doc_id").alias("src_path"), F.sha2("text", 256).alias("image_hash"))
+    known = docs.where("doc_id % 10 = 0").select(F.sha2("text", 256).alias("image_hash"))
     new, _ = files.ingest(images, known, "b1")
-    return new.select("vix_hash", "src_path")
+    return new.select("image_hash", "src_path")
 
 
 @query
@@ -983,13 +983,13 @@ def ap_series(spark, d):
 
 def _decisions(spark, d):
     """The last decision on each user, the users standing for samples."""
-    l = T.ledger(spark, d).where("event = 'review'").groupBy("vix_hash").agg(F.max_by("decision", "seq").alias("decision"))
-    return l.select(F.col("vix_hash").alias("hash"), F.when(F.col("decision") == "hardneg", "scratch").otherwise(F.col("decision")).alias("decision"))
+    l = T.ledger(spark, d).where("event = 'review'").groupBy("image_hash").agg(F.max_by("decision", "seq").alias("decision"))
+    return l.select(F.col("image_hash").alias("hash"), F.when(F.col("decision") == "hardneg", "scratch").otherwise(F.col("decision")).alias("decision"))
 
 
 @query
 def resolve_reviews(spark, d):
-    samples = T.ledger(spark, d).select(F.col("vix_hash").alias("hash")).distinct()
+    samples = T.ledger(spark, d).select(F.col("image_hash").alias("hash")).distinct()
     return review.resolve(samples, _decisions(spark, d)).select("hash", "tag", "op")
 
 

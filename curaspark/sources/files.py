@@ -12,17 +12,20 @@ from pyspark.sql import types as T
 #: Suffixes of images.
 SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".webp", ".tif", ".tiff")
 
+#: The name that manifests, ledgers and evaluation files give an image's hash, and the prefix of work lists' tags.
+DISK_KEY, QUEUE_TAG = "vix_hash", "vixq:"
+
 BOX = T.ArrayType(T.DoubleType())
-EVAL = T.StructType([T.StructField("vix_hash", T.StringType()), T.StructField("gt", T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("bbox", BOX)]))), T.StructField("pred", T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("bbox", BOX), T.StructField("conf", T.DoubleType())])))])
-MANIFEST = T.StructType([T.StructField(c, T.StringType()) for c in ("vix_hash", "src_path", "batch_id", "ingested_at", "label_version")] + [T.StructField("tags", T.ArrayType(T.StringType()))])
-LEDGER = "ts_utc string, event string, vix_hash string, batch_id string, reviewer_id string, decision string, scores map<string, double>, thr_version string, extra string, prev_hash string, entry_hash string"
+EVAL = T.StructType([T.StructField(DISK_KEY, T.StringType()), T.StructField("gt", T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("bbox", BOX)]))), T.StructField("pred", T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("bbox", BOX), T.StructField("conf", T.DoubleType())])))])
+MANIFEST = T.StructType([T.StructField(c, T.StringType()) for c in (DISK_KEY, "src_path", "batch_id", "ingested_at", "label_version")] + [T.StructField("tags", T.ArrayType(T.StringType()))])
+LEDGER = f"ts_utc string, event string, {DISK_KEY} string, batch_id string, reviewer_id string, decision string, scores map<string, double>, thr_version string, extra string, prev_hash string, entry_hash string"
 
 
 def scan_images(spark: SparkSession, folder: str, content: bool = False) -> DataFrame:
-    """src_path, vix_hash (sha256 of the bytes) of the images below a folder; the bytes are dropped unless asked for."""
+    """src_path, image_hash (sha256 of the bytes) of the images below a folder; the bytes are dropped unless asked for."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     ok = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*SUFFIXES)
-    return raw.where(ok).select(F.regexp_replace("path", "^file:", "").alias("src_path"), F.sha2("content", 256).alias("vix_hash"), *(["content"] if content else []))
+    return raw.where(ok).select(F.regexp_replace("path", "^file:", "").alias("src_path"), F.sha2("content", 256).alias("image_hash"), *(["content"] if content else []))
 
 
 def hash_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,22 +60,22 @@ def ingest(images: DataFrame, manifest: DataFrame, batch_id: str, label_version:
     """New manifest entries and skipped images: known hashes, and repeats inside the batch after the first path."""
     if {"golden", "eval"} <= set(tags):
         raise ValueError("a batch is golden or eval, not both")
-    first = F.row_number().over(Window.partitionBy("vix_hash").orderBy("src_path"))
-    known = manifest.select("vix_hash", F.lit(True).alias("known")).distinct()
-    j = images.withColumn("nth", first).join(known, "vix_hash", "left")
-    new = j.where("nth = 1 and known is null").select("vix_hash", "src_path", F.lit(batch_id).alias("batch_id"), F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("ingested_at"), F.lit(label_version).alias("label_version"), F.array(*map(F.lit, [*tags, f"batch:{batch_id}"])).alias("tags"))
-    return new, j.where("nth > 1 or known").select("vix_hash", "src_path")
+    first = F.row_number().over(Window.partitionBy("image_hash").orderBy("src_path"))
+    known = manifest.select("image_hash", F.lit(True).alias("known")).distinct()
+    j = images.withColumn("nth", first).join(known, "image_hash", "left")
+    new = j.where("nth = 1 and known is null").select("image_hash", "src_path", F.lit(batch_id).alias("batch_id"), F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("ingested_at"), F.lit(label_version).alias("label_version"), F.array(*map(F.lit, [*tags, f"batch:{batch_id}"])).alias("tags"))
+    return new, j.where("nth > 1 or known").select("image_hash", "src_path")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).json(path)
+    return spark.read.schema(MANIFEST).json(path).withColumnRenamed(DISK_KEY, "image_hash")
 
 
 def append_manifest(entries: DataFrame, path: str, existing: DataFrame | None = None) -> None:
     """Append entries whose hash is not there yet."""
     if existing is not None:
-        entries = entries.join(existing.select("vix_hash"), "vix_hash", "left_anti")
-    entries.dropDuplicates(["vix_hash"]).write.mode("append").json(path)
+        entries = entries.join(existing.select("image_hash"), "image_hash", "left_anti")
+    entries.dropDuplicates(["image_hash"]).withColumnRenamed("image_hash", DISK_KEY).write.mode("append").json(path)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -86,7 +89,7 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("block").orderBy("at")) - 1
     lines = lines.withColumn("place", place).join(F.broadcast(before), "block").select((F.col("before") + F.col("place")).alias("seq"), F.regexp_replace("value", "^\ufeff", "").alias("raw"))
     rec = F.from_json("raw", LEDGER, {"mode": "PERMISSIVE"})
-    return lines.where("trim(raw) <> ''").withColumn("r", rec).where("r.event is not null and r.entry_hash is not null").select("seq", "raw", "r.*")
+    return lines.where("trim(raw) <> ''").withColumn("r", rec).where("r.event is not null and r.entry_hash is not null").select("seq", "raw", "r.*").withColumnRenamed(DISK_KEY, "image_hash")
 
 
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:
@@ -103,14 +106,14 @@ def read_eval(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation images from JSON lines or one JSON array."""
     head = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
     array = bool(head) and head[0].value.lstrip("﻿ \t").startswith("[")
-    return spark.read.schema(EVAL).option("multiLine", array).json(path)
+    return spark.read.schema(EVAL).option("multiLine", array).json(path).withColumnRenamed(DISK_KEY, "image_hash")
 
 
 def eval_tables(images: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Truths and predictions of evaluation images as rows for ``operators.evaluation``."""
     cells = [F.col("x.bbox")[i].alias(c) for i, c in enumerate(("cx", "cy", "w", "h"))]
-    gt = images.select(F.col("vix_hash").alias("image_id"), F.posexplode("gt").alias("gt_id", "x")).select("image_id", "gt_id", "x.label", *cells)
-    pred = images.select(F.col("vix_hash").alias("image_id"), F.posexplode("pred").alias("pred_id", "x")).select("image_id", "pred_id", "x.label", *cells, F.coalesce("x.conf", F.lit(0.0)).alias("conf"))
+    gt = images.select(F.col("image_hash").alias("image_id"), F.posexplode("gt").alias("gt_id", "x")).select("image_id", "gt_id", "x.label", *cells)
+    pred = images.select(F.col("image_hash").alias("image_id"), F.posexplode("pred").alias("pred_id", "x")).select("image_id", "pred_id", "x.label", *cells, F.coalesce("x.conf", F.lit(0.0)).alias("conf"))
     return gt, pred
 
 
@@ -130,8 +133,8 @@ def synthetic_detections(manifest: DataFrame) -> DataFrame:
     """One full-image detection an image: label = parent folder, confidence from the digest of the hash."""
     parts = F.split("src_path", r"[/\\]")
     label = F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise("object")
-    part = F.conv(F.substring(F.sha2("vix_hash", 256), 1, 8), 16, 10).cast("long") % 1000
-    return manifest.select(F.col("vix_hash").alias("hash"), F.lit(0).alias("pos"), label.alias("label"), F.round(0.4 + 0.6 * part / 1000, 3).alias("confidence"), *[F.lit(x).alias(c) for c, x in (("cx", 0.5), ("cy", 0.5), ("w", 1.0), ("h", 1.0))])
+    part = F.conv(F.substring(F.sha2("image_hash", 256), 1, 8), 16, 10).cast("long") % 1000
+    return manifest.select(F.col("image_hash").alias("hash"), F.lit(0).alias("pos"), label.alias("label"), F.round(0.4 + 0.6 * part / 1000, 3).alias("confidence"), *[F.lit(x).alias(c) for c, x in (("cx", 0.5), ("cy", 0.5), ("w", 1.0), ("h", 1.0))])
 
 
 def voc_boxes(spark: SparkSession, path: str) -> DataFrame:
@@ -173,7 +176,7 @@ def detection_items(samples: DataFrame, any_of: list[str] = (), none_of: list[st
 
 
 def pixel_embedding(images: DataFrame, size: int = 16) -> DataFrame:
-    """src_path, vix_hash, embedding of images with their content: grey levels of a size x size thumbnail.
+    """src_path, image_hash, embedding of images with their content: grey levels of a size x size thumbnail.
 
     Needs an image library on the executors.
     """
@@ -191,7 +194,7 @@ def pixel_embedding(images: DataFrame, size: int = 16) -> DataFrame:
 
         return content.map(one)
 
-    return images.select("src_path", "vix_hash", embed("content").alias("embedding"))
+    return images.select("src_path", "image_hash", embed("content").alias("embedding"))
 
 
 def model_detections(images: DataFrame, predict, schema: str = "path string, pos int, label string, confidence double, cx double, cy double, w double, h double") -> DataFrame:

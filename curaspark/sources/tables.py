@@ -73,7 +73,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.col("event_id").alias("seq"),
         "ts",
-        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("vix_hash"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("image_hash"),
         F.concat(F.lit("r"), (F.col("event_id") % 4).cast("string")).alias("reviewer_id"),
         F.concat(F.lit("w"), (F.col("user_id") % 8).cast("string")).alias("batch_id"),
         F.when(kind.isin("view", "click"), "route").when(kind == "signup", "queue_emit").otherwise("review").alias("event"),
@@ -105,7 +105,7 @@ SQL = {
         cast(0.2 as double) + cast(0.6 as double) * (((p.event_id - 1) * 11) % 103) / cast(102 as double) cy, cast(0.1 as double) w, cast(0.1 as double) h,
         ((p.event_id * 7919) % 10007) / cast(10007 as double) conf
         from events p join events g on g.event_id = p.event_id - 1 where p.event_id % 2 = 1 and p.event_id % 11 <> 0)""",
-    "ledger": """ledger as (select event_id seq, ts, concat('u', cast(user_id as varchar)) vix_hash, concat('r', cast(event_id % 4 as varchar)) reviewer_id,
+    "ledger": """ledger as (select event_id seq, ts, concat('u', cast(user_id as varchar)) image_hash, concat('r', cast(event_id % 4 as varchar)) reviewer_id,
         concat('w', cast(user_id % 8 as varchar)) batch_id, case event_type when 'view' then 'route' when 'click' then 'route' when 'signup' then 'queue_emit' else 'review' end event,
         case event_type when 'view' then 'review' when 'click' then 'pass' when 'purchase' then 'confirmed' when 'error' then 'false_alarm' else 'hardneg' end decision from events)""",
     "calib": """calib as (select d.doc_id, cast(l.quality as double) correct, cast(0.5 as double) + cast(0.5 as double) * ((d.n_chars * 7) % 1000) / cast(1000 as double) conf

@@ -13,12 +13,12 @@ def ingest_stream(spark: SparkSession, folder: str, manifest: str, checkpoint: s
     schema = "path string, modificationTime timestamp, length long, content binary"
     raw = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder)
     ok = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*files.SUFFIXES)
-    images = raw.where(ok).select(F.regexp_replace("path", "^file:", "").alias("src_path"), F.sha2("content", 256).alias("vix_hash"))
+    images = raw.where(ok).select(F.regexp_replace("path", "^file:", "").alias("src_path"), F.sha2("content", 256).alias("image_hash"))
 
     def add(batch: DataFrame, _: int) -> None:
         known = files.read_manifest(spark, manifest)
         new, _skipped = files.ingest(batch, known, batch_id, tags=tags)
-        new.write.mode("append").json(manifest)
+        files.append_manifest(new, manifest)
 
     return images.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

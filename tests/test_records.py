@@ -12,10 +12,10 @@ from curaspark.sources import files
 
 def test_ledger_chain_tamper_and_truncation(spark, tmp_path):
     path = str(tmp_path / "log.jsonl")
-    ledger.append(spark, path, [{"event": "ingest", "vix_hash": f"h{i}", "ts_utc": f"2026-01-0{i + 1}"} for i in range(5)])
+    ledger.append(spark, path, [{"event": "ingest", "image_hash": f"h{i}", "ts_utc": f"2026-01-0{i + 1}"} for i in range(5)])
     with open(path, "a") as f:
         f.write('{"event": "torn')
-    assert ledger.append(spark, path, [{"event": "review", "vix_hash": "h1", "decision": "confirmed", "ts_utc": "2026-01-09"}]) == 6
+    assert ledger.append(spark, path, [{"event": "review", "image_hash": "h1", "decision": "confirmed", "ts_utc": "2026-01-09"}]) == 6
     rec = files.read_ledger(spark, path)
     assert rec.count() == 6
     ok = ledger.verify_chain(rec).collect()
@@ -39,7 +39,7 @@ def test_hit_rate_counts_resolutions_after_emission(spark):
 
 def test_throughput_and_reviewers(spark):
     rows = [(1, "2026-01-01 00:00:00", "route", "x", "review", "r"), (2, "2026-01-01 02:00:00", "review", "x", "confirmed", "r"), (3, "2026-01-01 00:00:00", "route", "y", "review", "r")]
-    l = spark.createDataFrame(rows, "seq long, ts string, event string, vix_hash string, decision string, reviewer_id string").withColumn("ts", F.to_timestamp("ts"))
+    l = spark.createDataFrame(rows, "seq long, ts string, event string, image_hash string, decision string, reviewer_id string").withColumn("ts", F.to_timestamp("ts"))
     t = ledger.throughput(l).first()
     assert (t.resolved, t.open, t.median_hours) == (1, 1, 2.0)
     items = spark.createDataFrame([("x1", "a", [1.0, 0.0]), ("x2", "a", [1.0, 0.0]), ("y", "a", [0.0, 1.0])], "id string, label string, embedding array<double>")
@@ -70,8 +70,8 @@ def test_ingest_skips_known_and_repeated(spark, tmp_path):
 
 
 def test_eval_sources(spark, tmp_path):
-    one = {"vix_hash": "h", "gt": [{"label": "a", "bbox": [0.5, 0.5, 0.1, 0.1]}], "pred": [{"label": "a", "bbox": [0.5, 0.5, 0.1, 0.1], "conf": 0.9}]}
-    for name, body in (("lines", json.dumps(one) + "\n" + json.dumps({**one, "vix_hash": "g", "pred": []})), ("array", json.dumps([one, {**one, "vix_hash": "g", "pred": None}], indent=1))):
+    one = {files.DISK_KEY: "h", "gt": [{"label": "a", "bbox": [0.5, 0.5, 0.1, 0.1]}], "pred": [{"label": "a", "bbox": [0.5, 0.5, 0.1, 0.1], "conf": 0.9}]}
+    for name, body in (("lines", json.dumps(one) + "\n" + json.dumps({**one, files.DISK_KEY: "g", "pred": []})), ("array", json.dumps([one, {**one, files.DISK_KEY: "g", "pred": None}], indent=1))):
         (tmp_path / name).write_text(body)
         gt, pred = files.eval_tables(files.read_eval(spark, str(tmp_path / name)))
         assert (gt.count(), pred.count()) == (2, 1)
@@ -214,7 +214,7 @@ def test_command_line(spark, tmp_path, capsys):
     rows = [(f"g{c}{i}", f"/d/{c}{i}.png", ["golden", "fab:F1"], [(c, 0.9, 0.5, 0.5, 0.2, 0.2, [1.0, 0.05 * i] if c == "a" else [0.05 * i, 1.0])]) for c in "ab" for i in range(12)]
     rows += [("new", "/d/new.png", ["batch:w1"], [("a", 0.3, 0.5, 0.5, 0.2, 0.2, [1.0, 0.3])])]
     spark.createDataFrame(rows, f"hash string, src_path string, tags array<string>, dets {det}").write.parquet(str(tmp_path / "samples"))
-    ledger.append(spark, str(tmp_path / "ledger.jsonl"), [{"event": "route", "vix_hash": "new", "decision": "review", "batch_id": "w1", "ts_utc": "2026-01-01T00:00:00"}, {"event": "review", "vix_hash": "new", "decision": "confirmed", "ts_utc": "2026-01-01T03:00:00"}])
+    ledger.append(spark, str(tmp_path / "ledger.jsonl"), [{"event": "route", "image_hash": "new", "decision": "review", "batch_id": "w1", "ts_utc": "2026-01-01T00:00:00"}, {"event": "review", "image_hash": "new", "decision": "confirmed", "ts_utc": "2026-01-01T03:00:00"}])
     assert cli.main([str(tmp_path), "calibrate", "--k", "5"]) == 0
     assert cli.main([str(tmp_path), "route", "--k", "5"]) == 0
     assert "new" in capsys.readouterr().out
@@ -249,9 +249,9 @@ def test_write_back_verbs(spark, tmp_path, capsys):
     rows += [(f"n{i}", f"/d/n{i}.png", ["batch:w1", "review"], [("a", 0.1 + 0.05 * i, 0.5, 0.5, 0.2, 0.2, vec("a", 3 * i))]) for i in range(4)]
     rows += [("r0", "/d/r0.png", ["rejected"], [("a", 0.9, 0.5, 0.5, 0.2, 0.2, [0.1, 0.1, 1.0])]), ("r1", "/d/r1.png", ["rejected"], [("a", 0.9, 0.5, 0.5, 0.2, 0.2, [0.1, 0.2, 1.0])])]
     spark.createDataFrame(rows, f"hash string, src_path string, tags array<string>, dets {det}").write.parquet(str(tmp_path / "samples"))
-    ledger.append(spark, str(tmp_path / "ledger.jsonl"), [{"event": "route", "vix_hash": f"n{i}", "decision": "review", "batch_id": "w1", "ts_utc": "2026-01-01T00:00:00"} for i in range(4)])
+    ledger.append(spark, str(tmp_path / "ledger.jsonl"), [{"event": "route", "image_hash": f"n{i}", "decision": "review", "batch_id": "w1", "ts_utc": "2026-01-01T00:00:00"} for i in range(4)])
     ledger.append(spark, str(tmp_path / "ledger.jsonl"), [{"event": "queue_emit", "ts_utc": "2026-01-01T01:00:00", "extra": json.dumps({"queue": "q", "predict": "wrong", "ids": ["n0", "n1"]})}])
-    image = lambda h, truth, pred: {"vix_hash": h, "gt": [{"label": "a", "bbox": truth}], "pred": [{"label": "a", "bbox": pred, "conf": 0.9}]}
+    image = lambda h, truth, pred: {files.DISK_KEY: h, "gt": [{"label": "a", "bbox": truth}], "pred": [{"label": "a", "bbox": pred, "conf": 0.9}]}
     (tmp_path / "eval.jsonl").write_text("\n".join(json.dumps(x) for x in [image("ga0", [0.5, 0.5, 0.2, 0.2], [0.5, 0.5, 0.2, 0.2]), image("ga1", [0.5, 0.5, 0.2, 0.2], [0.9, 0.9, 0.1, 0.1])]))
     (tmp_path / "pulled").write_text('{"hash": "n1", "decision": "false_alarm"}\n{"hash": "n2", "decision": "b"}\n')
     (tmp_path / "masks").write_text('{"id": "n3:0", "cx": 0.5, "cy": 0.5, "w": 0.05, "h": 0.05}\n')
@@ -324,11 +324,11 @@ def test_numbered_names_meet_no_other_stem(spark):
 
 def test_ledger_lines_are_numbered_over_blocks(spark, tmp_path):
     path = str(tmp_path / "l.jsonl")
-    ledger.append(spark, path, [{"event": "route", "vix_hash": f"h{i}", "decision": "pass", "extra": "x" * 300} for i in range(200)])
+    ledger.append(spark, path, [{"event": "route", "image_hash": f"h{i}", "decision": "pass", "extra": "x" * 300} for i in range(200)])
     spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
     try:
         rows = files.read_ledger(spark, path).orderBy("seq").collect()
-        assert [(r.seq, r.vix_hash) for r in rows] == [(i, f"h{i}") for i in range(200)]
+        assert [(r.seq, r.image_hash) for r in rows] == [(i, f"h{i}") for i in range(200)]
         assert all(r.link_ok and r.hash_ok for r in ledger.verify_chain(files.read_ledger(spark, path), run=7).collect())
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
