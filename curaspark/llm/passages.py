@@ -236,63 +236,35 @@ def units(docs: DataFrame, id_col: str, text_col: str, min_words: int, similarit
     return _texts(docs, id_col, text_col).mapInArrow(run, "uid long, d long, is_line boolean, start int, n int, key long, chain long, reach int, bands array<long>")
 
 
+def _hint(df: DataFrame, bytes_a_row: int) -> DataFrame:
+    """A table broadcast where its count shows it small; past that Spark joins it by a shuffle."""
+    return F.broadcast(df) if df.count() * bytes_a_row <= BROADCAST_BYTES else df
+
+
 def line_shingles(docs: DataFrame, id_col: str, text_col: str, lines: DataFrame, met: DataFrame, shingle: int) -> DataFrame:
     """(key, grams): the shingles of the lines (uid, start, n, key) whose key is among ``met``, made again from their texts.
 
-    Few keys, by a count of their bytes, go to every task, which finds their lines in its texts; more meet one row of
-    theirs each by a join on the row.
+    Each key is read from one row, the least, so copies are read once and most texts not at all.
     """
-    spark = docs.sparkSession
-    runtime.ship(spark)
-    texts = _texts(docs, id_col, text_col)
-    names = ["key", "grams"]
-
-    def batch(out: dict[int, np.ndarray]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(list(out), pa.int64()), pa.array([g.astype("<u4").tobytes() for g in out.values()], pa.binary())], names=names)
-
-    if met.count() * 16 <= BROADCAST_BYTES:
-        shared = spark.sparkContext.broadcast(np.sort(met.toPandas()["key"].to_numpy(np.int64)))
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            wanted, done = shared.value, set()
-            for b in batches:
-                out: dict[int, np.ndarray] = {}
-                for text in b.column(2):
-                    if not len(wanted):
-                        continue
-                    with np.errstate(over="ignore"):
-                        h, ends = word_hashes(text.as_py())
-                        ends = np.array(ends, np.int64)
-                        first = np.concatenate([[0], ends[:-1]])
-                        long = ends - first >= shingle
-                        first, ends = first[long], ends[long]
-                        if not len(first):
-                            continue
-                        keys = span_keys(h, first, ends).view(np.int64)
-                        hit = wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys
-                        for key, i, j in zip(keys[hit].tolist(), first[hit].tolist(), ends[hit].tolist(), strict=True):
-                            if key not in done:
-                                done.add(key)
-                                out[key] = shingle_hashes(h[i:j], shingle)
-                if out:
-                    yield batch(out)
-
-        return texts.mapInArrow(scan, "key long, grams binary").dropDuplicates(["key"])
-
-    one = lines.join(met, "key", "left_semi").dropDuplicates(["key"])
-    held = one.groupBy("uid").agg(F.collect_list(F.struct("start", "n", "key")).alias("lines"))
+    runtime.ship(docs.sparkSession)
+    one = lines.join(_hint(met, 16), "key", "left_semi").groupBy("key").agg(F.min(F.struct("uid", "start", "n")).alias("x"))
+    held = runtime.staged(one.groupBy("x.uid").agg(F.collect_list(F.struct("x.start", "x.n", "key")).alias("lines"), F.count(F.lit(1)).alias("size")), "line-rows")
+    small = (held.agg(F.sum("size")).first()[0] or 0) * 16 + held.count() * 32 <= BROADCAST_BYTES
+    held = F.broadcast(held) if small else held
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[int, np.ndarray] = {}
+            out: dict[int, bytes] = {}
             for text, mine in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 with np.errstate(over="ignore"):
                     h, _ = word_hashes(text.as_py())
-                    out.update((x["key"], shingle_hashes(h[x["start"] : x["start"] + x["n"]], shingle)) for x in mine)
+                    for x in mine:
+                        out[x["key"]] = shingle_hashes(h[x["start"] : x["start"] + x["n"]], shingle).astype("<u4").tobytes()
             if out:
-                yield batch(out)
+                yield pa.record_batch([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["key", "grams"])
 
-    return texts.dropDuplicates(["uid"]).join(held, "uid").select("text", "lines").mapInArrow(read, "key long, grams binary").dropDuplicates(["key"])
+    rows = _texts(docs, id_col, text_col).join(held, "uid").select("text", "lines")
+    return rows.mapInArrow(read, "key long, grams binary").dropDuplicates(["key"])
 
 
 def open_windows(h: np.ndarray, starts: np.ndarray, stops: np.ndarray, told: np.ndarray, size: int) -> np.ndarray:
@@ -434,21 +406,49 @@ def _line_edges(similarity: float):
     return run
 
 
+def _pair_edges(similarity: float):
+    """Pairs (a, b, ga, gb) to those whose sets reach the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
+                least, most = min(len(x), len(y)), max(len(x), len(y))
+                shared = 0
+                if least >= similarity * most:
+                    both = np.sort(np.concatenate([x, y]), kind="stable")
+                    shared = int((both[1:] == both[:-1]).sum())
+                good.append(shared >= similarity * (least + most - shared) - 1e-9)
+            yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
 def _classed(docs: DataFrame, id_col: str, text_col: str, lines: DataFrame, spans: DataFrame | None, similarity: float, shingle: int, cap: int) -> DataFrame:
-    """(uid, d, start, n, component_id) of lines (uid, d, start, n, key, bands) and spans (the same, with grams)."""
+    """(uid, d, start, n, component_id) of lines (uid, d, start, n, key, bands) and spans (the same, with grams).
+
+    Most bands that are shared at all are shared by two paragraphs: such pairs are verified once, however many bands they
+    share; bands of more members are dealt in blocks.
+    """
     spark = docs.sparkSession
     cols = ["uid", "d", "start", "n", "key"]
     every = lines.select(*cols, "bands") if spans is None else lines.select(*cols, "bands").unionByName(spans.select(*cols, "bands"))
     banded = every.where(F.size("bands") > 0).select("key", "bands").dropDuplicates(["key"]).select("key", F.explode("bands").alias("band"))
-    dealt = runtime.staged(buckets.block_pairs(banded, "band", "key", cap), "line-buckets")
-    met = runtime.staged(dealt.select("key").distinct(), "lines-met")
+    shared = runtime.staged(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).where("n > 1"), "bands-shared")
+    pairs = runtime.staged(shared.where("n = 2").select("a", "b").distinct(), "line-pairs")
+    many = banded.join(_hint(shared.where("n > 2").select("band"), 16), "band")
+    dealt = runtime.staged(buckets.block_pairs(many, "band", "key", cap), "line-buckets")
+    met = runtime.staged(dealt.select("key").unionByName(pairs.select(F.col("a").alias("key"))).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "lines-met")
     grams = line_shingles(docs, id_col, text_col, lines, met, shingle)
     if spans is not None:
-        grams = grams.unionByName(spans.select("key", "grams").join(met, "key", "left_semi")).dropDuplicates(["key"])
+        grams = grams.unionByName(spans.select("key", "grams").join(_hint(met, 16), "key", "left_semi")).dropDuplicates(["key"])
     payload = runtime.staged(grams, "line-shingles")
+    two = pairs.join(payload.select(F.col("key").alias("a"), F.col("grams").alias("ga")), "a").join(payload.select(F.col("key").alias("b"), F.col("grams").alias("gb")), "b")
+    edges = two.select("a", "b", "ga", "gb").mapInArrow(_pair_edges(similarity), "a long, b long")
     sets = dealt.join(payload, "key").select("band", "blk_a", "blk_b", "key", "grams")
     n = runtime.partitions(spark)
-    edges = sets.repartition(n, "band", "blk_a", "blk_b").sortWithinPartitions("band", "blk_a", "blk_b").mapInArrow(_line_edges(similarity), "a long, b long")
+    edges = edges.unionByName(sets.repartition(n, "band", "blk_a", "blk_b").sortWithinPartitions("band", "blk_a", "blk_b").mapInArrow(_line_edges(similarity), "a long, b long"))
     comp = runtime.cut(buckets.components(edges).where("node != component").select(F.col("node").alias("key"), "component"))
     return every.select(*cols).join(comp, "key", "left").select("uid", "d", "start", "n", F.coalesce("component", "key").alias("component_id"))
 
