@@ -42,19 +42,32 @@ def match(gt: DataFrame, pred: DataFrame, thresholds: Sequence[float] = (0.5,))
     return out.select("image_id", "label", "thr", F.col("x.ps.o").alias("pred_id"), F.col("x.ps.b.conf").alias("conf"), F.col("x.got").alias("gt_id"))
 
 
-def average_precision(matched: DataFrame, gt: DataFrame) -> DataFrame:
-    """thr, label, n_gt, n_pred, ap: all-point average precision, rounded to four digits, of truth and predicted classes alike."""
+def average_precision(matched: DataFrame, gt: DataFrame, parts: int = 1024) -> DataFrame:
+    """thr, label, n_gt, n_pred, ap: all-point average precision, rounded to four digits, of truth and predicted classes alike.
+
+    The predictions of a class are cut in ``parts`` ranges of confidence. Ranks, hits and the precision envelope are windows
+    inside a range plus what the ranges before it counted, and the best precision of the ranges after it, so a class of any
+    number of predictions is many tasks' work.
+    """
     n_gt = gt.groupBy("label").agg(F.count(F.lit(1)).alias("n_gt"))
-    order = Window.partitionBy("thr", "label").orderBy(F.desc("conf"), "image_id", "pred_id").rowsBetween(Window.unboundedPreceding, 0)
-    tp = F.sum(F.col("gt_id").isNotNull().cast("int")).over(order)
-    pts = matched.join(n_gt, "label", "left").withColumn("n_gt", F.coalesce("n_gt", F.lit(0)))
-    pts = pts.withColumn("rn", F.count(F.lit(1)).over(order)).withColumn("tp", tp)
-    pts = pts.withColumn("recall", F.when(F.col("n_gt") > 0, F.col("tp") / F.col("n_gt")).otherwise(F.lit(0.0))).withColumn("precision", F.col("tp") / F.col("rn"))
-    back = Window.partitionBy("thr", "label").orderBy("rn")
-    # the envelope runs from the right: a growing frame over the reversed order, linear where a shrinking one is quadratic
-    right = Window.partitionBy("thr", "label").orderBy(F.desc("rn")).rowsBetween(Window.unboundedPreceding, 0)
-    pts = pts.withColumn("env", F.max("precision").over(right)).withColumn("step", F.col("recall") - F.lag("recall", 1, 0.0).over(back))
-    ap = pts.groupBy("thr", "label").agg(F.round(F.sum(F.col("env") * F.col("step")), 4).alias("ap"), F.count(F.lit(1)).alias("n_pred"))
+    part = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.coalesce("conf", F.lit(0.0)))) * parts).alias("part")
+    key = ["thr", "label", "part"]
+    pts = matched.select("thr", "label", part, "conf", "image_id", "pred_id", F.col("gt_id").isNotNull().cast("int").alias("hit"))
+    order = Window.partitionBy(*key).orderBy(F.desc("conf"), "image_id", "pred_id").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = Window.partitionBy("thr", "label").orderBy("part")
+    before = ranges.rowsBetween(Window.unboundedPreceding, -1)
+    counts = pts.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"))
+    counts = counts.select(*key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("hits").over(before), F.lit(0)).alias("tp0"))
+    pts = pts.select(*key, "hit", F.count(F.lit(1)).over(order).alias("rn"), F.sum("hit").over(order).alias("tp"))
+    pts = pts.join(counts, key).select(*key, "hit", (F.col("rn") + F.col("n0")).alias("rn"), (F.col("tp") + F.col("tp0")).alias("tp"))
+    pts = pts.withColumn("precision", F.col("tp") / F.col("rn"))
+    right = Window.partitionBy(*key).orderBy(F.desc("rn")).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("thr", "label").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    best = pts.groupBy(*key).agg(F.max("precision").alias("best")).select(*key, F.max("best").over(after).alias("later"))
+    pts = pts.withColumn("env", F.max("precision").over(right)).join(best, key).join(n_gt, "label", "left")
+    # recall moves at hits only, by one truth
+    step = F.when(F.col("n_gt") > 0, F.col("tp") / F.col("n_gt") - (F.col("tp") - F.col("hit")) / F.col("n_gt")).otherwise(F.lit(0.0))
+    ap = pts.groupBy("thr", "label").agg(F.round(F.sum(F.greatest("env", F.coalesce("later", F.lit(0.0))) * step), 4).alias("ap"), F.count(F.lit(1)).alias("n_pred"))
     grid = n_gt.join(F.broadcast(matched.select("thr").distinct()))
     full = grid.join(ap, ["thr", "label"], "full_outer")
     return full.select("thr", "label", F.coalesce("n_gt", F.lit(0)).alias("n_gt"), F.coalesce("n_pred", F.lit(0)).alias("n_pred"), F.coalesce("ap", F.lit(0.0)).alias("ap"))
