@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from . import buckets, runtime
 
+_staged = functools.partial(runtime.staged, tidy=True)
 NO_ID = (1 << 63) - 1
 BROADCAST_BYTES = 16 << 20
 EDGES = b".,;:!?\"'()[]{}<>*$#%&|_-"
@@ -248,7 +249,7 @@ def line_shingles(docs: DataFrame, id_col: str, text_col: str, lines: DataFrame,
     """
     runtime.ship(docs.sparkSession)
     one = lines.join(_hint(met, 16), "key", "left_semi").groupBy("key").agg(F.min(F.struct("uid", "start", "n")).alias("x"))
-    held = runtime.staged(one.groupBy("x.uid").agg(F.collect_list(F.struct("x.start", "x.n", "key")).alias("lines"), F.count(F.lit(1)).alias("size")), "line-rows")
+    held = _staged(one.groupBy("x.uid").agg(F.collect_list(F.struct("x.start", "x.n", "key")).alias("lines"), F.count(F.lit(1)).alias("size")), "line-rows")
     small = (held.agg(F.sum("size")).first()[0] or 0) * 16 + held.count() * 32 <= BROADCAST_BYTES
     held = F.broadcast(held) if small else held
 
@@ -435,15 +436,15 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, lines: DataFrame, span
     cols = ["uid", "d", "start", "n", "key"]
     every = lines.select(*cols, "bands") if spans is None else lines.select(*cols, "bands").unionByName(spans.select(*cols, "bands"))
     banded = every.where(F.size("bands") > 0).select("key", "bands").dropDuplicates(["key"]).select("key", F.explode("bands").alias("band"))
-    shared = runtime.staged(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).where("n > 1"), "bands-shared")
-    pairs = runtime.staged(shared.where("n = 2").select("a", "b").distinct(), "line-pairs")
+    shared = _staged(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).where("n > 1"), "bands-shared")
+    pairs = _staged(shared.where("n = 2").select("a", "b").distinct(), "line-pairs")
     many = banded.join(_hint(shared.where("n > 2").select("band"), 16), "band")
-    dealt = runtime.staged(buckets.block_pairs(many, "band", "key", cap), "line-buckets")
-    met = runtime.staged(dealt.select("key").unionByName(pairs.select(F.col("a").alias("key"))).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "lines-met")
+    dealt = _staged(buckets.block_pairs(many, "band", "key", cap), "line-buckets")
+    met = _staged(dealt.select("key").unionByName(pairs.select(F.col("a").alias("key"))).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "lines-met")
     grams = line_shingles(docs, id_col, text_col, lines, met, shingle)
     if spans is not None:
         grams = grams.unionByName(spans.select("key", "grams").join(_hint(met, 16), "key", "left_semi")).dropDuplicates(["key"])
-    payload = runtime.staged(grams, "line-shingles")
+    payload = _staged(grams, "line-shingles")
     two = pairs.join(payload.select(F.col("key").alias("a"), F.col("grams").alias("ga")), "a").join(payload.select(F.col("key").alias("b"), F.col("grams").alias("gb")), "b")
     edges = two.select("a", "b", "ga", "gb").mapInArrow(_pair_edges(similarity), "a long, b long")
     sets = dealt.join(payload, "key").select("band", "blk_a", "blk_b", "key", "grams")
@@ -455,7 +456,7 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, lines: DataFrame, span
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, recall: float = 0.99, shingle: int = 5, rows: int = 3, cap: int = 1024) -> DataFrame:
     """doc_id, first_word, n_words, component_id of every line with a word: lines of one class are linked by similarity."""
-    found = runtime.staged(units(docs, id_col, text_col, 1, similarity, shingle, bands_for(rows, similarity, recall), rows, cut=False), "lines")
+    found = _staged(units(docs, id_col, text_col, 1, similarity, shingle, bands_for(rows, similarity, recall), rows, cut=False), "lines")
     return _classed(docs, id_col, text_col, found, None, similarity, shingle, cap).select(F.expr(f"nullif(d, {NO_ID}L)").alias("doc_id"), F.col("start").alias("first_word"), F.col("n").alias("n_words"), "component_id")
 
 
@@ -469,24 +470,30 @@ def repeated(
     passage_n_words place the passage it belongs to. A document none of whose passages repeats has no row.
     """
     bands = bands_for(rows, similarity, recall)
-    found = runtime.staged(units(docs, id_col, text_col, min_words, similarity, shingle, bands, rows), "paragraphs")
+    found = _staged(units(docs, id_col, text_col, min_words, similarity, shingle, bands, rows), "paragraphs")
     short = found.where("not is_line").select("uid", "d", "start", "n", "key", "chain", "reach")
-    classes = runtime.staged(_across(short, "key"), "short-classes")
-    near = runtime.staged(short.join(classes, "key").withColumnRenamed("key", "component_id"), "shorts")
+    spark, point = docs.sparkSession, runtime.mark()
+    classes = _staged(_across(short, "key"), "short-classes")
+    near = _staged(short.join(classes, "key").withColumnRenamed("key", "component_id"), "shorts")
+    runtime.drop_since(spark, point)
     shorts = near.select("uid", "d", "start", "n", "component_id", "lo")
 
     # sequences of min_words words around repeated paragraphs: a chain that repeats as it is tells of all of its own, and its
     # least document alone opens them, for texts that share less than the chain; all others are opened one by one
-    chains = runtime.staged(_across(near, "chain").withColumnRenamed("lo", "teller"), "chains")
+    point = runtime.mark()
+    chains = _staged(_across(near, "chain").withColumnRenamed("lo", "teller"), "chains")
     near = near.join(chains, "chain", "left").select("uid", "start", "n", "reach", F.col("teller").isNotNull().alias("known"), F.coalesce(F.col("teller") != F.col("d"), F.lit(False)).alias("told"))
-    near = runtime.staged(near, "shorts-chained")
+    near = _staged(near, "shorts-chained")
+    runtime.drop_since(spark, point)
     held = near.groupBy("uid").agg(F.collect_set(F.struct("start", "n", "told")).alias("near")).where(F.exists("near", lambda x: ~x["told"]))
-    opened = runtime.staged(windows(_texts(docs, id_col, text_col).join(held, "uid").select("uid", "d", "text", "near"), min_words, shingle, bands, rows), "windows")
+    opened = _staged(windows(_texts(docs, id_col, text_col).join(held, "uid").select("uid", "d", "text", "near"), min_words, shingle, bands, rows), "windows")
     spans, opened = opened.where("bands is not null"), opened.where("bands is null")
-    shared = opened.join(runtime.staged(_across(opened, "key").select("key"), "windows-shared"), "key").select("uid", F.col("start").alias("first"), (F.col("start") + min_words).alias("end"))
+    shared = opened.join(_staged(_across(opened, "key").select("key"), "windows-shared"), "key").select("uid", F.col("start").alias("first"), (F.col("start") + min_words).alias("end"))
     shared = shared.unionByName(near.where(F.col("known") & (F.col("reach") >= min_words)).select("uid", F.col("start").alias("first"), (F.col("start") + F.col("reach")).alias("end")))
 
-    classed = runtime.staged(_classed(docs, id_col, text_col, found.where("is_line"), spans, similarity, shingle, cap), "lines-classed")
+    point = runtime.mark()
+    classed = _staged(_classed(docs, id_col, text_col, found.where("is_line"), spans, similarity, shingle, cap), "lines-classed")
+    runtime.drop_since(spark, point)
     spans = runtime.cut(classed.groupBy("component_id").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("component_id", "lo"))
     longs = classed.join(spans, "component_id").select("uid", "d", "start", "n", "component_id", "lo")
 

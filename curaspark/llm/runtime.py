@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import runtime as package
 
 BATCH_ROWS, _BATCH = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -52,27 +53,46 @@ def sweep(spark: SparkSession) -> None:
     _made.clear()
 
 
+def mark() -> int:
+    """A point in the order of staged tables, for ``drop_since``."""
+    return len(_made)
+
+
+def drop_since(spark: SparkSession, point: int) -> None:
+    """Delete the tables staged since a point but the last, which was made from them."""
+    for folder in _made[point:-1]:
+        _delete(spark, folder)
+    del _made[point:-1]
+
+
 def staged_last(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Stage the outcome of a step and delete all tables staged on the way to it, its own input among them.
 
     What remains is the outcome alone, as files, so nothing that is left needs them.
     """
     out = staged(df, name)
-    for folder in _made[:-1]:
-        _delete(spark, folder)
-    del _made[:-1]
+    drop_since(spark, 0)
     return out
 
 
-def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
+def staged(df: DataFrame, name: str, tidy: bool = False, **options: str) -> DataFrame:
     """Write a table to the shared folder and read it back: what follows never recomputes it, whichever executors are lost.
 
-    Staged tables stay until ``staged_last`` or ``sweep``, as the frames returned read them.
+    With ``tidy`` the shuffle files of the write are deleted as soon as it has ended, as nothing reads them any more, instead
+    of whenever the driver's garbage collector finds them. Staged tables stay until ``staged_last`` or ``sweep``, as the
+    frames returned read them.
     """
     spark = df.sparkSession
     path = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.options(**options).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    try:
+        if tidy:
+            spark.conf.set(_CLEANUP, "true")
+        df.write.options(**options).parquet(path)
+    finally:
+        if tidy:
+            spark.conf.set(_CLEANUP, before)
     _made.append(path)
     return spark.read.schema(schema).parquet(path)
 
