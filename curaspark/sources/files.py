@@ -17,7 +17,7 @@ DISK_KEY, QUEUE_TAG = "vix_hash", "vixq:"
 
 BOX = T.ArrayType(T.DoubleType())
 EVAL = T.StructType([T.StructField(DISK_KEY, T.StringType()), T.StructField("gt", T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("bbox", BOX)]))), T.StructField("pred", T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("bbox", BOX), T.StructField("conf", T.DoubleType())])))])
-MANIFEST = T.StructType([T.StructField(c, T.StringType()) for c in (DISK_KEY, "src_path", "batch_id", "ingested_at", "label_version")] + [T.StructField("tags", T.ArrayType(T.StringType()))])
+MANIFEST = T.StructType([T.StructField(c, T.StringType()) for c in ("image_hash", "src_path", "batch_id", "ingested_at", "label_version")] + [T.StructField("tags", T.ArrayType(T.StringType()))])
 LEDGER = f"ts_utc string, event string, {DISK_KEY} string, batch_id string, reviewer_id string, decision string, scores map<string, double>, thr_version string, extra string, prev_hash string, entry_hash string"
 
 
@@ -68,7 +68,8 @@ def ingest(images: DataFrame, manifest: DataFrame, batch_id: str, label_version:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).json(path).withColumnRenamed(DISK_KEY, "image_hash")
+    on_disk = T.StructType([T.StructField(DISK_KEY if f.name == "image_hash" else f.name, f.dataType) for f in MANIFEST])
+    return spark.read.schema(on_disk).json(path).withColumnRenamed(DISK_KEY, "image_hash")
 
 
 def append_manifest(entries: DataFrame, path: str, existing: DataFrame | None = None) -> None:
