@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -22,6 +23,7 @@ from . import graph
 
 BROADCAST_BYTES = 64 << 20
 BLOCK = 2048
+WIDE_BLOCK, LEAST_BLOCK = 8192, 512
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -245,6 +247,117 @@ def similar_pairs(items: DataFrame, min_sim: float, block: int = BLOCK) -> DataF
     return _block_pairs(items, block).mapInArrow(run, f"a {kind}, b {kind}, sim double")
 
 
+def _near_blocks(items: DataFrame, max_distance: float, block: int, bits: int, seed: int) -> DataFrame:
+    """Pairs of blocks that may hold pairs at cosine distance < ``max_distance``, each once: ids, m, dim, rids, rm, same.
+
+    Rows are dealt in order of a random-hyperplane signature, so near vectors share blocks and a hot signature is cut in many.
+    Vectors at distance < D are nearer than sqrt(2 D) to one another; two blocks whose centres are farther apart than that and
+    both radii can't hold such a pair. Nothing else is left out.
+    """
+    known = items.where(F.col("embedding").isNotNull() & F.col("id").isNotNull()).select("id", F.col("embedding").cast("array<double>").alias("e"))
+    kind = known.schema["id"].dataType.simpleString()
+    n, width = known.agg(F.count(F.lit(1)), F.max(F.size("e"))).first()
+    planes = np.random.RandomState(seed).randn(bits, width or 1)
+
+    @F.pandas_udf("long")
+    def signature(v: pd.Series) -> pd.Series:
+        side = np.array(v.tolist(), float).reshape(len(v), -1) @ planes.T >= 0 if len(v) else np.zeros((0, bits), bool)
+        return pd.Series((side << np.arange(bits)).sum(axis=1))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, block):
+                part = b.slice(at, block)
+                m = _matrix(part.column(1))
+                centre = m.mean(axis=0)
+                radius = np.sqrt(((m - centre) ** 2).sum(axis=1).max())
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (part.column(0), pa.array(centre))]
+                yield pa.record_batch([lists[0], pa.array([m.tobytes()], pa.binary()), pa.array([m.shape[1]], pa.int32()), lists[1], pa.array([radius])], names=["ids", "m", "dim", "centre", "radius"])
+
+    least = min(block, max(LEAST_BLOCK, -(-n // 16)))
+    dealt = known.withColumn("sig", signature("e")).repartitionByRange(max(1, -(-n // least)), "sig", "id").select("id", "e")
+    blocks = graph.cut(dealt.mapInArrow(pack, f"ids array<{kind}>, m binary, dim int, centre array<double>, radius double")).withColumn("at", F.monotonically_increasing_id())
+    head = blocks.select("at", "centre", "radius")
+    gap = F.sqrt(F.aggregate(F.zip_with("centre", "rcentre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)) - F.col("radius") - F.col("rradius")
+    may = F.isnan(gap) | (gap < float(np.sqrt(2 * max(0.0, max_distance))) + 1e-9)
+    pairs = head.join(head.toDF("rat", "rcentre", "rradius"), F.col("at") <= F.col("rat")).where(may)
+    flip = F.pmod(F.xxhash64("at", "rat"), F.lit(2)) == 1  # so that no block is the right one of all its pairs
+    pairs = graph.cut(pairs.select(F.when(flip, F.col("rat")).otherwise(F.col("at")).alias("at"), F.when(flip, F.col("at")).otherwise(F.col("rat")).alias("rat")))
+    right = blocks.select(F.col("at").alias("rat"), F.col("ids").alias("rids"), F.col("m").alias("rm"))
+    return pairs.join(blocks.select("at", "ids", "m", "dim"), "at").join(right, "rat").select("ids", "m", "dim", "rids", "rm", (F.col("at") == F.col("rat")).alias("same"))
+
+
+def _within(batch: pa.RecordBatch, k: int, max_distance: float, tile: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, columns, distances) of the pairs of the k-th pair of blocks that are near and differ in id, a tile at a time."""
+    width = batch.column(2)[k].as_py()
+    x, y = _block_of(batch, k, 1, width), _block_of(batch, k, 4, width)
+    own, other = _codes(_rows_of(batch, k, 0), _rows_of(batch, k, 3))
+    for p in range(0, len(x), tile):
+        for q in range(0, len(y), tile):
+            s = x[p : p + tile] @ y[q : q + tile].T
+            i, j = np.nonzero(s > 1.0 - max_distance - 1e-9)
+            d = 1.0 - s[i, j]
+            i, j = i + p, j + q
+            near = (d < max_distance) & (own[i] != other[j])
+            yield i[near], j[near], d[near]
+
+
+def _merge(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the trees of rows i and j; each row points at its tree's first row."""
+    while True:
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+def near_links(items: DataFrame, max_distance: float, block: int = WIDE_BLOCK, bits: int = 16, seed: int = 0) -> DataFrame:
+    """a, b, n: rows whose ``n`` add up to a's number of items at distance < ``max_distance``; edges (a, b) connect what those connect.
+
+    Each pair of blocks reports a row an item at most, so dense groups of copies never become all their pairs.
+    """
+    runtime.ship(items.sparkSession)
+    kind = items.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, same in enumerate(b.column(5).to_pylist()):
+                ids = _rows_of(b, k, 0)
+                shift = 0 if same else len(ids)
+                ids = ids if same else pa.concat_arrays([ids, _rows_of(b, k, 3)])
+                n, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+                for i, j, _ in _within(b, k, max_distance):
+                    n += np.bincount(i, minlength=len(ids))
+                    if not same:
+                        n += np.bincount(j + shift, minlength=len(ids))
+                    _merge(root, i, j + shift)
+                some = np.flatnonzero(n)
+                yield pa.record_batch([ids.take(pa.array(some)), ids.take(pa.array(root[some])), pa.array(n[some])], names=["a", "b", "n"])
+
+    return _near_blocks(items, max_distance, block, bits, seed).mapInArrow(run, f"a {kind}, b {kind}, n long")
+
+
+def near_pairs(items: DataFrame, max_distance: float, block: int = WIDE_BLOCK, bits: int = 16, seed: int = 0) -> DataFrame:
+    """a, b, distance of all pairs a < b at distance < ``max_distance``: as many rows as there are pairs."""
+    runtime.ship(items.sparkSession)
+    kind = items.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, same in enumerate(b.column(5).to_pylist()):
+                for i, j, d in _within(b, k, max_distance):
+                    p, q = _rows_of(b, k, 0).take(pa.array(i)), _rows_of(b, k, 3).take(pa.array(j))
+                    less = pc.less(p, q)
+                    found = pa.record_batch([pc.if_else(less, p, q), pc.if_else(less, q, p), pa.array(d)], names=["a", "b", "distance"])
+                    yield found.filter(less) if same else found
+
+    return _near_blocks(items, max_distance, block, bits, seed).mapInArrow(run, f"a {kind}, b {kind}, distance double")
+
+
 def centroids(items: DataFrame, by: list[str], normalise_first: bool = False) -> DataFrame:
     """by..., centroid: l2 of the mean of raw (or normalised) vectors."""
     v = C.l2(F.col("embedding")) if normalise_first else F.col("embedding")

@@ -101,6 +101,7 @@ def comps(where: str, distance: float, name: str = "comp", source: str = "items"
 
 DUP = comps("true", 0.55)
 add("dedup_groups", "select id, group_id from comp", ITEMS, DUP)
+add("lsh_links", "select i.id, coalesce(c.group_id, i.id) class_id, (select count(*) from comp_e e where e.a = i.id) links from items i left join comp c on c.id = i.id", ITEMS, DUP)
 add("dedup_conflicts", "select group_id, count(*) n, count(distinct label) n_labels from comp join items using (id) group by group_id having count(distinct label) > 1", ITEMS, DUP)
 add("split_leakage", "select group_id, count(*) n, array_to_string(list_sort(list_distinct(list(split))), ',') splits from comp join items using (id) group by group_id having count(distinct split) > 1", ITEMS, DUP)
 add("new_classes", """select n.id, round(n.distance, 6) distance, coalesce(c.group_id, n.id) as cluster, count(*) over (partition by coalesce(c.group_id, n.id)) as size,

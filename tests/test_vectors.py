@@ -105,6 +105,35 @@ def test_dense_groups_stay_small(spark):
     assert dedup.groups(df).first().n == 300
 
 
+def test_signature_join_loses_no_link(spark):
+    r = np.random.default_rng(0)
+    m = np.concatenate([r.normal(size=(200, 8)), np.repeat(r.normal(size=(2, 8)), 40, axis=0), np.zeros((1, 8))])
+    df = spark.createDataFrame([(i, "a", v.tolist()) for i, v in enumerate(m)] + [(999, "a", None)], "id long, label string, embedding array<double>")
+    u = m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-12)
+    for radius, block in ((0.4, 32), (0.02, 16), (0.4, 4096)):
+        near = (1 - u @ u.T < radius) & ~np.eye(len(u), dtype=bool)
+        pairs = vectors.near_pairs(df, radius, block=block).collect()
+        assert sorted((p.a, p.b) for p in pairs) == sorted((i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True) if i < j)
+        edges = vectors.near_links(df, radius, block=block)
+        n = {x.a: x.n for x in edges.groupBy("a").sum("n").toDF("a", "n").collect()}
+        assert n == {i: int(k) for i, k in enumerate(near.sum(axis=1)) if k}
+    assert {(p.a, p.b) for p in dedup.lsh_links(df, 0.4).collect()} == {(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True) if i < j}
+    reach = np.eye(len(u), dtype=bool) | near
+    for _ in range(9):
+        reach = reach @ reach
+    want = {i: (int(np.argmax(row)), int(k)) for i, (row, k) in enumerate(zip(reach, near.sum(axis=1), strict=True))} | {999: (999, 0)}
+    assert {x.id: (x.class_id, x.links) for x in dedup.lsh_classes(df, 0.4).collect()} == want
+    assert dedup.lsh_classes(df.limit(0)).collect() == [] and dedup.lsh_classes(df.where("id = 3")).collect() == [(3, 3, 0)]
+
+
+def test_far_blocks_are_passed_over(spark):
+    r = np.random.default_rng(1)
+    m = np.concatenate([c + r.normal(0, 0.01, (64, 6)) for c in np.eye(6)])
+    df = spark.createDataFrame([(i, "a", v.tolist()) for i, v in enumerate(m)], "id long, label string, embedding array<double>")
+    assert vectors._near_blocks(df, 0.05, 16, 16, 0).count() < 24 * 25 // 2
+    assert dedup.lsh_classes(df).groupBy("class_id").count().count() == 6
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(99, 98)], "a long, b long")
     got = {r.node: r.component for r in graph.components(e).collect()}
