@@ -275,7 +275,8 @@ def _near_blocks(items: DataFrame, max_distance: float, block: int, bits: int, s
                 yield pa.record_batch([lists[0], pa.array([m.tobytes()], pa.binary()), pa.array([m.shape[1]], pa.int32()), lists[1], pa.array([radius])], names=["ids", "m", "dim", "centre", "radius"])
 
     least = min(block, max(LEAST_BLOCK, -(-n // 16)))
-    dealt = known.withColumn("sig", signature("e")).repartitionByRange(max(1, -(-n // least)), "sig", "id").select("id", "e")
+    parts = max(1, -(-n // least))
+    dealt = known.withColumn("sig", signature("e")).repartitionByRange(parts, "sig", "id").select("id", "e").coalesce(parts)  # no more blocks than these, however many partitions there are
     blocks = graph.cut(dealt.mapInArrow(pack, f"ids array<{kind}>, m binary, dim int, centre array<double>, radius double")).withColumn("at", F.monotonically_increasing_id())
     head = blocks.select("at", "centre", "radius")
     gap = F.sqrt(F.aggregate(F.zip_with("centre", "rcentre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)) - F.col("radius") - F.col("rradius")
@@ -302,19 +303,6 @@ def _within(batch: pa.RecordBatch, k: int, max_distance: float, tile: int = 1024
             yield i[near], j[near], d[near]
 
 
-def _merge(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Join the trees of rows i and j; each row points at its tree's first row."""
-    while True:
-        a, b = root[i], root[j]
-        apart = a != b
-        if not apart.any():
-            return
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while (root[root] != root).any():
-            root[:] = root[root]
-
-
 def near_links(items: DataFrame, max_distance: float, block: int = WIDE_BLOCK, bits: int = 16, seed: int = 0) -> DataFrame:
     """a, b, n: rows whose ``n`` add up to a's number of items at distance < ``max_distance``; edges (a, b) connect what those connect.
 
@@ -334,7 +322,7 @@ def near_links(items: DataFrame, max_distance: float, block: int = WIDE_BLOCK, b
                     n += np.bincount(i, minlength=len(ids))
                     if not same:
                         n += np.bincount(j + shift, minlength=len(ids))
-                    _merge(root, i, j + shift)
+                    graph.merge(root, i, j + shift)
                 some = np.flatnonzero(n)
                 yield pa.record_batch([ids.take(pa.array(some)), ids.take(pa.array(root[some])), pa.array(n[some])], names=["a", "b", "n"])
 

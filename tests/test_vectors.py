@@ -122,7 +122,8 @@ def test_signature_join_loses_no_link(spark):
     for _ in range(9):
         reach = reach @ reach
     want = {i: (int(np.argmax(row)), int(k)) for i, (row, k) in enumerate(zip(reach, near.sum(axis=1), strict=True))} | {999: (999, 0)}
-    assert {x.id: (x.class_id, x.links) for x in dedup.lsh_classes(df, 0.4).collect()} == want
+    for edges in (0, 1 << 21):  # classes in rounds, or in one task
+        assert {x.id: (x.class_id, x.links) for x in dedup.lsh_classes(df, 0.4, one_task=edges).collect()} == want
     assert dedup.lsh_classes(df.limit(0)).collect() == [] and dedup.lsh_classes(df.where("id = 3")).collect() == [(3, 3, 0)]
 
 
@@ -138,6 +139,7 @@ def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(99, 98)], "a long, b long")
     got = {r.node: r.component for r in graph.components(e).collect()}
     assert got == {**dict.fromkeys(range(31), 0), 98: 98, 99: 98}
+    assert {r.node: r.component for r in graph.components_in_one(e).collect()} == got and graph.components_in_one(e.limit(0)).collect() == []
 
 
 def test_new_classes(spark):
