@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,54 +42,20 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash without marks at its edges, bounded by clearing."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.strip(EDGES) or word)
-        return h
-
-
-_hashes = WordHashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(text: bytes | None) -> tuple[np.ndarray, list[int]]:
-    """Hashes of a text's words, and where its lines end."""
-    text = (text or b"").lower()
-    words, ends = [], []
-    for line in text.split(b"\n"):
-        words += line.split()
-        ends.append(len(words))
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)), ends
-
+def _byte_codes() -> np.ndarray:
+    codes = np.random.default_rng(12).integers(1, 1 << 64, 256, dtype=np.uint64)
+    codes[ord("A") : ord("Z") + 1] = codes[ord("a") : ord("z") + 1]
+    return codes
 
-def cuts(h: np.ndarray, reach: int = 4, most: int = 24) -> np.ndarray:
-    """Where short paragraphs begin: the pair of words there hashes below all pairs within ``reach`` on either side.
 
-    A stretch of over ``most`` words without such a place, as one word said over and over is, is cut every ``most`` / 2 words.
-    """
-    if len(h) < 2 * reach + 2:
-        own = np.zeros(0, np.int64)
-    else:
-        g = _mix(h[:-1] * BASE + h[1:])
-        keep = np.ones(len(g) - 2 * reach, bool)
-        mid = g[reach : len(g) - reach]
-        for k in range(1, reach + 1):
-            keep &= (mid < g[reach - k : len(g) - reach - k]) & (mid < g[reach + k : len(g) - reach + k])
-        own = np.flatnonzero(keep) + reach
-    at = np.concatenate([[0], own, [len(h)]])
-    long = np.flatnonzero(np.diff(at) > most)
-    if not most or not len(long):
-        return at
-    return np.unique(np.concatenate([at, *(np.arange(at[i], at[i + 1], most // 2) for i in long.tolist())]))
+CODES = _byte_codes()
+SPACE, EDGE = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\r\x0b\x0c", EDGES))
 
 
 _powers: list[np.ndarray] = []
@@ -108,6 +74,117 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of every range, n of them each."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
+def _byte_hashes(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """Hashes of the words raw[lo:hi], case apart: differences of polynomial prefix sums, over about ``most`` bytes at a time."""
+    out = np.empty(len(lo), np.uint64)
+    i = 0
+    while i < len(lo):
+        j = max(i + 1, int(np.searchsorted(hi, lo[i] + most)))
+        a, b = lo[i:j] - lo[i], hi[i:j] - lo[i]
+        n = int(b[-1])
+        power, back = _powers_to(n)
+        prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum(CODES[raw[lo[i] : lo[i] + n]] * power[:n], dtype=np.uint64, out=prefix[1:])
+        out[i:j] = _mix((prefix[b] - prefix[a]) * back[a] + (b - a).astype(np.uint64))
+        i = j
+    return out
+
+
+def word_stream(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(h, docs, lines) of texts that lie in a row in ``raw`` from bounds[i] to bounds[i + 1].
+
+    h has a 64-bit hash of each word, lower-cased and without marks at its edges; the words of text i are docs[i] to docs[i + 1],
+    and a line with a word begins at every place in ``lines``, which ends with the number of words.
+    """
+    space = SPACE[raw]
+    before, after = np.ones(len(raw), bool), np.ones(len(raw), bool)
+    before[1:], after[:-1] = space[:-1], space[1:]
+    some = np.diff(bounds) > 0
+    before[bounds[:-1][some]] = True
+    after[bounds[1:][some] - 1] = True
+    lo, hi = np.flatnonzero(before & ~space), np.flatnonzero(after & ~space) + 1
+    docs = np.searchsorted(lo, bounds)
+    begins = np.zeros(len(lo) + 1, bool)
+    begins[docs] = True
+    begins[np.searchsorted(lo, np.flatnonzero(raw == 10))] = True
+    begins[-1] = True
+    if len(lo):
+        # words lose the marks at their edges, but words of marks alone
+        edge = EDGE[raw]
+        kept = np.append(np.flatnonzero(~edge), len(raw))
+        first, last = lo.copy(), hi.copy()
+        at = np.flatnonzero(edge[lo])
+        first[at] = kept[np.searchsorted(kept, lo[at])]
+        marks = first >= hi
+        first[marks] = lo[marks]
+        at = np.flatnonzero(edge[hi - 1] & ~marks)
+        last[at] = kept[np.searchsorted(kept, hi[at]) - 1] + 1
+        h = _byte_hashes(raw, first, last)
+    else:
+        h = np.zeros(0, np.uint64)
+    return h, docs, np.flatnonzero(begins)
+
+
+def word_hashes(text: bytes | None) -> tuple[np.ndarray, list[int]]:
+    """Hashes of a text's words, and where its lines with a word end."""
+    raw = np.frombuffer(text or b"", np.uint8)
+    with np.errstate(over="ignore"):
+        h, _, lines = word_stream(raw, np.array([0, len(raw)]))
+    return h, lines[1:].tolist()
+
+
+def parts(batches: Iterator[pa.RecordBatch], column: int, rows: int = 256, most: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of batches with the word streams of a column of texts: at most so many rows, of about so many bytes."""
+    for b in batches:
+        texts = b.column(column)
+        sizes = np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False)).astype(np.int64)
+        past = np.cumsum(sizes)
+        k = 0
+        while k < b.num_rows:
+            end = min(k + rows, max(k + 1, int(np.searchsorted(past, past[k] - sizes[k] + most))), b.num_rows)
+            raw = np.frombuffer(b"".join(x.as_buffer() for x in texts.slice(k, end - k) if x.is_valid), np.uint8)
+            with np.errstate(over="ignore"):
+                stream = word_stream(raw, np.concatenate([[0], np.cumsum(sizes[k:end])]))
+            yield b.slice(k, end - k), *stream
+            k = end
+
+
+def own_cuts(h: np.ndarray, docs: np.ndarray, reach: int = 4) -> np.ndarray:
+    """Where short paragraphs begin by choice of the words: the pair of words there hashes below all pairs within ``reach`` on either side."""
+    if len(h) < 2 * reach + 2:
+        return np.zeros(0, np.int64)
+    g = _mix(h[:-1] * BASE + h[1:])
+    keep = np.ones(len(g) - 2 * reach, bool)
+    mid = g[reach : len(g) - reach]
+    for k in range(1, reach + 1):
+        keep &= mid < g[reach - k : len(g) - reach - k]
+        keep &= mid < g[reach + k : len(g) - reach + k]
+    own = np.flatnonzero(keep) + reach
+    # all pairs looked at must be of one text
+    text = np.searchsorted(docs, own, "right") - 1
+    return own[(own - docs[text] >= reach) & (docs[text + 1] - own >= reach + 2)]
+
+
+def cuts(h: np.ndarray, docs: np.ndarray | None = None, own: np.ndarray | None = None, most: int = 24) -> np.ndarray:
+    """Where short paragraphs begin, and the end: at a text's begin and at its ``own_cuts``.
+
+    A stretch of over ``most`` words without such a place, as one word said over and over is, is cut every ``most`` / 2 words.
+    """
+    docs = np.array([0, len(h)]) if docs is None else docs
+    at = np.union1d(docs, own_cuts(h, docs) if own is None else own)
+    if not most:
+        return at
+    long = np.flatnonzero(np.diff(at) > most)
+    n = -(-(at[long + 1] - at[long]) // (most // 2))
+    more = np.repeat(at[long], n) + _ranges(np.zeros(len(long), np.int64), n) * (most // 2)
+    return np.union1d(at, more)
+
+
 def span_keys(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of the word sequences from starts to ends: differences of a polynomial prefix sum, shifted back."""
     n = len(h)
@@ -168,9 +245,16 @@ def line_bands(h: np.ndarray, starts: np.ndarray, stops: np.ndarray, shingle: in
     if not len(starts):
         return np.zeros((0, bands), np.int64)
     n = stops - starts - shingle + 1
-    first = np.cumsum(n) - n
-    at = np.repeat(starts - first, n) + np.arange(int(n.sum()))
-    return bands_of(rolling_grams(h, shingle)[at], first, bands, rows)
+    return bands_of(rolling_grams(h, shingle)[_ranges(starts, n)], np.cumsum(n) - n, bands, rows)
+
+
+def shingle_sets(h: np.ndarray, starts: np.ndarray, stops: np.ndarray, shingle: int) -> list[bytes]:
+    """Distinct shingles, sorted, of parts of a word stream, each of at least ``shingle`` words."""
+    n = stops - starts - shingle + 1
+    grams = rolling_grams(h, shingle)[_ranges(starts, n)].astype(np.uint64)
+    keyed = np.unique(grams | np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(32))
+    ends = np.searchsorted(keyed, np.arange(1, len(n) + 1, dtype=np.uint64) << np.uint64(32))
+    return [x.tobytes() for x in np.split((keyed & np.uint64(0xFFFFFFFF)).astype("<u4"), ends[:-1])] if len(n) else []
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -196,43 +280,26 @@ def units(docs: DataFrame, id_col: str, text_col: str, min_words: int, similarit
     least = banded_from(similarity, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                cols: list[list] = [[] for _ in range(8)]
-                streams, at_word, line_from, line_to, places, base = [], 0, [], [], [], 0
-                with np.errstate(over="ignore"):
-                    for uid, d, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
-                        h, ends = word_hashes(text.as_py())
-                        if not len(h):
-                            continue
-                        ends = np.array(ends, np.int64)
-                        first = np.concatenate([[0], ends[:-1]])
-                        first, ends = first[ends > first], ends[ends > first]
-                        at = cuts(h)
-                        starts, stops = at[:-1], at[1:]
-                        good = (stops - starts >= 4) & cut
-                        starts, stops = np.concatenate([starts[good], first]), np.concatenate([stops[good], ends])
-                        is_line = np.arange(len(starts)) >= len(starts) - len(first)
-                        last = at[np.minimum(np.searchsorted(at, stops + min_words), len(at) - 1)]
-                        last[is_line] = stops[is_line]
-                        keys, chains = span_keys(h, np.concatenate([starts, starts]), np.concatenate([stops, last])).view(np.int64).reshape(2, -1)
-                        long = np.flatnonzero(ends - first >= least)
-                        streams.append(h)
-                        line_from.append(first[long] + at_word)
-                        line_to.append(ends[long] + at_word)
-                        places.append(long + base + len(starts) - len(first))
-                        at_word, base = at_word + len(h), base + len(starts)
-                        for c, x in zip(cols, (np.full(len(starts), uid), np.full(len(starts), d), is_line, starts.astype(np.int32), (stops - starts).astype(np.int32), keys, chains, (last - starts).astype(np.int32)), strict=True):
-                            c.append(x)
-                    if not cols[0]:
-                        continue
-                    # bands of all lines of the part at once
-                    found = line_bands(np.concatenate(streams), np.concatenate(line_from), np.concatenate(line_to), shingle, bands, rows)
-                size = np.zeros(base, np.int32)
-                size[np.concatenate(places)] = bands
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(found.reshape(-1)))
-                yield pa.record_batch([*(pa.array(np.concatenate(c)) for c in cols), lists], names=["uid", "d", "is_line", "start", "n", "key", "chain", "reach", "bands"])
+        for part, h, docs, edges in parts(batches, 2):
+            if not len(h):
+                continue
+            with np.errstate(over="ignore"):
+                at, first, ends = cuts(h, docs), edges[:-1], edges[1:]
+                good = (np.diff(at) >= 4) & cut
+                starts, stops = np.concatenate([at[:-1][good], first]), np.concatenate([at[1:][good], ends])
+                is_line = np.arange(len(starts)) >= len(starts) - len(first)
+                text = np.searchsorted(docs, starts, "right") - 1
+                last = np.minimum(at[np.minimum(np.searchsorted(at, stops + min_words), len(at) - 1)], docs[text + 1])
+                last[is_line] = stops[is_line]
+                keys, chains = span_keys(h, np.concatenate([starts, starts]), np.concatenate([stops, last])).view(np.int64).reshape(2, -1)
+                long = ends - first >= least
+                # bands of all lines of the part at once
+                found = line_bands(h, first[long], ends[long], shingle, bands, rows)
+            size = np.zeros(len(starts), np.int32)
+            size[len(starts) - len(first) :][long] = bands
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(found.reshape(-1)))
+            flat = (is_line, (starts - docs[text]).astype(np.int32), (stops - starts).astype(np.int32), keys, chains, (last - starts).astype(np.int32))
+            yield pa.record_batch([*(part.column(i).take(pa.array(text)) for i in (0, 1)), *map(pa.array, flat), lists], names=["uid", "d", "is_line", "start", "n", "key", "chain", "reach", "bands"])
 
     return _texts(docs, id_col, text_col).mapInArrow(run, "uid long, d long, is_line boolean, start int, n int, key long, chain long, reach int, bands array<long>")
 
@@ -254,55 +321,69 @@ def line_shingles(docs: DataFrame, id_col: str, text_col: str, lines: DataFrame,
     held = F.broadcast(held) if small else held
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: dict[int, bytes] = {}
-            for text, mine in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+        for part, h, docs, _ in parts(batches, 0):
+            mine, text = part.column(1).flatten(), pc.list_parent_indices(part.column(1)).to_numpy()
+            starts, n, key = (mine.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            starts = starts + docs[text]
+            if len(key):
                 with np.errstate(over="ignore"):
-                    h, _ = word_hashes(text.as_py())
-                    for x in mine:
-                        out[x["key"]] = shingle_hashes(h[x["start"] : x["start"] + x["n"]], shingle).astype("<u4").tobytes()
-            if out:
-                yield pa.record_batch([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["key", "grams"])
+                    yield pa.record_batch([pa.array(key), pa.array(shingle_sets(h, starts, starts + n, shingle), pa.binary())], names=["key", "grams"])
 
     rows = _texts(docs, id_col, text_col).join(held, "uid").select("text", "lines")
     return rows.mapInArrow(read, "key long, grams binary").dropDuplicates(["key"])
 
 
-def open_windows(h: np.ndarray, starts: np.ndarray, stops: np.ndarray, told: np.ndarray, size: int) -> np.ndarray:
+def open_windows(h: np.ndarray, docs: np.ndarray, starts: np.ndarray, stops: np.ndarray, told: np.ndarray, size: int) -> np.ndarray:
     """Where sequences of ``size`` words around repeated paragraphs begin, without those inside a chain that another row tells.
 
     A text shared with another document can reach beyond its whole paragraphs into the next one on either side, and past that
     one's cut by as many words as a cut looks at: four before it, six after. Cuts are those that words choose, as the others
-    may lie elsewhere in the other document.
+    may lie elsewhere in the other document. A sequence that holds all words that choose two cuts in a row has the same short
+    paragraphs between them wherever it stands, so one of them that doesn't repeat keeps it from being shared.
     """
-    at = cuts(h, most=0)
-    lo = at[np.maximum(np.searchsorted(at, starts) - 1, 0)] - 4
-    hi = at[np.minimum(np.searchsorted(at, stops, "right"), len(at) - 1)] + 6
-    inside = np.zeros(len(h) + 1, np.int64)
-    np.add.at(inside, np.maximum(lo, 0), 1)
-    np.add.at(inside, np.minimum(hi, len(h)), -1)
-    inside = np.cumsum(inside) > 0
+    n, own = len(h), own_cuts(h, docs)
+    at, every = cuts(h, docs, own, most=0), cuts(h, docs, own)
+    text = np.searchsorted(docs, starts, "right") - 1
+    lo = np.maximum(at[np.maximum(np.searchsorted(at, starts) - 1, 0)] - 4, docs[text])
+    hi = np.minimum(at[np.minimum(np.searchsorted(at, stops, "right"), len(at) - 1)] + 6, docs[text + 1])
+    inside = _covered(n, lo, hi)
     # a window's words are all inside: as many as its size since it began
-    full = np.concatenate([[0], np.cumsum(inside[:-1])])
-    ok = full[size:] - full[:-size] == size
-    for i, j in zip(starts[told].tolist(), stops[told].tolist(), strict=True):
-        ok[i : j + 1] = False
-    return np.flatnonzero(ok)
-
-
-def joined_spans(starts: np.ndarray, stops: np.ndarray, gap: int, least: int) -> list[tuple[int, int]]:
-    """Runs of repeated paragraphs joined over gaps of at most ``gap`` words, where there is a gap and ``least`` words are reached."""
-    order = np.argsort(starts)
-    out, lo, hi, open_ = [], -1, -1, False
-    for i, j in [*zip(starts[order].tolist(), stops[order].tolist(), strict=True), (1 << 62, 1 << 62)]:
-        if lo < 0 or i > hi + gap:
-            if open_ and hi - lo >= least:
-                out.append((lo, hi))
-            lo, hi, open_ = i, j, False
-        else:
-            open_ |= i > hi
-            hi = max(hi, j)
-    return out
+    full = np.concatenate([[0], np.cumsum(inside)])
+    ok = np.zeros(n, bool)
+    if n >= size:
+        ok[: n - size + 1] = full[size:] - full[:-size] == size
+    # stretches between two own cuts that hold a paragraph which doesn't repeat
+    repeats, mine = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+    repeats[starts] = mine[own] = True
+    begins = every[:-1][np.diff(every) >= 4]
+    alone = np.unique(np.searchsorted(at, begins[~repeats[begins]], "right") - 1)
+    alone = alone[mine[at[alone]] & mine[at[alone + 1]]]
+    barred = np.maximum(at[alone + 1] + 6 - size, docs[np.searchsorted(docs, at[alone], "right") - 1])
+    # and windows that end in the next text
+    first = np.concatenate([starts[told], barred, np.maximum(docs[1:] - size + 1, docs[:-1])])
+    past = np.concatenate([np.minimum(stops[told] + 1, docs[text + 1][told]), at[alone] - 3, docs[1:]])
+    return np.flatnonzero(ok & ~_covered(n, first, past))
+
+
+def _covered(n: int, first: np.ndarray, past: np.ndarray) -> np.ndarray:
+    """Which of n places lie in one of the ranges."""
+    good = first < past
+    return np.cumsum(np.bincount(first[good], minlength=n + 1)[:n] - np.bincount(past[good], minlength=n + 1)[:n]) > 0
+
+
+def joined_spans(starts: np.ndarray, stops: np.ndarray, gap: int, least: int, text: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of repeated paragraphs of one text joined over gaps of at most ``gap`` words, where there is a gap and ``least`` words are reached."""
+    if not len(starts):
+        return starts, stops
+    order = np.argsort(starts, kind="stable")
+    starts, far = starts[order], np.maximum.accumulate(stops[order])
+    text = np.zeros(len(starts), np.int64) if text is None else text[order]
+    new = np.concatenate([[True], (starts[1:] > far[:-1] + gap) | (text[1:] != text[:-1])])
+    open_ = np.concatenate([[False], starts[1:] > far[:-1]]) & ~new
+    first = np.flatnonzero(new)
+    lo, hi = starts[first], far[np.append(first[1:], len(starts)) - 1]
+    good = np.logical_or.reduceat(open_, first) & (hi - lo >= least)
+    return lo[good], hi[good]
 
 
 def windows(texts: DataFrame, size: int, shingle: int, bands: int, rows: int, gap: int = 24) -> DataFrame:
@@ -310,38 +391,30 @@ def windows(texts: DataFrame, size: int, shingle: int, bands: int, rows: int, ga
 
     (uid, d, start, n, key, bands, grams); bands and grams are null for windows.
     """
+    names = ["uid", "d", "start", "n", "key", "bands", "grams"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 64):
-                part = b.slice(k, 64)
-                cols: list[list] = [[] for _ in range(5)]
-                band_out: list = []
-                gram_out: list = []
-                for uid, d, text, near in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3), strict=True):
-                    with np.errstate(over="ignore"):
-                        h, _ = word_hashes(text.as_py())
-                        if len(h) < size:
-                            continue
-                        starts, n, told = (near.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                        starts, stops = starts.astype(np.int64), (starts + n).astype(np.int64)
-                        at = open_windows(h, starts, stops, told.astype(bool), size)
-                        spans = joined_spans(starts, stops, gap, size)
-                        first = np.concatenate([at, [i for i, _ in spans]]).astype(np.int64)
-                        end = np.concatenate([at + size, [j for _, j in spans]]).astype(np.int64)
-                        band_out += [None] * len(at)
-                        gram_out += [None] * len(at)
-                        for i, j in spans:
-                            g = shingle_hashes(h[i:j], shingle)
-                            band_out.append(band_keys(g, bands, rows))
-                            gram_out.append(g.astype("<u4").tobytes())
-                        if len(first):
-                            keys = span_keys(h, first, end).view(np.int64)
-                            for c, x in zip(cols, (np.full(len(first), uid), np.full(len(first), d), first.astype(np.int32), (end - first).astype(np.int32), keys), strict=True):
-                                c.append(x)
-                if cols[0]:
-                    flat = [pa.array(np.concatenate(c)) for c in cols]
-                    yield pa.record_batch([*flat, pa.array(band_out, pa.list_(pa.int64())), pa.array(gram_out, pa.binary())], names=["uid", "d", "start", "n", "key", "bands", "grams"])
+        for part, h, docs, _ in parts(batches, 2):
+            near, text = part.column(3).flatten(), pc.list_parent_indices(part.column(3)).to_numpy()
+            starts, n, told = (near.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            starts = starts.astype(np.int64) + docs[text]
+            stops = starts + n
+
+            def flat(first: np.ndarray, end: np.ndarray, part=part, h=h, docs=docs) -> list[pa.Array]:
+                text = np.searchsorted(docs, first, "right") - 1
+                with np.errstate(over="ignore"):
+                    keys = span_keys(h, first, end).view(np.int64)
+                return [*(part.column(i).take(pa.array(text)) for i in (0, 1)), *map(pa.array, ((first - docs[text]).astype(np.int32), (end - first).astype(np.int32), keys))]
+
+            with np.errstate(over="ignore"):
+                at = open_windows(h, docs, starts, stops, told.astype(bool), size)
+                lo, hi = joined_spans(starts, stops, gap, size, text)
+                found, sets = line_bands(h, lo, hi, shingle, bands, rows), shingle_sets(h, lo, hi, shingle)
+            if len(at):
+                yield pa.record_batch([*flat(at, at + size), pa.nulls(len(at), pa.list_(pa.int64())), pa.nulls(len(at), pa.binary())], names=names)
+            if len(lo):
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(lo) + 1) * bands, pa.int32()), pa.array(found.reshape(-1)))
+                yield pa.record_batch([*flat(lo, hi), lists, pa.array(sets, pa.binary())], names=names)
 
     return texts.mapInArrow(run, "uid long, d long, start int, n int, key long, bands array<long>, grams binary")
 
@@ -357,6 +430,8 @@ def cluster(grams: list[np.ndarray], similarity: float) -> np.ndarray:
     A search from set to set: a set is compared with those not reached yet only, so groups of near copies take few passes.
     """
     sizes = np.array([len(g) for g in grams])
+    if len(grams) <= 64 and int(sizes.sum()) * len(grams) <= 1 << 20:
+        return _cluster_few(grams, sizes, similarity)
     lab = np.full(len(grams), -1)
     todo = np.argsort(sizes, kind="stable")
     while len(todo):
@@ -381,6 +456,21 @@ def cluster(grams: list[np.ndarray], similarity: float) -> np.ndarray:
     return lab
 
 
+def _cluster_few(grams: list[np.ndarray], sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """``cluster`` by one table of sets and shingles."""
+    every, slot = np.unique(np.concatenate(grams), return_inverse=True)
+    has = np.zeros((len(grams), len(every)), np.float32)
+    has[np.repeat(np.arange(len(grams)), sizes), slot] = 1
+    shared = (has @ has.T).astype(np.int64)
+    linked = shared >= similarity * (sizes[:, None] + sizes[None, :] - shared) - 1e-9
+    lab = np.arange(len(grams))
+    while True:
+        least = np.where(linked, lab[None, :], len(grams)).min(axis=1)
+        if (least == lab).all():
+            return lab
+        lab = least
+
+
 def _line_edges(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(rows: dict[int, np.ndarray]):
@@ -430,15 +520,19 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, lines: DataFrame, span
     """(uid, d, start, n, component_id) of lines (uid, d, start, n, key, bands) and spans (the same, with grams).
 
     Most bands that are shared at all are shared by two paragraphs: such pairs are verified once, however many bands they
-    share; bands of more members are dealt in blocks.
+    share; bands of more members are dealt in blocks, once for all bands of the same members.
     """
     spark = docs.sparkSession
     cols = ["uid", "d", "start", "n", "key"]
     every = lines.select(*cols, "bands") if spans is None else lines.select(*cols, "bands").unionByName(spans.select(*cols, "bands"))
-    banded = every.where(F.size("bands") > 0).select("key", "bands").dropDuplicates(["key"]).select("key", F.explode("bands").alias("band"))
-    shared = _staged(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).where("n > 1"), "bands-shared")
-    pairs = _staged(shared.where("n = 2").select("a", "b").distinct(), "line-pairs")
-    many = banded.join(_hint(shared.where("n > 2").select("band"), 16), "band")
+    banded = every.where(F.size("bands") > 0).select("key", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("band")
+    members = _staged(banded.join(_staged(shared, "bands-shared"), "band").distinct(), "band-members")
+    told = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a"), F.max("key").alias("b"), F.expr("bit_xor(xxhash64(key))").alias("x"), F.expr("bit_xor(xxhash64(key, 7))").alias("y"))
+    # bands of the same paragraphs are one
+    told = _staged(told.groupBy("n", "a", "b", "x", "y").agg(F.min("band").alias("band")), "bands-told")
+    pairs = _staged(told.where("n = 2").select("a", "b"), "line-pairs")
+    many = members.join(_hint(told.where("n > 2").select("band"), 16), "band")
     dealt = _staged(buckets.block_pairs(many, "band", "key", cap), "line-buckets")
     met = _staged(dealt.select("key").unionByName(pairs.select(F.col("a").alias("key"))).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "lines-met")
     grams = line_shingles(docs, id_col, text_col, lines, met, shingle)
@@ -470,30 +564,33 @@ def repeated(
     passage_n_words place the passage it belongs to. A document none of whose passages repeats has no row.
     """
     bands = bands_for(rows, similarity, recall)
+    start = runtime.mark()
     found = _staged(units(docs, id_col, text_col, min_words, similarity, shingle, bands, rows), "paragraphs")
     short = found.where("not is_line").select("uid", "d", "start", "n", "key", "chain", "reach")
-    spark, point = docs.sparkSession, runtime.mark()
+    spark = docs.sparkSession
     classes = _staged(_across(short, "key"), "short-classes")
     near = _staged(short.join(classes, "key").withColumnRenamed("key", "component_id"), "shorts")
-    runtime.drop_since(spark, point)
+    runtime.drop_named(spark, start, "short-classes")
     shorts = near.select("uid", "d", "start", "n", "component_id", "lo")
 
     # sequences of min_words words around repeated paragraphs: a chain that repeats as it is tells of all of its own, and its
     # least document alone opens them, for texts that share less than the chain; all others are opened one by one
-    point = runtime.mark()
     chains = _staged(_across(near, "chain").withColumnRenamed("lo", "teller"), "chains")
     near = near.join(chains, "chain", "left").select("uid", "start", "n", "reach", F.col("teller").isNotNull().alias("known"), F.coalesce(F.col("teller") != F.col("d"), F.lit(False)).alias("told"))
     near = _staged(near, "shorts-chained")
-    runtime.drop_since(spark, point)
+    runtime.drop_named(spark, start, "chains")
     held = near.groupBy("uid").agg(F.collect_set(F.struct("start", "n", "told")).alias("near")).where(F.exists("near", lambda x: ~x["told"]))
     opened = _staged(windows(_texts(docs, id_col, text_col).join(held, "uid").select("uid", "d", "text", "near"), min_words, shingle, bands, rows), "windows")
-    spans, opened = opened.where("bands is not null"), opened.where("bands is null")
-    shared = opened.join(_staged(_across(opened, "key").select("key"), "windows-shared"), "key").select("uid", F.col("start").alias("first"), (F.col("start") + min_words).alias("end"))
+    spans, opened = _staged(opened.where("bands is not null"), "spans"), opened.where("bands is null")
+    again = _staged(_across(opened, "key").select("key"), "windows-shared")
+    shared = _staged(opened.join(again, "key").select("uid", F.col("start").alias("first"), (F.col("start") + min_words).alias("end")), "windows-met")
+    runtime.drop_named(spark, start, "windows", "windows-shared")
     shared = shared.unionByName(near.where(F.col("known") & (F.col("reach") >= min_words)).select("uid", F.col("start").alias("first"), (F.col("start") + F.col("reach")).alias("end")))
 
     point = runtime.mark()
     classed = _staged(_classed(docs, id_col, text_col, found.where("is_line"), spans, similarity, shingle, cap), "lines-classed")
     runtime.drop_since(spark, point)
+    runtime.drop_named(spark, start, "paragraphs", "spans")
     spans = runtime.cut(classed.groupBy("component_id").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("component_id", "lo"))
     longs = classed.join(spans, "component_id").select("uid", "d", "start", "n", "component_id", "lo")
 

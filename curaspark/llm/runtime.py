@@ -65,6 +65,14 @@ def drop_since(spark: SparkSession, point: int) -> None:
     del _made[point:-1]
 
 
+def drop_named(spark: SparkSession, point: int, *names: str) -> None:
+    """Delete the tables staged under these names since a point."""
+    for folder in _made[point:]:
+        if folder.rpartition("/")[2].rpartition("-")[0] in names:
+            _delete(spark, folder)
+            _made.remove(folder)
+
+
 def staged_last(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Stage the outcome of a step and delete all tables staged on the way to it, its own input among them.
 

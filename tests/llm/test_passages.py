@@ -245,3 +245,67 @@ def test_every_document_that_shares_a_run_of_words(spark):
     want = {d for ds in runs.values() if len(ds) > 1 for d in ds}
     got = {r.doc_id for r in passages.repeated(spark.createDataFrame([(d, " ".join(w), "", 0) for d, w in enumerate(texts)], SCHEMA)).collect()}
     assert got <= want and len(got) >= 0.98 * len(want)
+
+
+def test_words_of_a_stream_are_those_of_its_texts(monkeypatch):
+    """Texts that lie in a row, against plain splitting: which words are the same, whose they are and where lines begin."""
+    rng = np.random.default_rng(11)
+    some = ["", " \n\t", "one", "--", "One,", "(one)", "-one-two-", "Äpfel", "äpfel", "***", "*", "x" * 5000, "a\x0bb\x0cc\rd", "\n\none two\n \nthree.", "two\n"]
+    texts = [t.encode() for t in some] + [" ".join(rng.choice(some, 30)).encode() for _ in range(40)]
+    plain = [[w.strip(passages.EDGES) or w for w in t.lower().split()] for t in texts]
+    bounds = np.cumsum([0, *map(len, texts)])
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    with np.errstate(over="ignore"):
+        h, docs, lines = passages.word_stream(raw, bounds)
+        in_pieces = passages._byte_hashes
+        monkeypatch.setattr(passages, "_byte_hashes", lambda raw, lo, hi: in_pieces(raw, lo, hi, 7))
+        assert passages.word_stream(raw, bounds)[0].tolist() == h.tolist()
+    assert np.diff(docs).tolist() == [len(p) for p in plain]
+    flat = [w for p in plain for w in p]
+    assert len(set(zip(flat, h.tolist(), strict=True))) == len(set(flat)) == len(set(h.tolist()))
+    assert np.diff(lines).tolist() == [len(x.split()) for t in texts for x in t.split(b"\n") if x.split()]
+    assert passages.word_hashes(None)[0].tolist() == []
+
+
+def test_few_sets_and_many_are_clustered_alike():
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 2**32, (5, 60), dtype=np.uint32)
+    for _ in range(20):
+        sets = [np.unique(np.concatenate([base[k % 5], rng.integers(0, 2**32, int(rng.integers(0, 16)), dtype=np.uint32)])) for k in range(30)]
+        few = passages.cluster(sets, 0.8)
+        far = [np.arange(k * 1000, k * 1000 + 5, dtype=np.uint32) for k in range(1, 41)]  # over 64 sets are searched one by one
+        assert passages.cluster(sets + far, 0.8).tolist() == [*few.tolist(), *range(30, 70)]
+
+
+def test_windows_over_a_paragraph_of_its_own_stay_closed(spark):
+    """A copy with one word edited: all shared windows open, few of those with the edit do."""
+    rng = np.random.default_rng(13)
+    vocabulary = np.array([f"w{k}" for k in range(20_000)])
+    rows = []
+    for p in range(40):
+        w = list(rng.choice(vocabulary, 250))
+        rows += [(2 * p, " ".join(w), "", 0), (2 * p + 1, " ".join([*w[:125], "edited", *w[126:]]), "", 0)]
+    docs, near = {}, {}
+    for r in passages.units(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", 51, 0.8, 5, 7, 3).where("not is_line").collect():
+        docs.setdefault(r.key, set()).add(r.d)
+        near.setdefault(r.d, []).append(r)
+    texts = [(d, d, text.encode(), [(r.start, r.n, False) for r in near[d] if len(docs[r.key]) > 1]) for d, text, _, _ in rows]
+    table = spark.createDataFrame(texts, "uid long, d long, text binary, near array<struct<start: int, n: int, told: boolean>>")
+    open_ = {}
+    for r in passages.windows(table, 51, 5, 7, 3).where("bands is null").collect():
+        open_.setdefault(r.d, set()).add(r.start)
+    shared = set(range(125 - 50)) | set(range(126, 200))
+    assert np.mean([len(shared & open_[d]) / len(shared) for d in open_]) > 0.9
+    assert all(open_[d] >= set(range(40, 75)) | set(range(126, 160)) for d in open_)
+    assert np.mean([len(open_[d] - shared) for d in open_]) < 35
+
+
+def test_staged_tables_go_when_they_are_used_up(spark):
+    rng = np.random.default_rng(14)
+    shared = words(rng, 60)
+    df = spark.createDataFrame([(d, " ".join([*words(rng, 30), *shared, *words(rng, 30)]), "", 0) for d in range(4)], SCHEMA)
+    point = passages.runtime.mark()
+    found = passages.repeated(df)
+    left = {x.rpartition("/")[2].rpartition("-")[0] for x in passages.runtime._made[point:]}
+    assert left == {"shorts", "shorts-chained", "windows-met", "lines-classed"}
+    assert {r.doc_id for r in found.collect()} == {0, 1, 2, 3}
